@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, mixing, simhash
 
 QUERIES = {
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op6_simhash": simhash.op6_simhash,
     "op9_source_mix": mixing.op9_source_mix,
 }
 
