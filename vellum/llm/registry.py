@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bitsliced, bpe, cosine, mixing, simhash
 
 QUERIES = {
+    "op2_bitsliced_topk": bitsliced.op2_bitsliced_topk,
+    "op4_cosine": cosine.op4_cosine,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_simhash": simhash.op6_simhash,
     "op9_source_mix": mixing.op9_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_bitsliced_topk": bitsliced.OP2_SQL,
+    "op4_cosine": cosine.OP4_SQL,
+}
