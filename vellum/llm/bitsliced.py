@@ -198,13 +198,13 @@ def op2_bitsliced_topk(spark: SparkSession, sf_dir: str, k: int = 20, every: int
 
 OP2_SQL = """
 with q as (
-  select distinct vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as v
+  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select a.vec_id as query_id, b.vec_id as vec_id,
-         list_sum(list_transform(generate_series(1, len(a.v)), i -> a.v[i] * b.v[i]))::bigint as score
+         list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i]))::bigint as score
   from q a join q b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
   where a.vec_id % 20 = 0
 )

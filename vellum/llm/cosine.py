@@ -139,8 +139,8 @@ OP4_SQL = """
 with recursive g as (
   select vec_id, label, embedding::double[] as e from embeddings
   where label is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), l as (
   select a.vec_id as u, b.vec_id as v from g a join g b on a.label = b.label and a.vec_id <> b.vec_id
   where list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98

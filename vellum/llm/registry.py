@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, cosine, mixing, simhash
+from . import bitsliced, bpe, cosine, mixing, quality, simhash
 
 QUERIES = {
+    "op1_line_crf": quality.op1_line_crf,
     "op2_bitsliced_topk": bitsliced.op2_bitsliced_topk,
     "op4_cosine": cosine.op4_cosine,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
