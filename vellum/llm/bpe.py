@@ -14,6 +14,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from ._common import table, text_steps, texts_of
 
-#: Distinct pre-tokens whose ids a worker remembers before it starts afresh.
-CACHE = 400_000
+#: Distinct pre-tokens whose ids a worker remembers before it forgets the older ones.
+CACHE = 900_000
+#: Bytes of a pre-token whose positions are kept as bit sets.
+SHORT = 128
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,67 +64,87 @@ class Merges:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        byte, join, shift = self.byte, self.join.get, self.shift
-        ids = [byte[b] for b in piece]
+        join, shift = self.join.get, self.shift
+        ids = [*map(self.byte.__getitem__, piece)]
         n = len(ids)
         if n < 2:
             return ids
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        summary = 0
+        # waiting: rank to the list positions that wait there, as a bit set of those of a
+        # short pre-token, as a heap of those of a long one
+        short = n <= SHORT
+        waiting: dict = {}
         left = ids[0]
-        for at in range(n - 1):
-            right = ids[at + 1]
+        for at in range(1, n):
+            right = ids[at]
             rank = join(left << shift | right)
             left = right
             if rank is not None:
-                got = buckets.get(rank)
-                if got:
-                    got.append(at)  # rising positions keep the heap in order
+                if short:
+                    waiting[rank] = waiting.get(rank, 0) | 1 << at
+                elif rank in waiting:
+                    waiting[rank].append(at)  # rising positions keep the heap in order
                 else:
-                    buckets[rank] = [at]
-                    high = rank >> 8
-                    words[high] = words.get(high, 0) | 1 << (rank & 255)
-                    summary |= 1 << high
+                    waiting[rank] = [at]
+        words: dict[int, int] = {}
+        summary = 0
+        for rank in waiting:
+            high = rank >> 8
+            if summary >> high & 1:
+                words[high] |= 1 << (rank & 255)
+            else:
+                words[high] = 1 << (rank & 255)
+                summary |= 1 << high
+        if not summary:
+            return ids
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
         while summary:
             high = (summary & -summary).bit_length() - 1
             word = words[high]
-            low = (word & -word).bit_length() - 1
-            rank = high << 8 | low
-            bucket = buckets[rank]
-            at = heappop(bucket)
+            rank = high << 8 | (word & -word).bit_length() - 1
+            bucket = waiting[rank]
+            if short:
+                at = (bucket & -bucket).bit_length() - 2
+                bucket &= bucket - 1
+                waiting[rank] = bucket
+            else:
+                at = heappop(bucket) - 1
             if not bucket:
                 word &= word - 1
                 words[high] = word
                 if not word:
                     summary &= summary - 1
-            mate = after[at]
-            if ids[at] < 0 or mate >= n or join(ids[at] << shift | ids[mate]) != rank:
+            own, mate = ids[at], after[at]
+            if own < 0 or mate >= n or join(own << shift | ids[mate]) != rank:
                 continue  # stale: a merge has changed one of the two
             ids[at], ids[mate] = rank, -1
             nxt = after[at] = after[mate]
-            made = []
             if nxt < n:
                 before[nxt] = at
-                made.append((join(rank << shift | ids[nxt]), at))
-            prev = before[at]
-            if prev >= 0:
-                made.append((join(ids[prev] << shift | rank), prev))
-            for new, where in made:
-                if new is None:
-                    continue
-                got = buckets.get(new)
-                if got:
-                    heappush(got, where)
-                else:
-                    buckets[new] = [where]
-                    high = new >> 8
-                    words[high] = words.get(high, 0) | 1 << (new & 255)
-                    summary |= 1 << high
+                new = join(rank << shift | ids[nxt])
+                if new is not None:
+                    summary |= self._wait(waiting, words, new, at + 1, short)
+            at = before[at]
+            if at >= 0:
+                new = join(ids[at] << shift | rank)
+                if new is not None:
+                    summary |= self._wait(waiting, words, new, at + 1, short)
         return [i for i in ids if i >= 0]
 
+    @staticmethod
+    def _wait(waiting: dict, words: dict[int, int], rank: int, at: int, short: bool) -> int:
+        """Puts a position into a rank's bucket; the summary bit to set."""
+        got = waiting.get(rank)
+        if short:
+            waiting[rank] = (got or 0) | 1 << at
+        elif got:
+            heappush(got, at)
+        else:
+            waiting[rank] = [at]
+        high = rank >> 8
+        words[high] = words.get(high, 0) | 1 << (rank & 255)
+        return 1 << high
+
 
 class _Known(dict):
     """Pre-token to its ids as little-endian 32-bit words."""
@@ -135,6 +158,9 @@ class _Known(dict):
         out = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(piece) <= 64:
             self[piece] = out
+            if len(self) > CACHE:
+                for old in list(islice(self, CACHE // 3)):
+                    del self[old]
         return out
 
 
@@ -167,8 +193,6 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             out = []
             for t in texts_of(batch, "__text"):
                 out.append(b"".join(map(known.__getitem__, find(t))))
-                if len(known) > CACHE:
-                    known.clear()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "ids"])
 
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
