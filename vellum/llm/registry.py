@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, cosine, mixing, quality, simhash
+from . import bitsliced, bpe, cosine, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
     "op2_bitsliced_topk": bitsliced.op2_bitsliced_topk,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_cosine": cosine.op4_cosine,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_simhash": simhash.op6_simhash,
