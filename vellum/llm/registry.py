@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, cosine, mixing, quality, simhash, suffixes
+from . import bitsliced, bpe, cosine, lm, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_cosine": cosine.op4_cosine,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_simhash": simhash.op6_simhash,
+    "op7_bloom_lm": lm.op7_bloom_lm,
     "op9_source_mix": mixing.op9_source_mix,
 }
 
