@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, cosine, lm, mixing, quality, simhash, suffixes
+from . import bitsliced, bpe, cosine, licenses, lm, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_simhash": simhash.op6_simhash,
     "op7_bloom_lm": lm.op7_bloom_lm,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_source_mix": mixing.op9_source_mix,
 }
 
