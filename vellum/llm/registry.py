@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, cosine, licenses, lm, mixing, quality, simhash, suffixes
+from . import bitsliced, bpe, chat, cosine, licenses, lm, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bloom_lm": lm.op7_bloom_lm,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_source_mix": mixing.op9_source_mix,
+    "op10_chat_roles": chat.op10_chat_roles,
 }
 
 ORACLE_SQL: dict[str, str] = {
