@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: Words everywhere in this subpackage: runs of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a Python function holds at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
+#: Bytes of a row group of staged tables.
+ROW_GROUP = 16 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -42,7 +44,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors, and is computed once however often it is read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: a writer holds one in the heap, and reading them is no slower
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,6 +90,25 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: in
             at = end
 
 
+def tidy(run):
+    """The batch function, giving back what memory the worker keeps in reserve when the task ends:
+    idle workers stay, and add up to what the executor may use."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytehash import Hasher
-from ._common import parts, staged, table, text_steps
+from ._common import parts, staged, table, text_steps, tidy
 
 LENGTH = 400
 #: Distinct surroundings of an anchor string that one task compares.
@@ -114,7 +114,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                     names=["g", "eh", "o", "tid", "dk", "pos"],
                 )
 
-    return docs.select("tid", "dk", "body").mapInArrow(run, "g long, eh long, o int, tid binary, dk long, pos long")
+    return docs.select("tid", "dk", "body").mapInArrow(tidy(run), "g long, eh long, o int, tid binary, dk long, pos long")
 
 
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -374,13 +374,15 @@ def repeated_spans(docs: DataFrame, length: int, crowd: int = CROWD) -> DataFram
     )
     texts = staged(docs.join(need, ["tid", "dk"]).select("body", "calm", "hot"), "suffix-texts")
     ranges = max(4 * parts(spark), 16)
-    runs = texts.filter(F.size("calm") > 0).select("body", F.col("calm").alias("what")).mapInArrow(_cut_runs(length, ranges), "range int, run binary")
-    sorted_ = runs.repartition(ranges, "range").mapInArrow(_merge_runs(length), "g long, eh long, o int, lo int, hi int")
+    runs = texts.filter(F.size("calm") > 0).select("body", F.col("calm").alias("what")).mapInArrow(tidy(_cut_runs(length, ranges)), "range int, run binary")
+    sorted_ = runs.repartition(ranges, "range").mapInArrow(tidy(_merge_runs(length)), "g long, eh long, o int, lo int, hi int")
 
-    windows = texts.filter(F.size("hot") > 0).select("body", F.col("hot").alias("what")).mapInArrow(_windows(length), "g long, eh long, o int, at int, h1 long, h2 long, n long")
+    windows = texts.filter(F.size("hot") > 0).select("body", F.col("hot").alias("what")).mapInArrow(tidy(_windows(length)), "g long, eh long, o int, at int, h1 long, h2 long, n long")
     windows = staged(windows.dropDuplicates([*KEYS, "at"]), "suffix-windows")
     again = staged(windows.groupBy("g", "at", "h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"), "suffix-again")
-    counted = windows.join(again, ["g", "at", "h1", "h2"], "left_semi").select(*KEYS, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    counted = windows.join(again, ["g", "at", "h1", "h2"], "left_semi").groupBy(*KEYS).agg(F.collect_set("at").alias("at"))
+    edge = lambda step: F.array_sort(F.filter("at", lambda x: ~F.array_contains("at", x + step)))
+    counted = counted.select(*KEYS, F.inline(F.arrays_zip(edge(-1).alias("lo"), edge(1).alias("hi"))))
     found = staged(sorted_.unionByName(counted).groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("got")), "suffix-found")
     places = cand.dropDuplicates(["tid", "pos", *KEYS]).join(found, KEYS)
     at = F.explode(F.transform("got", lambda r: F.struct((F.col("pos") - r["hi"]).alias("lo"), (F.col("pos") - r["lo"]).alias("hi"))))
@@ -425,7 +427,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, crowd: int = CROWD, keep
             )
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return done.unionByName(short).mapInArrow(run, f"{fields}, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return done.unionByName(short).mapInArrow(tidy(run), f"{fields}, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
