@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ._common import staged, table
+from ._common import staged, table, tidy
 
 #: Rows of an index block; queries of a chunk; chunks that one task takes with a block.
 BLOCK_ROWS, CHUNK, CHUNKS = 1 << 15, 64, 8
@@ -183,7 +183,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "qh", "vec_id", "score"])
 
-    best = met.select("part", "dims", "ids", "x", "qids", "qhs", "qx").mapInArrow(run, "query_id long, qh long, vec_id long, score long")
+    best = met.select("part", "dims", "ids", "x", "qids", "qhs", "qx").mapInArrow(tidy(run), "query_id long, qh long, vec_id long, score long")
     order = Window.partitionBy("query_id", "qh").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "qh", "rank", "vec_id", "score")
 

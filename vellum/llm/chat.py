@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import held_out, parts, staged, table
+from ._common import held_out, parts, staged, table, tidy
 
 ROLES = ("system", "user", "assistant")
 #: States: role times (opens, continues).
@@ -109,7 +109,7 @@ def train(lines: DataFrame) -> Hmm:
             yield pa.RecordBatch.from_arrays([batch.column("state"), *(pa.array(f[:, i]) for i in range(4))], names=["state", "f0", "f1", "f2", "f3"])
 
     emit = [np.zeros((N, n)) for n in (SIGNS, LENGTHS, ENDS, FIRSTS)]
-    for r in good.select("state", "line").mapInArrow(seen, "state int, f0 int, f1 int, f2 int, f3 int").groupBy("state", "f0", "f1", "f2", "f3").count().collect():
+    for r in good.select("state", "line").mapInArrow(tidy(seen), "state int, f0 int, f1 int, f2 int, f3 int").groupBy("state", "f0", "f1", "f2", "f3").count().collect():
         for f in range(4):
             emit[f][r["state"], r[f + 1]] += r["count"]
     # within turns: a first or later line is followed by a later one or by another turn
@@ -172,7 +172,7 @@ def parse(lines: DataFrame, model: Hmm, piece_bits: int = PIECE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([piece]), pa.array([m.ravel().tolist()])], names=["key", "piece", "m"])
 
     long = rows.join(spans, "key").select("key", "piece", "no", "line", "first")
-    sums = dealt(long).mapInArrow(summed, "key string, piece long, m array<double>")
+    sums = dealt(long).mapInArrow(tidy(summed), "key string, piece long, m array<double>")
 
     def chained(tab: pa.Table) -> pa.Table:
         order = np.argsort(tab.column("piece").to_numpy())
@@ -216,7 +216,7 @@ def parse(lines: DataFrame, model: Hmm, piece_bits: int = PIECE) -> DataFrame:
             yield out()
 
     known = rows.join(ends, ["key", "piece"], "left").select("key", "piece", "no", "line", "before", "end")
-    states = staged(dealt(known).mapInArrow(decoded, "key string, piece long, no long, state int, opened int, line string"), "chat-states")
+    states = staged(dealt(known).mapInArrow(tidy(decoded), "key string, piece long, no long, state int, opened int, line string"), "chat-states")
     per = states.groupBy("key", "piece").agg(F.max("opened").alias("n"))
     per = per.select("key", "piece", (F.sum("n").over(Window.partitionBy("key").orderBy("piece")) - F.col("n")).alias("base"))
     turns = states.join(staged(per, "chat-bases"), ["key", "piece"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytehash import U, Hasher, mixed
-from ._common import table, text_steps
+from ._common import table, text_steps, tidy
 
 SHINGLE, LEAST, SURE = 5, 0.8, 0.9999
 STEP = 1 << 19
@@ -175,7 +175,7 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, shingle: int =
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["doc_id", "license", "containment", "start", "end"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, license string, containment double, start long, end long")
+    return src.mapInArrow(tidy(run), f"doc_id {kind}, license string, containment double, start long, end long")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

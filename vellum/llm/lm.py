@@ -25,16 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytehash import U, Hasher, mixed
-from ._common import held_out, parts, staged, table, text_steps
+from ._common import held_out, parts, staged, table, text_steps, tidy
 
 #: Base of the quantised logarithm, filter bits and hash functions for each entry.
 BASE, BITS, PROBES = 1.5, 8, 4
 #: Weight of the unigram model, in counts.
 SMOOTH = 20.0
 #: Bytes of filter and unigram counts that are broadcast at once.
-PORTION = 96 << 20
+PORTION = 48 << 20
 #: Distinct keys that a task gathers before it sends them on; bytes hashed at a time.
-GATHER, STEP = 1 << 21, 1 << 19
+GATHER, STEP = 1 << 20, 1 << 19
+#: Bytes of text that are scored or counted at a time.
+READ = 2 << 20
 END, START = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
 
 SPACE = np.zeros(256, bool)
@@ -128,7 +130,7 @@ def _count(segments: int):
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["segment", "kind", "keys", "n"])
 
-        for batch in text_steps(batches):
+        for batch in text_steps(batches, most=READ):
             tokens, counts = _tokens(hasher, [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             held[0].append(tokens)
             held[1].append(_pairs(tokens, counts)[1])
@@ -195,24 +197,31 @@ MODEL = "segment int, filter binary, tokens binary, n binary, v long, total long
 def build(docs: DataFrame, bits: int = BITS, probes: int = PROBES) -> DataFrame:
     """The model of all texts of docs (a column text): a row for each segment that is not empty."""
     segments = max(16, 4 * parts(docs.sparkSession))
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(segments), "segment int, kind int, keys binary, n binary")
-    made = counted.repartition(segments, "segment").mapInArrow(_filters(bits, probes), MODEL)
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count(segments)), "segment int, kind int, keys binary, n binary")
+    made = counted.repartition(segments, "segment").mapInArrow(tidy(_filters(bits, probes)), MODEL)
     return staged(made.withColumn("segments", F.lit(segments)), "lm-model")
 
 
 class Portion:
     """Some segments of a model, as a worker holds them."""
 
-    def __init__(self, segments: int, rows: list[tuple]):
+    @staticmethod
+    def packed(segments: int, rows: list[tuple]) -> tuple[int, list[tuple[int, int]], bytes, bytes, bytes]:
+        """What is broadcast: number of segments, (segment, filter bytes), and all filters,
+        tokens and counts end to end, so that a worker reads them where they lie."""
+        rows = sorted(rows)
+        return segments, [(r[0], len(r[1])) for r in rows], *(b"".join([bytes(r[i]) for r in rows]) for i in (1, 2, 3))
+
+    def __init__(self, segments: int, sizes: list[tuple[int, int]], filters: bytes, tokens: bytes, counts: bytes):
         self.segments = segments
         self.bits, self.base = np.zeros(segments, np.int64), np.zeros(segments, np.int64)
         at = 0
-        for s, filt, *_ in rows:
-            self.bits[s], self.base[s] = len(filt) * 8, at
-            at += len(filt)
-        self.filter = np.frombuffer(b"".join([r[1] for r in rows]), np.uint8)
-        self.tokens = np.frombuffer(b"".join([r[2] for r in rows]), np.uint64)
-        self.n = np.frombuffer(b"".join([r[3] for r in rows]), np.int64)
+        for s, size in sizes:
+            self.bits[s], self.base[s] = size * 8, at
+            at += size
+        self.filter = np.frombuffer(filters, np.uint8)
+        self.tokens = np.frombuffer(tokens, np.uint64)
+        self.n = np.frombuffer(counts, np.int64)
 
     def levels(self, keys: np.ndarray, probes: int) -> np.ndarray:
         """The quantised count of each key, 0 for keys of other portions or none."""
@@ -262,12 +271,12 @@ def score(docs: DataFrame, model: DataFrame, probes: int = PROBES, smooth: float
     for no, own in enumerate(portions):
         first, last = no == 0, no == len(portions) - 1
         rows = [tuple(r)[:4] for r in model.filter(F.col("segment").isin(own)).select("segment", "filter", "tokens", "n").toLocalIterator()] if own else []
-        told = spark.sparkContext.broadcast((segments, sorted(rows)))
+        told = spark.sparkContext.broadcast(Portion.packed(segments, rows))
         del rows
         run = _probe(told, probes, smooth, v, total, first, last)
         if last:
-            return now.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        now = staged(now.mapInArrow(run, f"doc_id {kind}, text string, known long, seen double, q binary"), "lm-levels")
+            return now.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        now = staged(now.mapInArrow(tidy(run), f"doc_id {kind}, text string, known long, seen double, q binary"), "lm-levels")
         told.unpersist()
     raise AssertionError
 
@@ -277,7 +286,7 @@ def _probe(told, probes: int, smooth: float, v: int, total: int, first: bool, la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, part, value = Hasher(STEP + 1, 31, fold=True), Portion(*told.value), restored()
-        for batch in text_steps(batches):
+        for batch in text_steps(batches, most=READ):
             tokens, counts = _tokens(hasher, [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             prev, pairs = _pairs(tokens, counts)
             edge = np.cumsum(counts) - counts

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, table, text_bytes, text_steps
+from ._common import held_out, table, text_bytes, text_steps, tidy
 
 #: The sample on which the model is fitted: labelled documents, and lines of each.
 TRAIN_DOCS, TRAIN_LINES = 4000, 300
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = src.join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
-    got = met.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, size binary, x binary").limit(2 * train_docs).collect()
+    got = met.select("doc_id", "quality", "text").mapInArrow(tidy(run), "doc_id long, quality int, size binary, x binary").limit(2 * train_docs).collect()
     got = sorted((r for r in got if r["size"]), key=lambda r: (r["doc_id"], r["x"]))
     label = np.array([r["quality"] for r in got])
     if not len(label) or label.min() == label.max():
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Crf | None, keep: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], names=[*keep, "score"])
 
     fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInArrow(run, f"{fields}, score double")
+    return src.mapInArrow(tidy(run), f"{fields}, score double")
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

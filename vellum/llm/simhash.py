@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import parts, staged, table, text_steps
+from ._common import parts, staged, table, text_steps, tidy
 from .components import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             fps = [_signed(fingerprint(t or b"")) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    return src.mapInArrow(tidy(run), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def thermometer(x: np.ndarray) -> np.ndarray:
@@ -166,7 +166,7 @@ def links(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     dealt = dealt.withColumn("tiles", F.explode(F.when(F.col("nt").isNull(), F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("t")))).otherwise(meets)))
     dealt = dealt.select(F.xxhash64("grid", "cell", "tiles.s", "tiles.t").alias("key"), "fp")
     met = dealt.repartition(parts(spark), "key").sortWithinPartitions("key", "fp")
-    return met.mapInArrow(_links(bits), "u long, v long")
+    return met.mapInArrow(tidy(_links(bits)), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, bits: int = BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
