@@ -58,8 +58,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decode to the text again."""
     path, pattern = bpe.default_vocabulary()
     ranks = bpe.load_ranks(path)
-    coded = bpe.encode(docs, ranks, pattern, keep=("doc_id", "source", "text"))
-    back = bpe.decode(coded, ranks, keep=("doc_id", "source", "text", "ids"))
+    back = bpe.round_trip(docs, ranks, pattern, keep=("doc_id", "source", "text"))
     intact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", intact.alias("intact"))
 

@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, text_steps, texts_of
+from ._common import table, text_steps, texts_of, tidy
 
 #: Distinct pre-tokens whose ids a worker remembers before it forgets the older ones.
-CACHE = 900_000
+CACHE = 600_000
 #: Bytes of a pre-token whose positions are kept as bit sets.
 SHORT = 128
 
@@ -174,6 +174,41 @@ def _held(key: str, make):
     return store[key]
 
 
+def _encoder(told, name: str, pattern: str, keep: tuple[str, ...]):
+    """Batches with __text to batches with ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _held(name, lambda: _Known(Merges(told.value)))
+        find = _held(name + "-pattern", lambda: regex.compile(pattern)).findall
+        for batch in text_steps(batches, "__text"):
+            out = [b"".join(map(known.__getitem__, find(t))) for t in texts_of(batch, "__text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "ids"])
+
+    return run
+
+
+def _decoder(told, keep: tuple[str, ...]):
+    """Batches with ids to batches with the decoded bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        token = {i: b for b, i in told.value.items()}
+        for batch in text_steps(batches, "ids"):
+            out = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "decoded"])
+
+    return run
+
+
+def _fields(df: DataFrame, keep: tuple[str, ...]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def _named(ranks: dict[bytes, int], pattern: str) -> str:
+    return f"bpe-{zlib.crc32(repr((pattern, sorted(ranks.items()))).encode())}"
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds `ids` (binary: token ids as little-endian unsigned 32-bit words) to the kept
     columns; one output row per input row, in any partitioning, no shuffle.
@@ -184,45 +219,32 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     gives an empty result.
     """
     told = df.sparkSession.sparkContext.broadcast(ranks)  # fixed by the vocabulary file, not by the data
-    name = f"bpe-{zlib.crc32(repr((pattern, sorted(ranks.items()))).encode())}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _held(name, lambda: _Known(Merges(told.value)))
-        find = _held(name + "-pattern", lambda: regex.compile(pattern)).findall
-        for batch in text_steps(batches, "__text"):
-            out = []
-            for t in texts_of(batch, "__text"):
-                out.append(b"".join(map(known.__getitem__, find(t))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "ids"])
-
+    run = _encoder(told, _named(ranks, pattern), pattern, keep)
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInArrow(run, f"{fields}, ids binary")
+    return src.mapInArrow(tidy(run), f"{_fields(df, keep)}, ids binary")
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """Adds `decoded` (binary: the tokens' bytes in order) to rows with `ids` as encode()
     makes them. Null ids decode to no bytes; an id outside the vocabulary is an error."""
     told = df.sparkSession.sparkContext.broadcast(ranks)
+    run = _decoder(told, keep)
+    return df.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(tidy(run), f"{_fields(df, keep)}, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        token = {i: b for b, i in told.value.items()}
-        for batch in text_steps(batches, "ids"):
-            out = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, f"{fields}, decoded binary")
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode() and then decode() of its ids, in one worker: the kept columns, ids, decoded."""
+    told = df.sparkSession.sparkContext.broadcast(ranks)
+    there, back = _encoder(told, _named(ranks, pattern), pattern, keep), _decoder(told, (*keep, "ids"))
+    src = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    return src.mapInArrow(tidy(lambda batches: back(there(batches))), f"{_fields(df, keep)}, ids binary, decoded binary")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text of `documents` and decodes the ids: doc_id, n_tokens,
     ids_sha256, decoded_sha256."""
     path, pattern = default_vocabulary()
-    ranks = load_ranks(path)
-    coded = decode(encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, pattern), ranks)
+    coded = round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), load_ranks(path), pattern)
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
