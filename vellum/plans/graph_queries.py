@@ -387,7 +387,7 @@ def _gate(name: str, statement: str, sql: str | None = None) -> None:
     query(name, duck)(run)
 
 
-_gate("sql_passthrough_window", "select src, dst, row_number() over (partition by src order by dst) as rn, count(*) over (partition by src) as n from edges where pred = 'contains'")
+_gate("sql_passthrough_window", "select src, dst, row_number() over (partition by src order by dst) as rn, count(*) over (partition by src) as n from edges where pred = 'contains'", "select src, dst, (row_number() over (partition by src order by dst))::int as rn, count(*) over (partition by src) as n from edges where pred = 'contains'")
 _gate("sql_passthrough_setops", "select src as id from edges where pred = 'placed_by' intersect select src as id from edges where pred = 'contains' except select id from nodes where title = 'Order 7'")
 _gate("sql_passthrough_group", "select pred, count(*) as n, count(distinct dst) as targets from edges group by pred having count(*) > 20")
 _gate("sql_passthrough_recursive", "with recursive r(node, depth) as (select 'r:1' as node, 0 as depth union all select e.src, r.depth + 1 from edges e join r on e.dst = r.node where e.pred = 'located_in' and r.depth < 3) select node, depth from r")

@@ -226,7 +226,7 @@ def _(spark, d):
 
 @query("mentions", """
 with n as (select 'p:' || min(p_partkey) as node, p_name as name from part group by p_name), t as (select o_orderkey as id, 'we need a ' || upper(p1.p_name) || ', and ' || p2.p_name || 's' as text from orders join part p1 on p1.p_partkey = o_orderkey % 2000 join part p2 on p2.p_partkey = o_custkey % 2000 where o_orderkey % 10 = 0)
-select t.id, n.node, length(n.name) as size from t join n on regexp_matches(lower(t.text), '(^|[^\\w-])' || n.name || '($|[^\\w-])')""")
+select t.id, n.node, length(n.name)::int as size from t join n on regexp_matches(lower(t.text), '(^|[^\\w-])' || n.name || '($|[^\\w-])')""")
 def _(spark, d):
     p = table(spark, d, "part").filter("p_partkey < 2000")
     names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).select("name", F.concat(F.lit("p:"), F.col("k").cast("string")).alias("node"))
