@@ -11,7 +11,9 @@ of n bytes takes O(n log n), however long it is.
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import islice
@@ -64,86 +66,128 @@ class Merges:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        join, shift = self.join.get, self.shift
         ids = [*map(self.byte.__getitem__, piece)]
         n = len(ids)
         if n < 2:
             return ids
-        # waiting: rank to the list positions that wait there, as a bit set of those of a
-        # short pre-token, as a heap of those of a long one
-        short = n <= SHORT
-        waiting: dict = {}
-        left = ids[0]
-        for at in range(1, n):
-            right = ids[at]
-            rank = join(left << shift | right)
-            left = right
-            if rank is not None:
-                if short:
-                    waiting[rank] = waiting.get(rank, 0) | 1 << at
-                elif rank in waiting:
-                    waiting[rank].append(at)  # rising positions keep the heap in order
-                else:
-                    waiting[rank] = [at]
+        # waiting: rank to the list positions that wait there
+        return self._merged_short(ids) if n <= SHORT else self._merged_long(ids)
+
+    @staticmethod
+    def _queue(ranks) -> tuple[dict[int, int], int]:
+        """The bitmap's words and summary for buckets that hold something."""
         words: dict[int, int] = {}
         summary = 0
-        for rank in waiting:
+        for rank in ranks:
             high = rank >> 8
             if summary >> high & 1:
                 words[high] |= 1 << (rank & 255)
             else:
                 words[high] = 1 << (rank & 255)
                 summary |= 1 << high
+        return words, summary
+
+    def _merged_short(self, ids: list[int]) -> list[int]:
+        """Buckets are bit sets of positions: most pre-tokens are words."""
+        join, shift, n = self.join.get, self.shift, len(ids)
+        waiting: dict[int, int] = {}
+        due = []  # the rank at which each position waits; -1: none
+        left, bit = ids[0], 1
+        for right in ids[1:]:
+            rank = join(left << shift | right, -1)
+            due.append(rank)
+            if rank >= 0:
+                waiting[rank] = waiting.get(rank, 0) | bit
+            left = right
+            bit += bit
+        words, summary = self._queue(waiting)
         if not summary:
             return ids
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        due.append(-1)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while summary:
             high = (summary & -summary).bit_length() - 1
             word = words[high]
             rank = high << 8 | (word & -word).bit_length() - 1
             bucket = waiting[rank]
-            if short:
-                at = (bucket & -bucket).bit_length() - 2
-                bucket &= bucket - 1
-                waiting[rank] = bucket
-            else:
-                at = heappop(bucket) - 1
+            at = (bucket & -bucket).bit_length() - 1
+            bucket &= bucket - 1
+            waiting[rank] = bucket
             if not bucket:
                 word &= word - 1
                 words[high] = word
                 if not word:
                     summary &= summary - 1
-            own, mate = ids[at], after[at]
-            if own < 0 or mate >= n or join(own << shift | ids[mate]) != rank:
+            if due[at] != rank:
                 continue  # stale: a merge has changed one of the two
-            ids[at], ids[mate] = rank, -1
+            mate = after[at]
+            ids[at], ids[mate], due[mate] = rank, -1, -1
             nxt = after[at] = after[mate]
             if nxt < n:
                 before[nxt] = at
-                new = join(rank << shift | ids[nxt])
-                if new is not None:
-                    summary |= self._wait(waiting, words, new, at + 1, short)
+                new = due[at] = join(rank << shift | ids[nxt], -1)
+                if new >= 0:
+                    waiting[new] = waiting.get(new, 0) | 1 << at
+                    high = new >> 8
+                    words[high] = words.get(high, 0) | 1 << (new & 255)
+                    summary |= 1 << high
+            else:
+                due[at] = -1
             at = before[at]
             if at >= 0:
-                new = join(ids[at] << shift | rank)
+                new = due[at] = join(ids[at] << shift | rank, -1)
+                if new >= 0:
+                    waiting[new] = waiting.get(new, 0) | 1 << at
+                    high = new >> 8
+                    words[high] = words.get(high, 0) | 1 << (new & 255)
+                    summary |= 1 << high
+        return [i for i in ids if i >= 0]
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """Buckets are heaps of positions."""
+        join, shift, n = self.join.get, self.shift, len(ids)
+        waiting: dict[int, list[int]] = {}
+        for at in range(n - 1):
+            rank = join(ids[at] << shift | ids[at + 1])
+            if rank is not None:
+                waiting.setdefault(rank, []).append(at)  # rising positions keep the heap in order
+        words, summary = self._queue(waiting)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            word = words[high]
+            rank = high << 8 | (word & -word).bit_length() - 1
+            bucket = waiting[rank]
+            at = heappop(bucket)
+            if not bucket:
+                words[high] = word & (word - 1)
+                if not words[high]:
+                    summary &= summary - 1
+            own, mate = ids[at], after[at]
+            if own < 0 or mate >= n or join(own << shift | ids[mate]) != rank:
+                continue  # stale
+            ids[at], ids[mate] = rank, -1
+            nxt = after[at] = after[mate]
+            made = []
+            if nxt < n:
+                before[nxt] = at
+                made.append((join(rank << shift | ids[nxt]), at))
+            if before[at] >= 0:
+                made.append((join(ids[before[at]] << shift | rank), before[at]))
+            for new, where in made:
                 if new is not None:
-                    summary |= self._wait(waiting, words, new, at + 1, short)
+                    heappush(waiting.setdefault(new, []), where)
+                    words[new >> 8] = words.get(new >> 8, 0) | 1 << (new & 255)
+                    summary |= 1 << (new >> 8)
         return [i for i in ids if i >= 0]
 
-    @staticmethod
-    def _wait(waiting: dict, words: dict[int, int], rank: int, at: int, short: bool) -> int:
-        """Puts a position into a rank's bucket; the summary bit to set."""
-        got = waiting.get(rank)
-        if short:
-            waiting[rank] = (got or 0) | 1 << at
-        elif got:
-            heappush(got, at)
-        else:
-            waiting[rank] = [at]
-        high = rank >> 8
-        words[high] = words.get(high, 0) | 1 << (rank & 255)
-        return 1 << high
+
+def _words32(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit words."""
+    out = array("I", ids)
+    if out.itemsize != 4 or sys.byteorder != "little":
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+    return out.tobytes()
 
 
 class _Known(dict):
@@ -154,8 +198,7 @@ class _Known(dict):
         self.merges = merges
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.merges.encode_piece(piece.encode())
-        out = b"".join([i.to_bytes(4, "little") for i in ids])
+        out = _words32(self.merges.encode_piece(piece.encode()))
         if len(piece) <= 64:
             self[piece] = out
             if len(self) > CACHE:
@@ -166,8 +209,6 @@ class _Known(dict):
 
 def _held(key: str, make):
     """An object that stays with the worker process from task to task."""
-    import sys
-
     store = sys.__dict__.setdefault("_vellum_worker", {})
     if key not in store:
         store[key] = make()
