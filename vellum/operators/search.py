@@ -74,9 +74,10 @@ def haystack_search(notes: DataFrame, query: str, n: int, order: Sequence[str])
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """id, score: BM25 of the documents (id, text) that hold any of the terms. One pass counts
     the terms, one row of statistics joins it."""
-    words = F.filter(F.split(F.lower("text"), r"(?U)[^\w]+"), lambda w: w != "")
-    counted = lambda term: F.size(F.filter(words, lambda w: w == term))
-    tf = docs.select("id", F.size(words).alias("len"), *[counted(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    low = F.lower("text")
+    # words are runs of word characters: counted by pattern, no array of them is made
+    counted = lambda term: F.regexp_count(low, F.lit(rf"(?U)(?<!\w)\Q{term}\E(?!\w)"))
+    tf = docs.select("id", F.regexp_count(low, F.lit(r"(?U)\w+")).alias("len"), *[counted(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     # one row of statistics, as literals of the scoring pass
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avg = stats["n"], stats["avg"] or 1.0
