@@ -222,3 +222,26 @@ def test_examples(engine, vault):
     assert plan["notes"] == ["05-people/will-fox.md"] and ("03-projects/x.md", 6) in plan["lines"]
     text = (vault / "03-projects/x.md").read_text()
     assert "- see" not in text and text.count("will-fox") == 1 and "Will Fox" not in text and "Ann Bee" in text
+
+
+def test_providers_and_cache(engine, vault):
+    from vellum.functions import markdown as M
+    from vellum.operators import providers
+
+    assert "03-projects/apollo.md" in [r.file for r in engine.hits("launch notes").collect()]
+    assert "03-projects/apollo.md" in [r.file for r in engine.hits("launch notes", provider="naive").collect()]
+    with pytest.raises(ValueError):
+        engine.hits("x", provider="none")
+    assert providers.status(engine.providers(), "naive") == [("ranked", "ready"), ("naive", "chosen")]
+    assert providers.choice("search", None, {"providers": {"search": "ranked"}}, {}) == "ranked" and providers.choice("search", None, {"providers": None}, {"VELLUM_SEARCH_PROVIDER": "naive"}) == "naive"
+    assert providers.collection_name("/home/ann/Notes/vault", "/home/ann") == "notes-vault" and providers.collection_name("/home/ann/vault", "/home/ann") == "vault"
+    assert providers.structured("x", lambda m: 'sure: {"actions": ["a"], "decisions": "no"}') == {"actions": ["a"], "decisions": [], "outcomes": []}
+    assert providers.structured("x", lambda m: "none")["actions"] == []
+    kept = str(vault / ".kit/tables")
+    n = engine.cached_sql("select count(*) as n from nodes", kept).first().n
+    (vault / "05-people/more.md").write_text("---\ntype: person\ntitle: More\n---\n")
+    assert engine.cached_sql("select count(*) as n from nodes", kept).first().n == n
+    assert engine.cached_sql("select count(*) as n from nodes", kept, rebuild=True).first().n == n + 1
+    assert "not valid UTF-8" in engine.completeness()
+    assert M.recap_text("é".encode("utf-16")) == "é" and M.recap_text(b"\xef\xbb\xbfx") == "x" and M.alike("It is Ann Bee!", "ann-bee") and not M.alike("", "x")
+    assert engine.ask("What is Apollo?", lambda m: m[1]["content"][:8]) == "# Apollo"

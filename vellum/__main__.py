@@ -9,6 +9,7 @@ import os
 import sys
 
 from .engine import Engine
+from .functions import markdown as M
 from .operators import exports
 from .operators.sqlgate import Refused
 from .session import session
@@ -45,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
     verb("prompt", "question", n=5)
     a = top.parse_args(argv)
     e = Engine(session(), a.vault)
+    if note := e.completeness():
+        print(note, file=sys.stderr)
     show = lambda df: print(*df.toJSON().toLocalIterator(), sep="\n")
     say = lambda x: print(json.dumps(x, ensure_ascii=False, default=str, indent=1))
     if a.verb == "index":
@@ -94,8 +97,8 @@ def main(argv: list[str] | None = None) -> int:
         say(got["counts"])
         show(got["tasks"])
     elif a.verb == "minutes":
-        with open(a.file, encoding="utf-8-sig") as f:
-            text = f.read()
+        with open(a.file, "rb") as f:
+            text = M.recap_text(f.read())
         people = [p.strip() for p in a.people.split(",")] if a.people else None
         m = e.minutes(text, a.title, dt.date.fromisoformat(a.date) if a.date else None, a.dry_run, project=a.project, people=people, kind=a.kind, daily=a.daily, force=a.force)
         say(vars(m))

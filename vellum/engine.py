@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import markdown as M
 from .functions import text as T
-from .operators import checks, edits, exports, minutes, policy, reconcile, search, sqlgate, tasks, validate, views
+from .operators import checks, edits, exports, minutes, policy, providers, reconcile, search, sqlgate, tasks, validate, views
 from .operators.graph import Graph, build
 from .operators.policy import Policy, PolicyError
 from .sources.vault import RESERVED, Vault, walk_key
@@ -119,6 +119,27 @@ class Engine:
     def sql(self, statement: str, limit: int = 200) -> DataFrame:
         return self._read("graph_query", {"sql": statement}, lambda: sqlgate.query(self.spark, statement, self.graph().tables(), limit))
 
+    def cached_sql(self, statement: str, folder: str, limit: int = 200, rebuild: bool = False) -> DataFrame:
+        """As sql(), over the tables kept in a folder; they are written first if they are not
+        there or a rebuild is asked for. Only the tables of the policy's view are ever kept."""
+        if rebuild or not (Path(folder) / "meta").exists():
+            exports.write_parquet(self.graph(), folder)
+        return sqlgate.query(self.spark, statement, exports.read_parquet(self.spark, folder), limit)
+
+    def providers(self) -> list[providers.SearchProvider]:
+        notes = self._searchable()
+        return [providers.RankedProvider(notes), providers.KeywordProvider(notes, ["walk"])]
+
+    def hits(self, question: str, n: int = 5, provider: str | None = None) -> DataFrame:
+        """Hits of the provider that the caller, the environment or the vault's settings choose."""
+        want = providers.choice("search", provider, providers.kit_config(self.vault))
+        return policy.visible(providers.hits(self.providers(), question, n, want), self.hidden(), "file")
+
+    def completeness(self) -> str:
+        """What whole-vault answers add: how many files no reader sees."""
+        n = len(self.skipped_files())
+        return f"{n} file(s) are not valid UTF-8 and were not read" if n else ""
+
     def view(self, base: str, name: str) -> DataFrame:
         """A view of a view file of the vault."""
         import yaml

@@ -206,6 +206,12 @@ def write_parquet(g: Graph, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def read_parquet(spark, folder: str) -> dict[str, DataFrame]:
+    """The tables that write_parquet() wrote, for queries that need no fresh graph."""
+    names = ("meta", "nodes", "edges", "props", "derived", "findings", "v_trust", "v_stale", "v_at_risk")
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
 def write_artifacts(g: Graph, context: dict, folder: str) -> dict[str, Path]:
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)

@@ -126,6 +126,23 @@ def label() -> Column:
 
 
 
+def actor_nodes(events: DataFrame, owner: str | None) -> DataFrame:
+    """id, kind, type, title, description, props of the actors (by) but for the owner's."""
+    by = F.col("by")
+    kind = F.when(by.startswith("human:"), "human").when(by.startswith("process:"), "process").otherwise("agent")
+    return events.filter(~by.eqNullSafe(owner)).select("by").distinct().select(
+        F.concat(F.lit("actor:"), by).alias("id"), F.lit("actor").alias("kind"), F.lit("actor").alias("type"), by.alias("title"),
+        F.concat(kind, F.lit(" actor")).alias("description"), F.to_json(F.struct(kind.alias("actor_kind"))).alias("props"),
+    )
+
+
+def source_nodes(given: DataFrame) -> DataFrame:
+    """id, kind, type, title, props of sources (sid, resource, title, modified, node, no): one for
+    each resource, with what the first note in order says of it."""
+    first = given.groupBy("sid").agg(F.min_by(F.struct("resource", "title", F.col("modified").alias("last_modified")), F.struct("node", "no")).alias("s"))
+    return first.select(F.col("sid").alias("id"), F.lit("source").alias("kind"), F.lit("source").alias("type"), F.coalesce("s.title", F.trim("s.resource")).alias("title"), F.to_json("s").alias("props"))
+
+
 def build(vault: Vault, now: dt.datetime | None = None) -> Graph:
     """Nodes, edges, findings and derived facts of a vault."""
     spark, onto = vault.spark, vault.ontology
@@ -233,9 +250,7 @@ def build(vault: Vault, now: dt.datetime | None = None) -> Graph:
     own = notes.select(F.col("node").alias("id"), F.lit("note").alias("kind"), "title", "description", F.col("node").alias("path"), "mtime", F.coalesce("fm", F.lit("{}")).alias("props"), "sensitivity").join(facts.drop("state", "knowledge", "on", "by"), "id").select(*columns)
     me = spark.createDataFrame([(SELF, "virtual", "person", "me", owner)], "id string, kind string, type string, title string, actor string")
     me = me.withColumns({**empty, "description": F.lit("The vault owner"), "props": F.to_json(F.struct("actor"))}).select(*columns)
-    kind = F.when(F.col("by").startswith("human:"), "human").when(F.col("by").startswith("process:"), "process").otherwise("agent")
-    actors = acted.filter(F.col("by") != owner).select("by").distinct().withColumns({**empty, "id": actor, "kind": F.lit("actor"), "type": F.lit("actor"), "title": F.col("by"), "description": F.concat(kind, F.lit(" actor")), "props": F.to_json(F.struct(kind.alias("actor_kind")))}).select(*columns)
-    sources = given.groupBy("sid").agg(F.min_by(F.struct("resource", "title", F.col("modified").alias("last_modified")), F.struct("node", "no")).alias("s"))
-    sources = sources.withColumns({**empty, "id": F.col("sid"), "kind": F.lit("source"), "type": F.lit("source"), "title": F.coalesce("s.title", F.trim("s.resource")), "props": F.to_json("s")}).select(*columns)
+    actors = actor_nodes(acted, owner).withColumns({c: v for c, v in empty.items() if c != "description"}).select(*columns)
+    sources = source_nodes(given).withColumns(empty).select(*columns)
     nodes = staged(own.unionByName(me).unionByName(actors).unionByName(sources), "nodes")
     return Graph(nodes, edges, staged(findings, "findings"), props.drop("type"), events, table, now.isoformat(), owner, onto)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, derive, exports, policy, sqlgate
 from ..operators import edges as E
+from ..operators.graph import actor_nodes, label, source_nodes
+from ..operators.providers import recall
 from ..operators.resolve import keys, lookup, resolve
 from .frames import EDGES_SQL, INVERSES, NODES_SQL, NOTES_SQL, PLACES_SQL, nodes, notes, places, raw_edges, table
 
@@ -393,3 +395,52 @@ _gate("sql_passthrough_group", "select pred, count(*) as n, count(distinct dst)
 _gate("sql_passthrough_recursive", "with recursive r(node, depth) as (select 'r:1' as node, 0 as depth union all select e.src, r.depth + 1 from edges e join r on e.dst = r.node where e.pred = 'located_in' and r.depth < 3) select node, depth from r")
 SQL["sql_passthrough_recursive"] = f"with recursive r(node, depth) as (select 'r:1' as node, 0 as depth union all select e.src, r.depth + 1 from {EDGES_SQL} e join r on e.dst = r.node where e.pred = 'located_in' and r.depth < 3) select node, depth from r"
 
+
+# ---- further tables of the graph ---------------------------------------------------------
+
+
+@query("graph_counts", f"select (select count(*) from {NODES_SQL}) as nodes, count(*) as edges, count(distinct src) as sources from {EDGES_SQL}")
+def _(spark, d):
+    n = nodes(spark, d).agg(F.count(F.lit(1)).alias("nodes"))
+    return edges(spark, d).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources")).join(n).select("nodes", "edges", "sources")
+
+
+@query("relation_labels", f"""
+select e.src, e.pred, list_sort(list(distinct n.title || ' (' || n.id || ') [' || n.type || ']')) as labels
+from {EDGES_SQL} e join {NODES_SQL} n on n.id = e.dst where e.src like 'o:1%' group by e.src, e.pred""")
+def _(spark, d):
+    n = nodes(spark, d).withColumns({"props": F.lit("{}"), "stale": F.lit(False)}).select(F.col("id").alias("dst"), label().alias("label"))
+    e = edges(spark, d).filter(F.col("src").startswith("o:1"))
+    return e.join(n, "dst").groupBy("src", "pred").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
+@query("node_labels", f"""
+select rel, title || ' (' || rel || ') [' || type || ', state=' || state || ', health=' || health || ', status=' || status || case when key % 2 = 0 then ', stale' else '' end || ']' as label from {NOTES_SQL}""")
+def _(spark, d):
+    n = notes(spark, d).withColumns({"id": F.col("rel"), "stale": F.col("key") % 2 == 0, "props": F.to_json(F.struct("state", "health", "status"))})
+    return n.select("rel", label().alias("label"))
+
+
+@query("actor_nodes", """
+select distinct 'actor:' || a as id, a as title, case when a like 'human:%' then 'human actor' when a like 'process:%' then 'process actor' else 'agent actor' end as description
+from (select ['human:', 'process:', 'agent/'][(user_id % 3) + 1] || user_id as a from events) where a <> 'human:3'""")
+def _(spark, d):
+    by = F.concat(F.element_at(F.array(F.lit("human:"), F.lit("process:"), F.lit("agent/")), (F.col("user_id") % 3 + 1).cast("int")), F.col("user_id").cast("string"))
+    return actor_nodes(table(spark, d, "events").select(by.alias("by")), "human:3").select("id", "title", "description")
+
+
+@query("source_nodes", """
+select 'source:' || p_brand as id, arg_min(p_name, p_partkey) as title from part group by p_brand""")
+def _(spark, d):
+    own = table(spark, d, "part").select(F.concat(F.lit("source:"), "p_brand").alias("sid"), F.col("p_brand").alias("resource"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("modified"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("node"), F.lit(0).alias("no"))
+    return source_nodes(own).select("id", "title")
+
+
+@query("retrieval_recall", """
+select o_orderkey as query, max(case when rank <= 3 and file = want then 1 else 0 end) = 1 as hit
+from (select o_orderkey, 'p' || l_partkey as file, l_linenumber as rank, 'p' || (o_orderkey % 2000) as want from lineitem join orders on l_orderkey = o_orderkey) group by 1""")
+def _(spark, d):
+    line = table(spark, d, "lineitem")
+    found = line.select(F.col("l_orderkey").alias("query"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("file"), F.col("l_linenumber").alias("rank"))
+    expected = line.select(F.col("l_orderkey").alias("query")).distinct().withColumn("file", F.concat(F.lit("p"), (F.col("query") % 2000).cast("string")))
+    return recall(found, expected, 3)
