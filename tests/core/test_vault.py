@@ -100,8 +100,8 @@ def test_validate(engine):
     good, found, onto = engine.validate()
     by = {(r.rule, r.rel) for r in found.collect()}
     for want in [
-        ("OKF-01", "07-knowledge/utf16.md"), ("OKF-05", "07-knowledge/bad-yaml.md"), ("OKF-05", "07-knowledge/bad-date.md"), ("LNK-01", "02-meetings/m.md"),
-        ("LNK-02", "02-meetings/m.md"), ("LNK-04", "02-meetings/m.md"), ("OKF-08", "07-knowledge/spec.md"),
+        ("DOC-01", "07-knowledge/utf16.md"), ("DOC-05", "07-knowledge/bad-yaml.md"), ("DOC-05", "07-knowledge/bad-date.md"), ("LNK-01", "02-meetings/m.md"),
+        ("LNK-02", "02-meetings/m.md"), ("LNK-04", "02-meetings/m.md"), ("DOC-08", "07-knowledge/spec.md"),
     ]:
         assert want in by, want
     assert not any(rel in ("Inbox.md", "index.md", "log.md", "07-knowledge/bom.md") for _, rel in by)
@@ -167,7 +167,7 @@ def test_exports(graph, tmp_path):
 
 
 def test_policy(spark, vault):
-    e = Engine(spark, str(vault), Policy(max_writes_per_minute=3, audit_path=str(vault / ".kit/audit.jsonl")), NOW)
+    e = Engine(spark, str(vault), Policy(max_writes_per_minute=3, audit_path=str(vault / ".vellum/audit.jsonl")), NOW)
     with pytest.raises(PolicyError):
         e.read_note("07-knowledge/secret")
     assert "07-knowledge/secret.md" not in [r.rel for r in e.list_files().collect()]
@@ -186,7 +186,7 @@ def test_policy(spark, vault):
     with pytest.raises(PolicyError):
         e.append_note("new", "too often")
     assert (vault / "03-projects/new.md").read_text() == "hello\nmore\n"
-    lines = [json.loads(x) for x in (vault / ".kit/audit.jsonl").read_text().splitlines()]
+    lines = [json.loads(x) for x in (vault / ".vellum/audit.jsonl").read_text().splitlines()]
     assert {"attempt", "result"} == {x["phase"] for x in lines if x["tool"] == "create_note"}
     p = Engine(spark, str(vault), Policy(propose=True), NOW)
     pid = p.append_note("new", "later").split(":")[1]
@@ -237,7 +237,7 @@ def test_providers_and_cache(engine, vault):
     assert providers.collection_name("/home/ann/Notes/vault", "/home/ann") == "notes-vault" and providers.collection_name("/home/ann/vault", "/home/ann") == "vault"
     assert providers.structured("x", lambda m: 'sure: {"actions": ["a"], "decisions": "no"}') == {"actions": ["a"], "decisions": [], "outcomes": []}
     assert providers.structured("x", lambda m: "none")["actions"] == []
-    kept = str(vault / ".kit/tables")
+    kept = str(vault / ".vellum/tables")
     n = engine.cached_sql("select count(*) as n from nodes", kept).first().n
     (vault / "05-people/more.md").write_text("---\ntype: person\ntitle: More\n---\n")
     assert engine.cached_sql("select count(*) as n from nodes", kept).first().n == n

@@ -30,7 +30,7 @@ class Engine:
         self.rules = rules or Policy(deny_write=(), hide_confidential=False, max_writes_per_minute=1 << 30, max_write_bytes=1 << 40, allow_overwrite=True)
         self.guarded = rules is not None
         self.audit = policy.Audit(self.rules.audit_path)
-        self.proposals = policy.Proposals(f"{root}/.kit/proposals")
+        self.proposals = policy.Proposals(f"{root}/.vellum/proposals")
         self._now, self._graph, self._writes = now, None, []
 
     def now(self) -> dt.datetime:
@@ -132,7 +132,7 @@ class Engine:
 
     def hits(self, question: str, n: int = 5, provider: str | None = None) -> DataFrame:
         """Hits of the provider that the caller, the environment or the vault's settings choose."""
-        want = providers.choice("search", provider, providers.kit_config(self.vault))
+        want = providers.choice("search", provider, providers.own_settings(self.vault))
         return policy.visible(providers.hits(self.providers(), question, n, want), self.hidden(), "file")
 
     def completeness(self) -> str:
@@ -182,7 +182,7 @@ class Engine:
         return edits.write_index(self.vault)
 
     def write_artifacts(self, folder: str | None = None) -> dict[str, Path]:
-        return exports.write_artifacts(self.graph(), self.vault.context(), folder or f"{self.vault.root}/.kit")
+        return exports.write_artifacts(self.graph(), self.vault.context(), folder or f"{self.vault.root}/.vellum")
 
     # -- reconciliation, minutes, examples
     def reconcile(self, apply: bool = False) -> list[dict]:

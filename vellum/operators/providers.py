@@ -71,10 +71,10 @@ class RankedProvider:
         return self.notes.join(best, self.notes["file"] == best["id"]).select("file", "title", F.substring("body", 1, 400).alias("snippet"), "score").orderBy(F.col("score").desc(), "file")
 
 
-def kit_config(vault: Vault) -> dict:
+def own_settings(vault: Vault) -> dict:
     """The vault's own settings; {} where they are missing or broken."""
     try:
-        data = yaml.safe_load(vault.text_of(".kit/config.yml") or "")
+        data = yaml.safe_load(vault.text_of(".vellum/config.yml") or "")
     except yaml.YAMLError:
         return {}
     return data if isinstance(data, dict) else {}

@@ -62,23 +62,23 @@ def format_findings(notes: DataFrame, templates: str | None = None) -> DataFrame
     bad_mod = F.filter("sources", lambda s: s["ok"] & s["has_modified"] & ~_instant(s["modified_tag"], s["modified"]))
     numbered = lambda arr, what: F.concat(F.lit("sources["), F.array_join(F.transform(arr, lambda s: s["no"].cast("string")), ","), F.lit("]" + what))
     rules = F.array(
-        _when(~readable, "error", "OKF-01", "not valid UTF-8: every tool skips it; re-save it as UTF-8"),
-        _when(readable & index & F.col("has_fm") & ((F.size(F.array_except(keys, F.array(F.lit("okf_version")))) > 0) | (rel != "index.md")), "error", "OKF-02", "index.md may only carry `okf_version`, and only at the root"),
-        _when(readable & log & (F.size(bad_days) > 0), "error", "OKF-03", F.concat(F.lit("log.md date headings must be `## YYYY-MM-DD`; found "), F.array_join(F.slice(bad_days, 1, 2), ", "))),
-        _when(readable & log & F.col("has_fm"), "error", "OKF-04", "log.md must not carry frontmatter"),
-        _when(note & F.col("fm_error").isNotNull(), "error", "OKF-05", F.col("fm_error")),
-        _when(note & F.col("fm_error").isNull() & ~F.col("has_fm"), "error", "OKF-06", "missing YAML frontmatter"),
-        _when(ok & ~F.coalesce((typ["tag"] == "str") & (F.trim(typ["str"]) != ""), F.lit(False)), "error", "OKF-07", "`type` is required and must be a non-empty string"),
-        _when(ok & ~in_templates & ~F.coalesce((desc["tag"] == "str") & (F.trim(desc["str"]) != ""), F.lit(False)), "warning", "OKF-08", "no `description`: views and snippets will be empty for this note"),
-        _when(ok & _has("status") & (status["tag"] != "null") & ~status["str"].isin(*LIFECYCLE), "error", "OKF-09", F.concat(F.lit("`status` must be one of "), F.lit(", ".join(LIFECYCLE)), F.lit("; got "), status["str"])),
-        _when(ok & (F.size(no_map) > 0), "error", "OKF-10", first(no_map, " must be a mapping with `by` (and optional `at`)")),
-        _when(ok & (F.size(by_bad) > 0), "error", "OKF-10", first(by_bad, ".by must follow the actor convention")),
-        _when(ok & ~in_templates & (F.size(at_bad) > 0), "error", "OKF-11", first(at_bad, ".at must be ISO-8601 with an explicit offset")),
-        _when(ok & ~in_templates & _has("stale_after") & (after["tag"] != "null") & (after["str"] != "") & ~_instant(after["tag"], after["str"]), "error", "OKF-12", F.concat(F.lit("`stale_after` must be an ISO-8601 instant with offset; got "), after["str"])),
-        _when(ok & _has("sources") & ~src["is_list"] & (_one("sources")["tag"] != "null"), "error", "OKF-13", "`sources` must be a list"),
-        _when(ok & (F.size(no_res) > 0), "error", "OKF-13", numbered(no_res, " needs a `resource`")),
-        _when(ok & (F.size(bad_mod) > 0), "error", "OKF-13", numbered(bad_mod, ".last_modified must be ISO-8601 with offset")),
-        _when(ok & _has("timestamp"), "warning", "OKF-14", "`timestamp` is an old field: use `generated.at`"),
+        _when(~readable, "error", "DOC-01", "not valid UTF-8: every tool skips it; re-save it as UTF-8"),
+        _when(readable & index & F.col("has_fm") & ((F.size(F.array_except(keys, F.array(F.lit("okf_version")))) > 0) | (rel != "index.md")), "error", "DOC-02", "index.md may only carry `okf_version`, and only at the root"),
+        _when(readable & log & (F.size(bad_days) > 0), "error", "DOC-03", F.concat(F.lit("log.md date headings must be `## YYYY-MM-DD`; found "), F.array_join(F.slice(bad_days, 1, 2), ", "))),
+        _when(readable & log & F.col("has_fm"), "error", "DOC-04", "log.md must not carry frontmatter"),
+        _when(note & F.col("fm_error").isNotNull(), "error", "DOC-05", F.col("fm_error")),
+        _when(note & F.col("fm_error").isNull() & ~F.col("has_fm"), "error", "DOC-06", "missing YAML frontmatter"),
+        _when(ok & ~F.coalesce((typ["tag"] == "str") & (F.trim(typ["str"]) != ""), F.lit(False)), "error", "DOC-07", "`type` is required and must be a non-empty string"),
+        _when(ok & ~in_templates & ~F.coalesce((desc["tag"] == "str") & (F.trim(desc["str"]) != ""), F.lit(False)), "warning", "DOC-08", "no `description`: views and snippets will be empty for this note"),
+        _when(ok & _has("status") & (status["tag"] != "null") & ~status["str"].isin(*LIFECYCLE), "error", "DOC-09", F.concat(F.lit("`status` must be one of "), F.lit(", ".join(LIFECYCLE)), F.lit("; got "), status["str"])),
+        _when(ok & (F.size(no_map) > 0), "error", "DOC-10", first(no_map, " must be a mapping with `by` (and optional `at`)")),
+        _when(ok & (F.size(by_bad) > 0), "error", "DOC-10", first(by_bad, ".by must follow the actor convention")),
+        _when(ok & ~in_templates & (F.size(at_bad) > 0), "error", "DOC-11", first(at_bad, ".at must be ISO-8601 with an explicit offset")),
+        _when(ok & ~in_templates & _has("stale_after") & (after["tag"] != "null") & (after["str"] != "") & ~_instant(after["tag"], after["str"]), "error", "DOC-12", F.concat(F.lit("`stale_after` must be an ISO-8601 instant with offset; got "), after["str"])),
+        _when(ok & _has("sources") & ~src["is_list"] & (_one("sources")["tag"] != "null"), "error", "DOC-13", "`sources` must be a list"),
+        _when(ok & (F.size(no_res) > 0), "error", "DOC-13", numbered(no_res, " needs a `resource`")),
+        _when(ok & (F.size(bad_mod) > 0), "error", "DOC-13", numbered(bad_mod, ".last_modified must be ISO-8601 with offset")),
+        _when(ok & _has("timestamp"), "warning", "DOC-14", "`timestamp` is an old field: use `generated.at`"),
     )
     return notes.select("rel", F.explode(F.array_compact(rules)).alias("f")).select("f.level", "f.rule", "rel", "f.message")
 
@@ -95,7 +95,7 @@ def misplaced_days(notes: DataFrame, config: dict) -> DataFrame:
 
     out = notes.filter(F.col("valid") & F.lit(bool(folder)) & rel.startswith(folder + "/")).select("rel", day.alias("day")).filter("day is not null").distinct()
     out = out.withColumn("want", expected("day")).filter("rel <> want")
-    return out.select(F.lit("warning").alias("level"), F.lit("OKF-15").alias("rule"), "rel", F.concat(F.lit("day note outside its folder: the settings file it at "), "want").alias("message"))
+    return out.select(F.lit("warning").alias("level"), F.lit("DOC-15").alias("rule"), "rel", F.concat(F.lit("day note outside its folder: the settings file it at "), "want").alias("message"))
 
 
 def _said(rule: str, message: Column) -> list[Column]:
@@ -157,7 +157,7 @@ def validate(vault: Vault) -> DataFrame:
 def passes(findings: DataFrame, ontology_findings: DataFrame | None = None, strict: bool = False) -> bool:
     """Whether a validation succeeds: conformance errors fail it; strictly, links, warnings and
     the ontology's errors and warnings do, too."""
-    hard = F.lit(True) if strict else (F.col("level") == "error") & F.col("rule").startswith("OKF")
+    hard = F.lit(True) if strict else (F.col("level") == "error") & F.col("rule").startswith("DOC")
     if not findings.filter(hard).isEmpty():
         return False
     return not strict or ontology_findings is None or ontology_findings.filter(F.col("level").isin("error", "warning")).isEmpty()

@@ -265,21 +265,21 @@ def _parsed(spark, d):
     return notes(spark, d).select("key", "rel", (k % 21 != 0).alias("valid"), (k % 22 != 0).alias("has_fm"), F.when(k % 44 == 0, "YAML error: x").alias("fm_error"), raw.alias("raw"), event.alias("events"), source.alias("sources"), F.lit("text").alias("body"))
 
 
-@query("okf_findings", f"""
+@query("format_findings", f"""
 with n as (select *, rel like '90-templates/%' as tpl, key % 21 <> 0 as valid, key % 21 <> 0 and key % 22 <> 0 as ok from {NOTES_SQL})
-select 'error' as level, 'OKF-01' as rule, rel from n where not valid
-union all select 'error', 'OKF-05', rel from n where valid and key % 44 = 0
-union all select 'error', 'OKF-06', rel from n where valid and key % 22 = 0 and key % 44 <> 0
-union all select 'error', 'OKF-07', rel from n where ok and type = ''
-union all select 'warning', 'OKF-08', rel from n where ok and not tpl and key % 6 = 0
-union all select 'error', 'OKF-09', rel from n where ok and key % 8 = 0
-union all select 'error', 'OKF-10', rel from n where ok and key % 12 = 0
-union all select 'error', 'OKF-10', rel from n where ok and key % 12 <> 0 and key % 14 = 0
-union all select 'error', 'OKF-11', rel from n where ok and not tpl and key % 12 <> 0 and key % 15 = 0
-union all select 'error', 'OKF-12', rel from n where ok and not tpl and key % 9 = 0
-union all select 'error', 'OKF-13', rel from n where ok and key % 18 = 0
-union all select 'error', 'OKF-13', rel from n where ok and key % 18 <> 0 and key % 20 = 0
-union all select 'warning', 'OKF-14', rel from n where ok and key % 10 = 0""")
+select 'error' as level, 'DOC-01' as rule, rel from n where not valid
+union all select 'error', 'DOC-05', rel from n where valid and key % 44 = 0
+union all select 'error', 'DOC-06', rel from n where valid and key % 22 = 0 and key % 44 <> 0
+union all select 'error', 'DOC-07', rel from n where ok and type = ''
+union all select 'warning', 'DOC-08', rel from n where ok and not tpl and key % 6 = 0
+union all select 'error', 'DOC-09', rel from n where ok and key % 8 = 0
+union all select 'error', 'DOC-10', rel from n where ok and key % 12 = 0
+union all select 'error', 'DOC-10', rel from n where ok and key % 12 <> 0 and key % 14 = 0
+union all select 'error', 'DOC-11', rel from n where ok and not tpl and key % 12 <> 0 and key % 15 = 0
+union all select 'error', 'DOC-12', rel from n where ok and not tpl and key % 9 = 0
+union all select 'error', 'DOC-13', rel from n where ok and key % 18 = 0
+union all select 'error', 'DOC-13', rel from n where ok and key % 18 <> 0 and key % 20 = 0
+union all select 'warning', 'DOC-14', rel from n where ok and key % 10 = 0""")
 def _(spark, d):
     return validate.format_findings(_parsed(spark, d), "90-templates").select("level", "rule", "rel")
 
