@@ -32,7 +32,7 @@ BASE, BITS, PROBES = 1.5, 8, 4
 #: Weight of the unigram model, in counts.
 SMOOTH = 20.0
 #: Bytes of filter and unigram counts that are broadcast at once.
-PORTION = 48 << 20
+PORTION = 80 << 20
 #: Distinct keys that a task gathers before it sends them on; bytes hashed at a time.
 GATHER, STEP = 1 << 20, 1 << 19
 #: Bytes of text that are scored or counted at a time.
@@ -166,27 +166,34 @@ def _spots(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int, pr
 def _filters(bits_each: int, probes: int):
     """Partial counts of whole segments to a row for each: its filter and exact token counts."""
 
+    def made(s: int, own: list[list[tuple[bytes, bytes]]]) -> pa.RecordBatch:
+        both = []
+        for got in own:
+            keys = [_unplanes(k) for k, _ in got]
+            n = [np.frombuffer(x, np.uint32).astype(np.int64) for _, x in got]
+            both.append(_tally(np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        keys, q = np.concatenate([b[0] for b in both]), quantised(np.concatenate([b[1] for b in both]))
+        m = min(max(64, -(-int(q.sum()) * bits_each // 64) * 64), 1 << 32)
+        flags = np.zeros(m, bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            deep = keys[q >= level]
+            for p in range(probes):
+                flags[_spots(deep, level, m, p)] = True
+        tokens, n = both[0]
+        row = (s, np.packbits(flags, bitorder="little").tobytes(), tokens.tobytes(), n.tobytes(), len(tokens), int(n.sum()))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["segment", "filter", "tokens", "n", "v", "total"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[list[tuple[bytes, bytes]]]] = {}
+        at, own = None, [[], []]  # rows come sorted by segment: one is held at a time
         for batch in batches:
             for s, kind, keys, n in zip(*(batch.column(c).to_pylist() for c in ("segment", "kind", "keys", "n")), strict=True):
-                own.setdefault(s, [[], []])[kind].append((keys, n))
-        for s in sorted(own):
-            both = []
-            for got in own.pop(s):
-                keys = [_unplanes(k) for k, _ in got]
-                n = [np.frombuffer(x, np.uint32).astype(np.int64) for _, x in got]
-                both.append(_tally(np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            keys, q = np.concatenate([b[0] for b in both]), quantised(np.concatenate([b[1] for b in both]))
-            m = min(max(64, -(-int(q.sum()) * bits_each // 64) * 64), 1 << 32)
-            flags = np.zeros(m, bool)
-            for level in range(1, int(q.max(initial=0)) + 1):
-                deep = keys[q >= level]
-                for p in range(probes):
-                    flags[_spots(deep, level, m, p)] = True
-            tokens, n = both[0]
-            row = (s, np.packbits(flags, bitorder="little").tobytes(), tokens.tobytes(), n.tobytes(), len(tokens), int(n.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["segment", "filter", "tokens", "n", "v", "total"])
+                if s != at and at is not None:
+                    yield made(at, own)
+                    own = [[], []]
+                at = s
+                own[kind].append((keys, n))
+        if at is not None:
+            yield made(at, own)
 
     return run
 
@@ -196,9 +203,12 @@ MODEL = "segment int, filter binary, tokens binary, n binary, v long, total long
 
 def build(docs: DataFrame, bits: int = BITS, probes: int = PROBES) -> DataFrame:
     """The model of all texts of docs (a column text): a row for each segment that is not empty."""
+    # a task has its segments pass one at a time, so few tasks do, and they leave few files
+    tasks = max(4, parts(docs.sparkSession) // 4)
     segments = max(16, 4 * parts(docs.sparkSession))
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count(segments)), "segment int, kind int, keys binary, n binary")
-    made = counted.repartition(segments, "segment").mapInArrow(tidy(_filters(bits, probes)), MODEL)
+    dealt = counted.repartition(tasks, "segment").sortWithinPartitions("segment")
+    made = dealt.mapInArrow(tidy(_filters(bits, probes)), MODEL)
     return staged(made.withColumn("segments", F.lit(segments)), "lm-model")
 
 
