@@ -21,12 +21,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id, and
-    one row of it. Rows without a doc_id stay if no row of their group has one."""
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").dropDuplicates()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near-duplicates stays: that of the smallest doc_id, of several
+    such rows the one of the least hash; in a group without any doc_id the least hash decides
+    alone. Rows of different groups never displace each other, whatever their ids."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("h"))
+    docs = docs.withColumn("at", key)
+    found = simhash.near_duplicates(docs, doc_id="at")
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("first")).dropDuplicates()
+    kept = docs.join(first, docs["at"] == first["first"], "left_semi")
+    return kept.dropDuplicates(["at"]).select(*COLUMNS)  # rows equal in all of it are one
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

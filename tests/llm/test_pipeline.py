@@ -63,3 +63,14 @@ def test_odd_rows(spark):
     for _, stage in cp.STAGES:
         for one in (docs, docs.limit(0)):
             stage(spark, one, SF).count()
+
+
+def test_one_row_of_each_group(spark):
+    """Null and repeated ids: every group of near-duplicates keeps one row, that of the least id."""
+    text = lambda n: " ".join(f"{n}word{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("c")), (5, text("c")), (9, text("d")), (9, text("e")), (9, text("e")), (8, text("e")), (None, text("e"))]
+    prints = {fingerprint(t) for _, t in rows}
+    assert len(prints) == 5 and all((x ^ y).bit_count() > 4 for x in prints for y in prints if x != y)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted((r.text[:1], r.doc_id) for r in cp.simhash_stage(spark, docs, SF).collect())
+    assert got == [("a", None), ("b", None), ("c", 5), ("d", 9), ("e", 8)]
