@@ -127,3 +127,17 @@ def test_stream(spark, tmp_path):
     q = audit_counts(audit_stream(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("audits").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.tool, r.calls, r.refused) for r in spark.table("audits").collect()] == [("t", 3, 1)]
+
+
+def test_percent_round_trip_takes_whole_texts(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vellum.functions import text as T
+
+    texts = [None, "", "a+b %41 é" * 30, "x" * 100 + "Z%+é€", "x" * 100 + "y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    heads = lambda: {r.doc_id: r.head for r in QUERIES["percent_round_trip"](spark, str(tmp_path)).collect()}
+    assert heads() == {i: t and t[:80] for i, t in enumerate(texts)}
+    right = T.unquoted
+    monkeypatch.setattr(T, "unquoted", lambda c: F.replace(right(c), F.lit("Z"), F.lit("?")))
+    assert [i for i, h in heads().items() if h != (texts[i] and texts[i][:80])] == [3]
