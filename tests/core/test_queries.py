@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import random
+import re
 
 import duckdb
 import pytest
@@ -141,3 +142,21 @@ def test_percent_round_trip_takes_whole_texts(spark, tmp_path, monkeypatch):
     right = T.unquoted
     monkeypatch.setattr(T, "unquoted", lambda c: F.replace(right(c), F.lit("Z"), F.lit("?")))
     assert [i for i, h in heads().items() if h != (texts[i] and texts[i][:80])] == [3]
+
+
+def test_whole_tables(spark, duck):
+    """mentions and index_build over every order, beside plain versions."""
+    parts = dict(duck.execute("select p_partkey, p_name from part").fetchall())
+    least = {}
+    for k in sorted(parts):
+        least.setdefault(parts[k].lower(), f"p:{k}")
+    orders, n = duck.execute("select o_orderkey, o_custkey from orders").fetchall(), max(parts)
+    want = set()
+    for o, c in orders:
+        a, b = parts.get(1 + o % n), parts.get(1 + c % n)
+        if a and b:
+            text = f"we need a {a.upper()}, and {b}s".lower()
+            want |= {(o, node, len(name)) for name, node in least.items() if len(name) >= 4 and re.search(rf"(?<![\w-]){re.escape(name)}(?![\w-])", text)}
+    assert len({o for o, _, _ in want}) > 0.9 * len(orders)
+    assert {tuple(r) for r in QUERIES["mentions_whole"](spark, SF).select("id", "node", "size").collect()} == want
+    assert sum(len(r.entries.split("\n")) for r in QUERIES["index_build_whole"](spark, SF).collect()) == len(orders)

@@ -301,6 +301,14 @@ def _(spark, d):
     return validate.index(own.select(validate.section().alias("section"), "rel", validate.index_entry(F.col("title"), F.col("rel"), F.col("description")).alias("entry")))
 
 
+@query("index_build_whole", f"""
+select split_part(rel, '/', 1) as section, string_agg('* [' || title || '](' || rel || ')' || case when description = '' then '' else ' - ' || description end, chr(10) order by rel) as entries
+from {NOTES_SQL} group by 1""")
+def _(spark, d):
+    own = notes(spark, d)
+    return validate.index(own.select(validate.section().alias("section"), "rel", validate.index_entry(F.col("title"), F.col("rel"), F.col("description")).alias("entry")))
+
+
 @query("daily_paths", "select o_orderkey, strftime(o_orderdate, '01-journal/daily/%Y/%m/%Y-%m-%d.md') as daily, strftime(o_orderdate, '01-journal/monthly/%Y-%m.md') as monthly from orders")
 def _(spark, d):
     cfg = {"folder": "01-journal", "format": "[daily]/YYYY/MM/YYYY-MM-DD"}

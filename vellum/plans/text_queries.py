@@ -239,6 +239,18 @@ def _(spark, d):
     return search.mentions(texts, names)
 
 
+@query("mentions_whole")
+def _(spark, d):
+    """The texts of all orders, named from all parts: DuckDB tries every text with every name, so there is no SQL."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    names = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).select("name", F.concat(F.lit("p:"), F.col("k").cast("string")).alias("node"))
+    part = lambda k: (1 + F.col(k) % F.col("n")).cast(p.schema["p_partkey"].dataType)
+    o = table(spark, d, "orders").crossJoin(F.broadcast(p.agg(F.max("p_partkey").alias("n")))).select("o_orderkey", part("o_orderkey").alias("a"), part("o_custkey").alias("b"))
+    o = o.join(p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), "b")
+    texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("we need a "), F.upper("x"), F.lit(", and "), "y", F.lit("s")).alias("text"))
+    return search.mentions(texts, names)
+
+
 @query("suggestions")
 def _(spark, d):
     p = table(spark, d, "part")
