@@ -160,3 +160,12 @@ def test_whole_tables(spark, duck):
     assert len({o for o, _, _ in want}) > 0.9 * len(orders)
     assert {tuple(r) for r in QUERIES["mentions_whole"](spark, SF).select("id", "node", "size").collect()} == want
     assert sum(len(r.entries.split("\n")) for r in QUERIES["index_build_whole"](spark, SF).collect()) == len(orders)
+
+
+def test_whole_graph(spark, duck):
+    """relation_labels over every source of an edge, reference_findings over every line."""
+    sources = {r.src for r in QUERIES["relation_labels_whole"](spark, SF).select("src").collect()}
+    assert {s[0] for s in sources} == set("ncso")
+    assert len([s for s in sources if s[0] == "o"]) == duck.execute("select count(*) from orders").fetchone()[0]
+    unresolved = QUERIES["reference_findings_whole"](spark, SF).filter("code = 'unresolved_ref'").count()
+    assert unresolved == duck.execute("select count(*) from lineitem where l_linenumber % 2 = 0").fetchone()[0]

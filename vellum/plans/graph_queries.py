@@ -236,6 +236,21 @@ def _(spark, d):
     return checks.reference_findings(resolve(refs, lookup(keys(_parts(spark, d))), up), up)
 
 
+@query("reference_findings_whole", f"""
+with t as (select * from {_PARTS_SQL}), r as (select 'o:' || l_orderkey as node, l_partkey as k, l_linenumber from lineitem)
+select 'error' as level, 'range_violation' as code, r.node, '`item` points at p:' || r.k || ' of type `part`; expected [person]' as message, '' as suggestion from r join t on t.k = r.k where t.type = 'part' and l_linenumber % 2 = 1
+union all select 'warning', 'unresolved_ref', r.node, '`item: nobody ' || r.k || '` does not resolve to a note', 'create a `person` note for it' from r where l_linenumber % 2 = 0""")
+def _(spark, d):
+    k = F.col("l_partkey").cast("string")
+    refs = table(spark, d, "lineitem").select(
+        F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("node"), F.lit("item").alias("key"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("[x](/parts/p"), k, F.lit(".md)"))).otherwise(F.concat(F.lit("nobody "), k)).alias("value"),
+        F.lit("").alias("from_path"), F.array(F.lit("person")).alias("ranges"), F.lit(False).alias("soft"),
+    )
+    up = {"person": ["person", "node"], "part": ["part", "node"]}
+    return checks.reference_findings(resolve(refs, lookup(keys(_parts(spark, d))), up), up)
+
+
 @query("unknown_type", f"""
 select 'info' as level, 'unknown_type' as code, id as node, 'type `' || type || '` is not declared in the ontology (tolerated)' as message, 'add a class or use an existing one' as suggestion from {NODES_SQL} where type not in ('region', 'nation', 'order', 'part')""")
 def _(spark, d):
@@ -414,6 +429,14 @@ def _(spark, d):
     return e.join(n, "dst").groupBy("src", "pred").agg(F.sort_array(F.collect_set("label")).alias("labels"))
 
 
+@query("relation_labels_whole", f"""
+select e.src, e.pred, list_sort(list(distinct n.title || ' (' || n.id || ') [' || n.type || ']')) as labels
+from {EDGES_SQL} e join {NODES_SQL} n on n.id = e.dst group by e.src, e.pred""")
+def _(spark, d):
+    n = nodes(spark, d).withColumns({"props": F.lit("{}"), "stale": F.lit(False)}).select(F.col("id").alias("dst"), label().alias("label"))
+    return edges(spark, d).join(n, "dst").groupBy("src", "pred").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
 @query("node_labels", f"""
 select rel, title || ' (' || rel || ') [' || type || ', state=' || state || ', health=' || health || ', status=' || status || case when key % 2 = 0 then ', stale' else '' end || ']' as label from {NOTES_SQL}""")
 def _(spark, d):
