@@ -169,3 +169,10 @@ def test_whole_graph(spark, duck):
     assert len([s for s in sources if s[0] == "o"]) == duck.execute("select count(*) from orders").fetchone()[0]
     unresolved = QUERIES["reference_findings_whole"](spark, SF).filter("code = 'unresolved_ref'").count()
     assert unresolved == duck.execute("select count(*) from lineitem where l_linenumber % 2 = 0").fetchone()[0]
+
+
+def test_suggestions_without_common_trigram(spark):
+    key, value = "abycdyefyghyijy"[:15], "abxcdxefxghxijx"[:15]
+    assert difflib.get_close_matches(value, [key]) == [key]
+    pool = spark.createDataFrame([(key, "y"), ("zzzzzzzzzzzzzzz", "z")], "key string, id string")
+    assert [list(r.suggested) for r in resolve.suggestions(spark.createDataFrame([(value,)], "value string"), pool).collect()] == [["y"]]
