@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vellum.llm import suffixes
+from vellum.llm import _common, suffixes
 
 
 def plain(texts, length):
@@ -41,9 +41,12 @@ def corpus(rng, n, length):
     return texts
 
 
-@pytest.mark.parametrize(("length", "crowd", "segment"), [(16, 400, 1 << 19), (40, 400, 300), (40, 2, 1 << 19), (64, 6, 1 << 19)])
+@pytest.mark.parametrize(("length", "crowd", "segment"), [(16, 400, 1 << 19), (40, 400, 300), (40, 2, 1 << 19), (24, 1, 1 << 19)])
 def test_against_all_windows(spark, monkeypatch, length, crowd, segment):
     monkeypatch.setattr(suffixes, "SEGMENT", segment)
+    if crowd < 10:
+        monkeypatch.setattr(_common, "KEY_ROWS", 5)  # common keys go by broadcast
+        monkeypatch.setattr(_common, "HEAVY", 1 << 40)
     texts = corpus(random.Random(length + crowd), 60, length)
     rows = [(i if i % 7 else None, t, "x") for i, t in enumerate(texts)] + [(1, texts[1], "x")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, tid string")
@@ -53,6 +56,42 @@ def test_against_all_windows(spark, monkeypatch, length, crowd, segment):
     assert sorted((str(r.doc_id), r.n_bytes, str([(x.start, x.end) for x in r.spans]), bytes(r.kept)) for r in got) == expect
 
 
+def test_words_and_characters(spark):
+    """Short repeats stay, and characters are never divided; genuine replacement characters stay."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line, passage = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(40))
+    texts = [f"x{i}\ufffdé{line}é y{i}{chr(0xE0 + i)}{passage}{chr(0xE0 + i)}z{i}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffixes.remove_repeats(df, 40, least_words=30, whole_chars=True).collect()}
+    assert got == {i: f"x{i}\ufffdé{line}é y{i}{chr(0xE0 + i)}z{i}" for i in range(3)}
+
+
+def test_work_of_a_crowded_gram(spark):
+    """One passage in many different surroundings: rows in proportion to its occurrences."""
+    rng, made = random.Random(9), []
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(150)
+    texts = [noise(120) + passage + noise(120) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    real = suffixes._uncrowded
+
+    def counted(around, length, crowd):
+        made.append(around.count())
+        calm, solved = real(around, length, crowd)
+        made.append(sum(x.count() for x in (*calm, *solved)))
+        return calm, solved
+
+    suffixes._uncrowded = counted
+    try:
+        got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, 4).collect()
+    finally:
+        suffixes._uncrowded = real
+    want = plain([t.encode() for t in texts], 100)
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == [(i, k) for i, (_, k) in enumerate(want)]
+    assert made[0] >= 200 and made[1] <= 8 * made[0]
+
+
 def test_loser_tree():
     rng = random.Random(1)
     words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(300)]

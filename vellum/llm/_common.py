@@ -21,7 +21,9 @@ BATCH_BYTES = 16 << 20
 #: Bytes of a row group of staged tables.
 ROW_GROUP = 16 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
+#: Paths that staged() wrote and that are still there.
+_staged: dict[str, SparkSession] = {}
+_own_dir: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -33,14 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a
-    session that names none (tests, local mode) a folder made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session that
+    names none (tests) gets a folder made here; any other has to name one."""
+    global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="vellum-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return "file://" + _own_dir
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -50,20 +56,55 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # small row groups: a writer holds one in the heap, and reading them is no slower
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that staged() returned and that nothing still to be computed reads."""
+    for df in tables:
+        _delete(getattr(df, "_vellum_path", ""))
+
+
+def _delete(path: str) -> None:
+    spark = _staged.pop(path, None)
+    if spark is None:
+        return
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended, or this user may not delete; the folder's owner clears it
+        pass
+
+
+@atexit.register
 def drop_staged() -> None:
-    """Deletes the tables that staged() wrote; results that read them end with that."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the folder's owner clears it
-            continue
+    """Deletes the tables that staged() wrote; results that read them end with that. Runs by
+    itself when the application ends."""
+    for path in list(_staged):
+        _delete(path)
+
+
+#: Rows of one key that a task takes without ado; at most HEAVY keys have more than their share.
+KEY_ROWS, HEAVY = 1 << 16, 1000
+
+
+def join_many(many: DataFrame, one: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """The inner join of many and one on columns that are unique in `one` and not null. weight:
+    a column of `one` (left out of the result) that counts a key's rows in `many`.
+
+    Keys with more than KEY_ROWS rows and more than a thousandth of all go by broadcast: they
+    are fewer than HEAVY, whatever the data, and so no key gathers in one task. many and one
+    should be staged, since they are read twice where such keys exist."""
+    total, most = one.agg(F.sum(weight), F.max(weight)).first()
+    share = max(KEY_ROWS, (total or 0) // HEAVY)
+    if (most or 0) <= share:
+        return many.join(one.drop(weight), on)
+    heavy = F.broadcast(one.filter(F.col(weight) > share).drop(weight))
+    light = many.join(heavy.select(*on), on, "left_anti").join(one.filter(F.col(weight) <= share).drop(weight), on)
+    return light.unionByName(many.join(heavy, on))
 
 
 def parts(spark: SparkSession) -> int:
