@@ -16,6 +16,51 @@ def odd(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def passages_cut(body, spans):
+    """The text without those of the spans that have more than 50 words, and the characters that they divide."""
+    gone = set()
+    for lo, hi in spans:
+        if len(body[lo:hi].split()) > 50:
+            gone.update(range(lo, hi))
+    out, at = [], 0
+    for char in body.decode():
+        n = len(char.encode())
+        if not gone.intersection(range(at, at + n)):
+            out.append(char)
+        at += n
+    return "".join(out)
+
+
+def test_passages_that_repeat_go(spark):
+    """Runs of more than 50 words that two documents share are not found in what is left, and
+    documents without such a run stay as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = cp.simhash_stage(spark, docs, SF).collect()
+    after = {r.doc_id: r.text for r in cp.suffix_stage(spark, spark.createDataFrame(before, docs.schema), SF).collect()}
+    runs, found = {}, set()
+    for r in before:
+        words = r.text.split()
+        for i in range(len(words) - 50):
+            run = " ".join(words[i : i + 51])
+            if runs.setdefault(run, r.doc_id) != r.doc_id:
+                found.add(run)
+    left = hit = 0
+    for r in before:
+        own = {" ".join(w[i : i + 51]) for w in [r.text.split()] for i in range(len(w) - 50)} & found
+        words = after.get(r.doc_id, "").split()
+        now = {" ".join(words[i : i + 51]) for i in range(len(words) - 50)}
+        hit, left = hit + len(own), left + len(own & now)
+    assert hit > 1000 and left <= 0.01 * hit
+
+
+def test_characters_of_the_source_stay(spark):
+    """Replacement characters that a text has of its own are no trace of a cut."""
+    passage = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, f"{i}a\ufffdb\u00e9{passage}{chr(0xE0 + i)}\ufffdz{i}", "en", "a", 1) for i in range(3)]
+    got = {r.doc_id: r.text for r in cp.suffix_stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert got == {i: f"{i}{chr(0xE0 + i)}\ufffdz{i}"[:1] + f"\ufffdz{i}" for i in range(3)}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -36,7 +81,7 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in rows) == sorted(least.values())
 
     short = cp.suffix_stage(spark, one, SF)
-    want = {r.doc_id: kept.decode(errors="ignore") for r, (_, kept) in zip(rows, cut([(r.text or "").encode() for r in rows], 400), strict=True)}
+    want = {r.doc_id: passages_cut(r.text.encode(), spans) for r, (spans, _) in zip(rows, cut([r.text.encode() for r in rows], 150), strict=True)}
     got = {r.doc_id: r.text for r in short.collect()}
     assert got == {i: t for i, t in want.items() if t}
 

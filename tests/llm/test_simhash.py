@@ -35,8 +35,8 @@ def roots(values, linked):
     return {v: find(v) for v in values}
 
 
-@pytest.mark.parametrize("tile", [16, 2048])
-def test_links_lose_nothing(spark, tile):
+@pytest.mark.parametrize(("tile", "groups"), [(16, None), (2048, 6), (16, 8)])
+def test_links_lose_nothing(spark, tile, groups):
     rng = random.Random(5)
     fps = {0, 1, (1 << 64) - 1}
     for _ in range(60):
@@ -52,7 +52,7 @@ def test_links_lose_nothing(spark, tile):
     fps |= {hot ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12, 20)}
     signed = sorted(simhash._signed(x) for x in fps)
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(df, tile=tile)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(df, tile=tile, groups=groups)).collect()}
     linked = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4]
     want = roots(signed, linked)
     assert {x: got.get(x, x) for x in signed} == want
@@ -82,3 +82,9 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_follow_the_number_of_fingerprints():
+    assert [simhash.groups_for(n) for n in (0, 10**5, 10**7, 10**8)] == [6, 6, 7, 8]
+    for g in (6, 7, 8, 10):
+        assert len(simhash.masks(g)) == len(set(simhash.masks(g))) and all(m.bit_count() >= 2 * (32 * (g - 4) // g - g) for m in simhash.masks(g))

@@ -15,7 +15,7 @@ def test_block_sums():
     rng = np.random.default_rng(4)
     for n, dims, span in ((1, 1, 2), (70, 5, 30), (300, 16, 4000)):
         x = rng.integers(-span, span, (n, dims))
-        block = bitsliced.Block(np.arange(n) * 2, x)
+        block = bitsliced.Block(np.arange(n) * 2, np.arange(n) * 2, x)
         for _ in range(5):
             q = rng.integers(-span, span, dims)
             score = x @ q
@@ -28,20 +28,35 @@ def test_block_sums():
 def test_top_k(spark):
     rng = random.Random(8)
     rows = [(i, [rng.choice([-0.5, 0.1, 0.25, 1.0]) for _ in range(6)]) for i in range(150)]
-    rows += [(3, rows[3][1]), (200, None), (220, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (240, [NAN] * 6), (260, [INF] * 6), (None, rows[0][1]), (20, [9.0] * 6), (300, [1.0, 1.0])]
+    rows += [(3, rows[3][1]), (40, rows[40][1]), (40, [x + 0.001 for x in rows[40][1]]), (200, None), (220, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (240, [NAN] * 6), (260, [INF] * 6), (None, rows[0][1]), (20, [9.0] * 6), (300, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     q = bitsliced.quantised(df)
     got = bitsliced.top_k(q, q.filter("vec_id % 20 = 0"), 20).collect()
-    good = {(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    good = [(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for i, v in good:
+    for at, (i, v) in enumerate(good):  # every row but the query's own, repeated ones too
         if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in good if j != i and len(w) == len(v))[:20]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for no, (j, w) in enumerate(good) if no != at and len(w) == len(v))[:20]
             want += [(i, j, -s, r + 1) for r, (s, j) in enumerate(best)]
     assert sorted((r.query_id, r.vec_id, r.score, r.rank) for r in got) == sorted(want)
     assert bitsliced.top_k(q.limit(0), q.limit(0), 20).count() == 0
 
 
+def test_large_components(spark):
+    """No value is clamped; what a long cannot hold is an error."""
+    rows = [(0, [1.0, 0.0]), (1, [3e6, 0.0]), (2, [2e6, 1.0]), (3, [-4e6, 2.0]), (20, [3e7, -5e7])]
+    frame = lambda rows: bitsliced.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    q = frame(rows)
+    got = sorted((r.query_id, r.vec_id, r.score) for r in bitsliced.top_k(q, q.filter("vec_id % 20 = 0"), 20).collect())
+    want = [(i, j, 4096 * int(v[0] * w[0] + v[1] * w[1])) for i, v in rows if i % 20 == 0 for j, w in rows if i != j]
+    assert got == sorted(want)
+    q = frame([(0, [3e9]), (1, [2e9])])
+    with pytest.raises(Exception, match="does not fit"):
+        bitsliced.top_k(q, q, 20).collect()
+    with pytest.raises(Exception, match="too large"):
+        frame([(0, [1e30])])
+
+
 @pytest.mark.parametrize("tile", [8, 4096])
 def test_cosine(spark, tile):
     rng = np.random.default_rng(6)

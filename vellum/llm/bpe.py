@@ -10,9 +10,9 @@ of n bytes takes O(n log n), however long it is.
 
 from __future__ import annotations
 
+import hashlib
 import base64
 import sys
-import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -247,7 +247,7 @@ def _fields(df: DataFrame, keep: tuple[str, ...]) -> str:
 
 
 def _named(ranks: dict[bytes, int], pattern: str) -> str:
-    return f"bpe-{zlib.crc32(repr((pattern, sorted(ranks.items()))).encode())}"
+    return "bpe-" + hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -150,15 +150,14 @@ def parse(lines: DataFrame, model: Hmm, piece_bits: int = PIECE) -> DataFrame:
     each transcript (conv_id, at: array of longs that orders a transcript's lines, line).
 
     A null line counts as empty. A null conv_id is a transcript like another. Lines that
-    tie in `at` follow in an order that is fixed once. Markers are cut off the lines that
+    tie in `at` follow by their text, so reruns agree. Other columns are ignored. Markers are cut off the lines that
     open a turn. A transcript's turns are numbered from 0; rendered is
     `<|role|>\\n` + text + `<|end|>\\n`. Repeated lines stay. An empty table gives no rows.
     """
     spark = lines.sparkSession
     key = F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string"))).alias("key")
     src = staged(lines.select("conv_id", "at", F.coalesce("line", F.lit("")).alias("line")), "chat-lines")
-    src = src.withColumn("tie", F.monotonically_increasing_id())
-    order = src.repartitionByRange(parts(spark), "conv_id", "at", "tie").sortWithinPartitions("conv_id", "at", "tie")
+    order = src.repartitionByRange(parts(spark), "conv_id", "at", "line").sortWithinPartitions("conv_id", "at", "line")
     # numbers that rise along each transcript; their upper bits cut it into pieces
     rows = staged(order.select("conv_id", key, F.monotonically_increasing_id().alias("no"), "line"), "chat-rows")
     rows = rows.withColumn("piece", F.shiftright("no", piece_bits))
@@ -232,7 +231,9 @@ def parse(lines: DataFrame, model: Hmm, piece_bits: int = PIECE) -> DataFrame:
 def transcripts(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as transcripts are found: conv_id, at, line,
     and the turn, role and line_no that stand behind it. Each conversation has one of four
-    ways to mark speakers; a turn in twelve has no marker."""
+    ways to mark speakers; a turn in twelve has no marker. A null text is one empty line, a null
+    role an empty marker; turns that are null stand first, turns that tie follow by the hash of
+    role and text. Repeated rows are turns of their own; other columns are ignored."""
     way = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     title = F.initcap(F.coalesce(F.col("role"), F.lit("")))
     human = F.when(F.col("role") == "user", "Human").otherwise(title)

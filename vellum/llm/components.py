@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import join_many, release, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's neighbours (large: above it; else: not above it) are tied to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.filter("v < u")
-    least = staged(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
-    tied = near.join(least, "u")
+    least = staged(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c")), "star-least")
+    tied = join_many(near, least, ["u"], "c")  # a hub may hold any share of the edges
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").dropDuplicates(["u", "v"])
+    out = staged(out.filter("u <> v").dropDuplicates(["u", "v"]), "large-star" if large else "small-star")
+    release(least)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,7 +36,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not was[0]:
             break
-        now = staged(_star(staged(_star(now, True), "large-star"), False), "small-star")
+        wide = _star(now, True)
+        after = _star(wide, False)
+        release(wide, *([now] if now is not nodes else []))
+        now = after
         if (got := told(now)) == was:
             break
         was = got

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged, table
+from ._common import join_many, staged, table
 from .components import components
 
 #: Vectors of a tile, about.
@@ -121,11 +121,12 @@ def near_duplicates(df: DataFrame, least: float = 0.98, tile: int = TILE, vec_id
 
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    named = joined.join(kinds.select(F.col("cid").alias("node"), "rep"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("node").alias("cid"), "component_id")
+    named = staged(joined.join(kinds.select(F.col("cid").alias("node"), "rep"), "node"), "cosine-members")
+    least = staged(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("c")), "cosine-least")
+    named = join_many(named, least, ["root"], "c").select(F.col("node").alias("cid"), "component_id")
     kinds = kinds.join(links, "cid", "left").join(named, "cid", "left")
-    kinds = kinds.select("label", "h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = good.join(staged(kinds, "cosine-named"), ["label", "h", "embedding"]).select("vec_id", "n_links", "component_id")
+    kinds = kinds.select("label", "h", "embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = join_many(good, staged(kinds, "cosine-named"), ["label", "h", "embedding"], "n").select("vec_id", "n_links", "component_id")
     rest = rows.filter("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

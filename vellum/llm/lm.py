@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytehash import U, Hasher, mixed
-from ._common import held_out, parts, staged, table, text_steps, tidy
+from ._common import held_out, parts, release, staged, table, text_steps, tidy
 
 #: Base of the quantised logarithm, filter bits and hash functions for each entry.
 BASE, BITS, PROBES = 1.5, 8, 4
 #: Weight of the unigram model, in counts.
 SMOOTH = 20.0
-#: Bytes of filter and unigram counts that are broadcast at once.
+#: Bytes of filter and unigram counts that are broadcast at once, at least; see portion_of().
 PORTION = 80 << 20
+#: Bytes of text whose n-grams a segment holds, about.
+SEGMENT_TEXT = 16 << 20
 #: Distinct keys that a task gathers before it sends them on; bytes hashed at a time.
 GATHER, STEP = 1 << 20, 1 << 19
 #: Bytes of text that are scored or counted at a time.
@@ -173,7 +175,9 @@ def _filters(bits_each: int, probes: int):
             n = [np.frombuffer(x, np.uint32).astype(np.int64) for _, x in got]
             both.append(_tally(np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         keys, q = np.concatenate([b[0] for b in both]), quantised(np.concatenate([b[1] for b in both]))
-        m = min(max(64, -(-int(q.sum()) * bits_each // 64) * 64), 1 << 32)
+        m = max(64, -(-int(q.sum()) * bits_each // 64) * 64)
+        if m > 1 << 32:  # positions have 32 bits; segments of SEGMENT_TEXT stay far below
+            raise OverflowError("a segment's filter needs more than 2**32 bits")
         flags = np.zeros(m, bool)
         for level in range(1, int(q.max(initial=0)) + 1):
             deep = keys[q >= level]
@@ -202,16 +206,31 @@ MODEL = "segment int, filter binary, tokens binary, n binary, v long, total long
 
 
 def build(docs: DataFrame, bits: int = BITS, probes: int = PROBES) -> DataFrame:
-    """The model of all texts of docs (a column text): a row for each segment that is not empty."""
+    """The model of all texts of docs (a column text): a row for each segment that is not empty.
+
+    A null text counts as empty: its end token is learnt. Whole texts and repeated rows count.
+    The number of segments follows from the bytes of all texts. No texts: a model without rows."""
+    text = F.col("text").cast("string")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    segments = max(16, 4 * parts(docs.sparkSession), -(-size // SEGMENT_TEXT))
     # a task has its segments pass one at a time, so few tasks do, and they leave few files
-    tasks = max(4, parts(docs.sparkSession) // 4)
-    segments = max(16, 4 * parts(docs.sparkSession))
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count(segments)), "segment int, kind int, keys binary, n binary")
+    tasks = max(4, parts(docs.sparkSession) // 4, segments // 32)
+    counted = docs.select(text.alias("text")).mapInArrow(tidy(_count(segments)), "segment int, kind int, keys binary, n binary")
     dealt = counted.repartition(tasks, "segment").sortWithinPartitions("segment")
     made = dealt.mapInArrow(tidy(_filters(bits, probes)), MODEL)
     return staged(made.withColumn("segments", F.lit(segments)), "lm-model")
 
 
+def portion_of(spark: SparkSession) -> int:
+    """Bytes of a portion: a tenth of the executors' memory, which is what Spark sets apart for other
+    processes, shared by an executor's tasks."""
+    conf = spark.sparkContext.getConf()
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}
+    said = conf.get("spark.executor.memory", "1g").lower().rstrip("b")
+    memory = int(said[:-1]) << unit[said[-1]] if said[-1] in unit else int(said)
+    return max(PORTION, memory // (10 * int(conf.get("spark.executor.cores", "2"))))
+
+
 class Portion:
     """Some segments of a model, as a worker holds them."""
 
@@ -256,7 +275,7 @@ class Portion:
         return np.where(self.tokens[at] == keys, self.n[at], 0)
 
 
-def score(docs: DataFrame, model: DataFrame, probes: int = PROBES, smooth: float = SMOOTH, portion: int = PORTION) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, probes: int = PROBES, smooth: float = SMOOTH, portion: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs
     (doc_id, text). model as build() makes it.
 
@@ -268,6 +287,7 @@ def score(docs: DataFrame, model: DataFrame, probes: int = PROBES, smooth: float
     sizes = model.select("segment", (F.length("filter") + F.length("tokens") + F.length("n")).alias("size"), "v", "total", "segments").collect()  # a short row for each segment
     v, total = sum(r["v"] for r in sizes), sum(r["total"] for r in sizes)
     segments = sizes[0]["segments"] if sizes else 1
+    portion = portion or portion_of(spark)
     portions: list[list[int]] = [[]]
     held = 0
     for r in sorted(sizes):
@@ -286,7 +306,8 @@ def score(docs: DataFrame, model: DataFrame, probes: int = PROBES, smooth: float
         run = _probe(told, probes, smooth, v, total, first, last)
         if last:
             return now.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        now = staged(now.mapInArrow(tidy(run), f"doc_id {kind}, text string, known long, seen double, q binary"), "lm-levels")
+        was, now = now, staged(now.mapInArrow(tidy(run), f"doc_id {kind}, text string, known long, seen double, q binary"), "lm-levels")
+        release(was)
         told.unpersist()
     raise AssertionError
 

@@ -11,10 +11,10 @@ over hash buckets, whose prefix sums are taken in two levels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, staged, table
+from ._common import WORD, parts, staged, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -26,35 +26,49 @@ BLOCK_WORDS = 4096
 GOLDEN, UNIT = 1327217885, 1 << 31
 #: Rows of a hash bucket, about.
 BUCKET_ROWS = 2048
+#: Sources that one task ranks.
+SOURCES = 100_000
 #: Cells over the unit interval in which points meet source ranges.
 CELLS = 1024
 
 
-def _targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+def _running(df: DataFrame, order: list, sums: dict[str, Column], tasks: int) -> DataFrame:
+    """df with `rank`, from 0, and the named sums over all rows before, in the given order. Two
+    levels from the second task on: inside ranges of the order, and over the ranges."""
+    every = {"rank": F.lit(1), **sums}
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if tasks == 1:
+        return df.select("*", *[before(Window.orderBy(*order), x).alias(n) for n, x in every.items()])
+    ranged = staged(df.repartitionByRange(tasks, *order).withColumn("p", F.spark_partition_id()), "mix-ranges")
+    whole = ranged.groupBy("p").agg(*[F.sum(x).alias(n) for n, x in every.items()])  # a row for each range
+    whole = whole.select("p", *[before(Window.orderBy("p"), F.col(n)).alias("b_" + n) for n in every])
+    inner = ranged.select("*", *[before(Window.partitionBy("p").orderBy(*order), x).alias("i_" + n) for n, x in every.items()])
+    return inner.join(F.broadcast(whole), "p").select(*df.columns, *[(F.col("i_" + n) + F.col("b_" + n)).alias(n) for n in every])
+
+
+def _targets(sizes: DataFrame, weights: tuple[float, ...], most: int, per_task: int = SOURCES) -> DataFrame:
     """sr (rank), source, source_size, n_docs, target, lo, hi (share of the unit interval).
 
     The level at which capped sources stop is found in closed form: in order of
     size / weight, a source is capped if the level of those from it on exceeds its cap.
     The table has a row for each source."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    by = by.withColumn("sr", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("int") - 1)
+    by = staged(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("n_docs")), "mix-sources")
+    tasks = 1 + by.count() // per_task
+    by = _running(by, [F.col("source").asc_nulls_last()], {}, tasks).withColumn("sr", F.col("rank").cast("int")).drop("rank")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    by = by.withColumn("w", F.element_at(cycle, (F.col("sr") % len(weights) + 1).cast("int")))
-    every = Window.partitionBy()
-    rise = Window.orderBy(F.col("source_size") / F.col("w"), "sr")
-    before, onward = rise.rowsBetween(Window.unboundedPreceding, -1), rise.rowsBetween(0, Window.unboundedFollowing)
-    by = by.withColumn("total", F.sum("source_size").over(every))
-    level = (F.col("total") - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("w").over(onward)
-    by = by.withColumn("level", level).withColumn("capped", F.col("level") * F.col("w") > most * F.col("source_size"))
+    by = staged(by.withColumn("w", F.element_at(cycle, (F.col("sr") % len(weights) + 1).cast("int"))), "mix-ranks")
+    total, all_w = by.agg(F.sum("source_size"), F.sum("w")).first()
+    total, cap, pull = total or 0, most * F.col("source_size"), F.col("source_size") / F.col("w")
+    by = _running(by, [pull, F.col("sr")], {"less": F.col("source_size"), "less_w": F.col("w")}, tasks)
+    by = staged(by.withColumn("level", (F.lit(total) - most * F.col("less")) / (F.lit(all_w) - F.col("less_w"))), "mix-levels")
     # once a source is not capped, none after it is: the level holds for all of them
-    open_level = F.min(F.when(~F.col("capped"), F.struct(F.col("source_size") / F.col("w"), F.col("sr"), F.col("level")))).over(every)["level"]
-    by = by.withColumn("open", open_level)
-    by = by.withColumn("target", F.least(most * F.col("source_size").cast("double"), F.coalesce(F.col("open") * F.col("w"), most * F.col("source_size").cast("double"))))
-    so_far = F.sum("target").over(Window.orderBy("sr").rowsBetween(Window.unboundedPreceding, 0))
-    by = by.withColumn("hi", F.when(F.col("total") > 0, so_far / F.sum("target").over(every)).otherwise(0.0))
-    by = by.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("sr")))
-    words = F.floor(F.col("target") + 1e-6).cast("long")
-    return by.select("sr", "source", "source_size", "n_docs", "target", "lo", "hi", words.alias("words"))
+    open_ = by.filter(F.col("level") * F.col("w") <= cap).agg(F.min(F.struct(pull.alias("pull"), "sr", "level"))["level"]).first()[0]
+    by = by.withColumn("target", cap.cast("double") if open_ is None else F.least(cap.cast("double"), F.lit(open_) * F.col("w")))
+    by = by.withColumn("words", F.floor(F.col("target") + 1e-6).cast("long")).select("sr", "source", "source_size", "n_docs", "target", "words")
+    by = _running(by, [F.col("sr")], {"upto": F.col("words")}, tasks)
+    all_words = by.agg(F.sum("words")).first()[0]
+    share = lambda x: x / F.lit(float(all_words)) if all_words else F.lit(0.0)
+    return by.select("sr", "source", "source_size", "n_docs", "target", share(F.col("upto")).alias("lo"), share(F.col("upto") + F.col("words")).alias("hi"), "words")
 
 
 def _schedule(spark: SparkSession, targets: DataFrame, slots: int) -> DataFrame:
@@ -90,34 +104,42 @@ def mix(
     A null or empty text has size 0 and is never taken. A null source is a source of its
     own, last in order. Repeated rows are documents of their own. Ties in the shuffled
     order fall by doc_id, size and text hash, so reruns agree. An empty table gives an empty
-    result. Only the three named columns are read, others cannot clash.
+    result. Whole texts are counted, however long. Only the three named columns are read, others
+    cannot clash.
     """
     spark = df.sparkSession
     body = F.col(text).cast("string")
-    sizes = df.select(
+    rows = df.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("h"),
         F.xxhash64(body).alias("th"),
     )
-    sizes = staged(sizes, "mix-sizes")
+    # equal rows are counted, so that no bucket fills with them
+    sizes = rows.groupBy("doc_id", "source", "size", "th").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = staged(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "th")), "mix-sizes")
     targets = staged(_targets(sizes, weights, most), "mix-targets")
-    n, words = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
+    n, words, copied = sizes.agg(F.count(F.lit(1)), F.sum(F.col("size") * F.col("copies")), F.max("copies")).first()
     slots = -(-(words or 0) // block_words)
     schedule = staged(_schedule(spark, targets, slots), "mix-schedule")
 
     nb = max(1, n // BUCKET_ROWS)
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sizes["source"], "size", "h", "th", "sr", "source_size", "target", "words", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(nb)).cast("int").alias("b")
+        "doc_id", sizes["source"], "size", "copies", "h", "th", "sr", "source_size", "target", "words", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(nb)).cast("int").alias("b")
     )
-    sums = rows.groupBy("sr", "b").agg(F.sum("size").alias("bw"))
+    all_of = F.col("size") * F.col("copies")
+    sums = rows.groupBy("sr", "b").agg(F.sum(all_of).alias("bw"))
     sums = sums.select("sr", "b", (F.sum("bw").over(Window.partitionBy("sr").orderBy("b")) - F.col("bw")).alias("base"))
     order = Window.partitionBy("sr", "b").orderBy("h", "doc_id", "size", "th")
-    at = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    at = F.sum(all_of).over(order.rowsBetween(Window.unboundedPreceding, 0)) - all_of
     rows = rows.withColumn("in_b", at).withColumn("no", F.row_number().over(order)).join(sums, ["sr", "b"])
+    if (copied or 0) > BUCKET_ROWS:  # many copies of a row are dealt to several tasks
+        rows = rows.withColumn("c0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(BUCKET_ROWS).cast("long")))).repartition(parts(spark), "sr", "b", "no", "c0")
+    else:
+        rows = rows.withColumn("c0", F.lit(0).cast("long"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("c0"), F.least(F.col("c0") + BUCKET_ROWS, F.col("copies")) - 1)))
     blocks = schedule.groupBy("sr").agg(F.count(F.lit(1)).alias("n_slots"))
-    rows = rows.join(blocks, "sr", "left").withColumn("start", F.col("base") + F.col("in_b"))
+    rows = rows.join(blocks, "sr", "left").withColumn("start", F.col("base") + F.col("in_b") + F.col("copy") * F.col("size"))
     # the stream repeats: epoch e holds the document's words from e * source_size + start on
     begin = F.col("epoch") * F.col("source_size") + F.col("start")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
@@ -130,9 +152,11 @@ def mix(
     rows = rows.withColumn("k", F.explode_outer(blocks_of))
     first = F.expr("k * bs + least(k, r)")
     rows = rows.withColumn("p0", F.greatest(F.col("from"), first)).withColumn("p1", F.least(F.col("to"), first + F.col("bs") + F.when(F.col("k") < F.col("r"), 1).otherwise(0)))
-    return rows.join(schedule, ["sr", "k"], "left").select(
+    # rows that the mix takes nothing of meet no slot, and are spread
+    rows = rows.withColumn("k_", F.coalesce("k", -1 - F.pmod("h", F.lit(1 << 20))))
+    return rows.join(schedule.withColumnRenamed("k", "k_"), ["sr", "k_"], "left").select(
         "slot", "doc_id", "source", "size", "source_size", "target",
-        F.struct("sr", "b", "no").alias("n_row"),
+        F.struct("sr", "b", "no", "copy").alias("n_row"),
         F.when(F.col("k").isNotNull(), F.col("epoch")).alias("epoch"),
         F.when(F.col("k").isNotNull(), F.col("p0") - F.col("from")).alias("first_word"),
         F.when(F.col("k").isNotNull(), F.col("p1") - F.col("p0")).otherwise(0).cast("long").alias("n_words"),

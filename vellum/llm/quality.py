@@ -63,8 +63,11 @@ def line_features(data: memoryview, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, FEATURES), np.float32)
     breaks = np.flatnonzero(b == 10)
-    starts = np.unique(np.concatenate((offs[:-1], breaks + 1, *([np.arange(0, len(b), LONGEST)] if len(b) > LONGEST else []))))
+    starts = np.unique(np.concatenate((offs[:-1], breaks + 1)))
     starts = starts[starts < len(b)]
+    size = np.diff(np.append(starts, len(b)))
+    if (size > LONGEST).any():  # cut from the line's own start
+        starts = np.concatenate([np.arange(s, s + n, LONGEST) for s, n in zip(starts.tolist(), size.tolist(), strict=True)])
     ends = np.append(starts[1:], len(b))
     size = ends - starts
     last = b[ends - 1] == 10
@@ -176,7 +179,8 @@ class Crf:
 
     def marginals(self, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
         z = (_with_neighbours(doc, x) - self.mean) / self.scale
-        return forward_backward(z @ self.weights[:-1] + self.weights[-1], self.edge, Chains.of(doc))[0]
+        # a sum for each line by itself: the same whatever lines stand beside it
+        return forward_backward((z * self.weights[:-1]).sum(axis=1) + self.weights[-1], self.edge, Chains.of(doc))[0]
 
     def quality(self, n: int, doc: np.ndarray, size: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The length-weighted mean marginal of each of n documents; 0 for those without lines."""
@@ -233,8 +237,9 @@ def fit(doc: np.ndarray, size: np.ndarray, x: np.ndarray, label: np.ndarray) ->
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, mod: int = 3) -> Crf | None:
     """A model fitted on the labelled documents whose crc32(doc_id) mod `mod` is not 1: the
     train_docs ids of least hash, with their first train_lines lines. Several labels of an
-    id count as the least; ids and labels that are null, and labels other than 0 and 1, are
-    ignored. None if there is nothing to learn from."""
+    id count as the least, and of several texts of an id the one of least hash is read; ids and
+    labels that are null, and labels other than 0 and 1, are ignored. None if there is nothing
+    to learn from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), mod))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
@@ -251,8 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = src.join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
-    got = met.select("doc_id", "quality", "text").mapInArrow(tidy(run), "doc_id long, quality int, size binary, x binary").limit(2 * train_docs).collect()
-    got = sorted((r for r in got if r["size"]), key=lambda r: (r["doc_id"], r["x"]))
+    least = met.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("th"))  # a row for each id of the sample
+    met = met.join(F.broadcast(least), "doc_id").filter(F.xxhash64("text") == F.col("th"))
+    got = met.select("doc_id", "quality", "text").mapInArrow(tidy(run), "doc_id long, quality int, size binary, x binary")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("quality", "size", "x")).alias("of")).select("doc_id", "of.*").collect()
+    got = sorted((r for r in got if r["size"]), key=lambda r: r["doc_id"])
     label = np.array([r["quality"] for r in got])
     if not len(label) or label.min() == label.max():
         return None

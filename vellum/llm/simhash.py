@@ -3,9 +3,10 @@
 A fingerprint maps to the bit counts of its 32 two-bit segments. The Manhattan distance of
 two such vectors never exceeds the fingerprints' Hamming distance, so the pairs within
 distance 4 there hold every pair within 4 bits. The range join runs over grids: with the
-segments dealt into six groups, a pair within Manhattan distance 4 has equal counts in two
-groups at least, so one of the fifteen two-group projections puts it into one cell of width
-one. The counts are kept in thermometer code (00, 01, 11): the Manhattan distance is the
+segments dealt into g groups, a pair within Manhattan distance 4 has equal counts in g - 4
+groups at least, so one of the projections onto g - 4 groups puts it into one cell of width
+one. More groups make more grids with smaller cells; g follows from the number of
+fingerprints, and any g finds the same pairs. The counts are kept in thermometer code (00, 01, 11): the Manhattan distance is the
 number of differing code bits. Pairs of a cell that pass it are verified on the fingerprints.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import parts, staged, table, text_steps, tidy
+from ._common import join_many, parts, staged, table, text_steps, tidy
 from .components import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
@@ -32,8 +34,24 @@ TILE = 2048
 STEP = 1 << 18
 
 LOW = 0x5555555555555555
-GROUPS = [sum(3 << 2 * s for s in range(32) if s % 6 == g) for g in range(6)]
-MASKS = [GROUPS[a] | GROUPS[b] for a, b in combinations(range(6), 2)]
+
+
+def masks(groups: int) -> list[int]:
+    """The bits of every choice of all but 4 of the groups of segments."""
+    bits = [sum(3 << 2 * s for s in range(32) if s % groups == g) for g in range(groups)]
+    return [sum(bits[g] for g in own) for own in combinations(range(groups), groups - BITS)]
+
+
+def groups_for(n: int) -> int:
+    """The number of groups at which n fingerprints cost least: each grid sends every
+    fingerprint once (as much work as about 20 comparisons), and compares those of one cell.
+    A segment of random fingerprints has equal counts in 3 of 8 pairs."""
+
+    def cost(groups: int) -> float:
+        grids = comb(groups, BITS)
+        return grids * (20 + n / 2 * (3 / 8) ** (32 * (groups - BITS) / groups))
+
+    return min(range(6, 13), key=cost)
 
 
 def _signed(x: int) -> int:
@@ -148,14 +166,16 @@ def _links(bits: int):
     return run
 
 
-def links(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, tile: int = TILE, groups: int | None = None) -> DataFrame:
     """Edges (u, v) that connect every two distinct fingerprints at most `bits` <= 4 bits
-    apart, directly or through others. fps: distinct values in a column fp."""
+    apart, directly or through others. fps: distinct values in a column fp. groups: of segments,
+    6 or more; by default as their number asks."""
     if not 0 <= bits <= BITS:
         raise ValueError("the grids hold pairs of up to 4 differing bits")
     spark = fps.sparkSession
     code = _thermometer(F.col("fp"))
-    cells = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), code.bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(MASKS)])).alias("at"))
+    chosen = masks(groups or groups_for(fps.count()))
+    cells = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), code.bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(chosen)])).alias("at"))
     cells = cells.select("fp", "at.grid", "at.cell")
     # cells too large for one task are cut into tiles
     crowd = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
@@ -179,13 +199,13 @@ def near_duplicates(df: DataFrame, bits: int = BITS, doc_id: str = "doc_id", tex
     once. An empty table gives an empty result.
     """
     printed = staged(fingerprints(df, doc_id, text), "simhash-prints")
-    kinds = staged(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-kinds")
-    joined = components(links(kinds.select("fp"), bits))
+    kinds = staged(printed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-kinds")
+    joined = staged(components(links(kinds.select("fp"), bits)), "simhash-joined")
     named = joined.join(kinds, joined["node"] == kinds["fp"]).select("node", "root", "rep")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = staged(named.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "simhash-named")
-    kinds = staged(kinds.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "simhash-classes")
-    return printed.join(kinds, "fp").select("doc_id", "fp", "component_id")
+    least = staged(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("c")), "simhash-least")
+    named = join_many(staged(named, "simhash-members"), least, ["root"], "c").select(F.col("node").alias("fp"), "component_id")
+    classes = staged(kinds.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id")), "simhash-classes")
+    return join_many(printed, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
