@@ -33,13 +33,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that begin more than once go; a document of which nothing is
-    left goes too. A character that a cut divides goes with the cut."""
-    out = suffixes.remove_repeats(docs, keep=COLUMNS)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    cut = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    out = out.withColumn("text", F.coalesce(text, cut)).filter("size(spans) = 0 or length(text) > 0")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+    """Passages of more than 50 words, of 150 bytes or more, whose every 150 bytes also begin
+    elsewhere go, at all their places; a document of which nothing is left goes too. Characters stay whole: one
+    that the end of a passage divides goes with it."""
+    out = suffixes.remove_repeats(docs, length=150, least_words=51, whole_chars=True, keep=COLUMNS)
+    cut = F.size("spans") > 0
+    out = out.filter(~cut | (F.length("kept") > 0)).withColumn("text", F.when(cut, F.col("kept").cast("string")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
