@@ -111,7 +111,7 @@ def test_small_functions():
     log = M.with_log_entry("# L\n\n## 2026-02-01\n* x\n", "m", "Note", dt.date(2026, 1, 1))
     assert log == "# L\n\n## 2026-02-01\n* x\n\n## 2026-01-01\n* **Note**: m\n"
     o = default()
-    assert o.ancestors("spec") == ["spec", "knowledge", "node"] and o.specs("weekly")["date"].required and o.canonical({"due_date": "x", "due": "y"})[0] == {"due": "y"}
+    assert o.lineage()["spec"] == ["spec", "knowledge", "node"] and o.specs("weekly")["date"].required and o.canonical({"due_date": "x", "due": "y"})[0] == {"due": "y"}
 
 
 def test_stream(spark, tmp_path):
@@ -137,11 +137,35 @@ def test_percent_round_trip_takes_whole_texts(spark, tmp_path, monkeypatch):
 
     texts = [None, "", "a+b %41 é" * 30, "x" * 100 + "Z%+é€", "x" * 100 + "y"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    heads = lambda: {r.doc_id: r.head for r in QUERIES["percent_round_trip"](spark, str(tmp_path)).collect()}
-    assert heads() == {i: t and t[:80] for i, t in enumerate(texts)}
+    back = lambda: {r.doc_id: r.back for r in QUERIES["percent_round_trip"](spark, str(tmp_path)).collect()}
+    assert back() == dict(enumerate(texts))
     right = T.unquoted
     monkeypatch.setattr(T, "unquoted", lambda c: F.replace(right(c), F.lit("Z"), F.lit("?")))
-    assert [i for i, h in heads().items() if h != (texts[i] and texts[i][:80])] == [3]
+    assert [i for i, t in back().items() if t != texts[i]] == [3]
+
+
+def test_long_paths_and_closures(spark):
+    """No number of steps is out of reach; closures of chains, branches and cycles are whole."""
+    chain = spark.createDataFrame([(f"n{i:03}", "next", f"n{i + 1:03}", "x") for i in range(18)], "src string, pred string, dst string, origin string")
+    got = edges.shortest_path(chain, "n000", "n018", ())
+    assert got == [(f"n{i:03}", "next", f"n{i + 1:03}") for i in range(18)]
+    rng = random.Random(3)
+    pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(18)}
+    far = {(a, b) for a, b in pairs}
+    while True:
+        more = far | {(a, d) for a, b in far for c, d in pairs if b == c}
+        if more == far:
+            break
+        far = more
+    rows = [(f"{a}", "p", f"{b}", "x") for a, b in pairs]
+    out = edges.closure(spark.createDataFrame(rows, "src string, pred string, dst string, origin string"), "p")
+    assert {(int(r.src), int(r.dst)) for r in out.collect()} == {(a, b) for a, b in far - pairs if a != b}
+
+
+def test_policy_from_arguments():
+    p = policy.Policy.from_args(["--read-only", "--deny-write", "a,b", "--max-write-bytes", "7", "--no-hide-confidential"])
+    assert (p.read_only, p.deny_write, p.max_write_bytes, p.hide_confidential, p.propose) == (True, ("a", "b"), 7, False, False)
+    assert '"max_write_bytes": 7' in p.describe()
 
 
 def test_whole_tables(spark, duck):
@@ -158,17 +182,17 @@ def test_whole_tables(spark, duck):
             text = f"we need a {a.upper()}, and {b}s".lower()
             want |= {(o, node, len(name)) for name, node in least.items() if len(name) >= 4 and re.search(rf"(?<![\w-]){re.escape(name)}(?![\w-])", text)}
     assert len({o for o, _, _ in want}) > 0.9 * len(orders)
-    assert {tuple(r) for r in QUERIES["mentions_whole"](spark, SF).select("id", "node", "size").collect()} == want
-    assert sum(len(r.entries.split("\n")) for r in QUERIES["index_build_whole"](spark, SF).collect()) == len(orders)
+    assert {tuple(r) for r in QUERIES["mentions"](spark, SF).select("id", "node", "size").collect()} == want
+    assert QUERIES["index_build"](spark, SF).count() == len(orders)
 
 
 def test_whole_graph(spark, duck):
     """relation_labels over every source of an edge, reference_findings over every line."""
-    sources = {r.src for r in QUERIES["relation_labels_whole"](spark, SF).select("src").collect()}
+    sources = {r.src for r in QUERIES["relation_labels"](spark, SF).select("src").collect()}
     assert {s[0] for s in sources} == set("ncso")
     assert len([s for s in sources if s[0] == "o"]) == duck.execute("select count(*) from orders").fetchone()[0]
-    unresolved = QUERIES["reference_findings_whole"](spark, SF).filter("code = 'unresolved_ref'").count()
-    assert unresolved == duck.execute("select count(*) from lineitem where l_linenumber % 2 = 0").fetchone()[0]
+    unresolved = QUERIES["reference_findings"](spark, SF).filter("code = 'unresolved_ref'").count()
+    assert unresolved == duck.execute("select count(*) from lineitem where l_linenumber % 3 = 2").fetchone()[0]
 
 
 def test_suggestions_without_common_trigram(spark):

@@ -139,7 +139,7 @@ def test_reconcile(engine, vault):
 def test_minutes(engine, vault):
     recap = "Outcome: we go on with Apollo and that is long enough.\nDecided - use Spark\nTODO: call Bob — Ann Bee, due 2026-09-20\n- [ ] write it up\n- [x] done before\nWill joined; will we meet again?"
     m = engine.minutes(recap, "Weekly  sync\n", dt.date(2026, 9, 14), dry_run=True)
-    assert (m.path, m.project, len(m.actions), m.decisions, len(m.outcomes)) == ("02-meetings/2026-09-14-weekly-sync.md", "03-projects/apollo.md", 2, ["use Spark"], 1)
+    assert (m.path, m.project, len(m.said["action"]), m.said["decision"], len(m.said["outcome"])) == ("02-meetings/2026-09-14-weekly-sync.md", "03-projects/apollo.md", 2, ["use Spark"], 1)
     assert m.people == ["05-people/ann-bee.md", "05-people/will-fox.md"]
     engine.minutes(recap, "Weekly sync", dt.date(2026, 9, 14), daily=True)
     text = (vault / m.path).read_text()

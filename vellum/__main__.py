@@ -32,19 +32,22 @@ def main(argv: list[str] | None = None) -> int:
     verb("log", "message", kind="Update")
     verb("build", out=None)
     verb("export", format="json", out="graph.out")
-    verb("query", "sql", limit=200)
+    verb("query", "sql", limit=200, json=bool, rebuild=bool, cache=None)
     verb("neighbors", "node", depth=1, pred=None)
     verb("path", "a", "b")
-    verb("pack", "node")
+    verb("pack", "node", depth=1, out=None)
     verb("search", "query", limit=10)
     verb("view", "base", "name")
-    verb("reconcile", apply=bool)
-    verb("todos", owner="", overdue=bool, digest=bool, sync_done=bool)
+    verb("reconcile", apply=bool, json=bool)
+    verb("todos", owner="", overdue=bool, all=bool, json=bool, digest=bool, sync_done=bool)
     verb("minutes", "file", title="Meeting", date=None, project=None, people=None, kind="project", daily=bool, dry_run=bool, force=bool)
-    verb("proposals", "action", id="")
+    verb("proposals", "action", id="", reason="")
     verb("examples", dry_run=bool)
     verb("prompt", "question", n=5)
     a = top.parse_args(argv)
+    if not os.path.isdir(a.vault):
+        print(f"no vault at {a.vault}", file=sys.stderr)
+        return 2
     e = Engine(session(), a.vault)
     if note := e.completeness():
         print(note, file=sys.stderr)
@@ -65,37 +68,51 @@ def main(argv: list[str] | None = None) -> int:
         from pathlib import Path
 
         g, ctx, out = e.graph(), e.vault.context(), Path(a.out)
-        print({"json": lambda: exports.write_json(g, out), "nt": lambda: exports.write_ntriples(g, ctx, out), "jsonld": lambda: exports.write_jsonld(g, ctx, out), "sqlite": lambda: exports.write_sqlite(g, out)}[a.format]())
+        write = {"json": lambda p: exports.write_json(g, p), "nt": lambda p: exports.write_ntriples(g, ctx, p), "jsonld": lambda p: exports.write_jsonld(g, ctx, p), "sqlite": lambda p: exports.write_sqlite(g, p)}
+        formats = a.format.split(",")
+        for name in formats:  # several formats share the stem
+            print(write[name](out if len(formats) == 1 else out.with_suffix("." + name)))
     elif a.verb == "query":
         try:
-            show(e.sql(a.sql, a.limit))
+            rows = e.cached_sql(a.sql, a.cache, a.limit, a.rebuild) if a.cache else e.sql(a.sql, a.limit)
+            say([r.asDict(True) for r in rows.collect()]) if a.json else show(rows)
         except Refused as exc:
             print(exc, file=sys.stderr)
             return 1
     elif a.verb == "neighbors":
-        show(e.neighbors(a.node, a.depth, a.pred.split(",") if a.pred else None))
+        found = [r.asDict() for r in e.neighbors(a.node, a.depth, a.pred.split(",") if a.pred else None).collect()]
+        say(found)
+        return int(not found)
     elif a.verb == "path":
         steps = e.path(a.a, a.b)
         say(steps)
         return int(not steps)
     elif a.verb == "pack":
-        print(e.context(a.node))
+        text = e.context(a.node, a.depth)
+        if a.out:
+            with open(a.out, "w", encoding="utf-8") as f:
+                f.write(text)
+        else:
+            print(text)
     elif a.verb == "search":
         show(e.search(a.query, a.limit))
     elif a.verb == "view":
         show(e.view(a.base, a.name))
     elif a.verb == "reconcile":
         got = e.reconcile(a.apply)
-        say(got)
+        say(got) if a.json else print(*(f"{x.get('code')}: {x.get('file')}: {x.get('message')}" for x in got), sep="\n")
         return 2 if got and not a.apply else 0
     elif a.verb == "todos":
         if a.sync_done:
             say(e.sync_done())
         if a.digest:
             print(e.write_digest())
-        got = e.todos(a.owner, a.overdue)
-        say(got["counts"])
-        show(got["tasks"])
+        got = e.todos(a.owner, a.overdue, a.all)
+        if a.json:
+            say({"counts": got["counts"], "tasks": [r.asDict() for r in got["tasks"].collect()]})
+        else:
+            say(got["counts"])
+            show(got["tasks"])
     elif a.verb == "minutes":
         with open(a.file, "rb") as f:
             text = M.recap_text(f.read())
@@ -103,6 +120,11 @@ def main(argv: list[str] | None = None) -> int:
         m = e.minutes(text, a.title, dt.date.fromisoformat(a.date) if a.date else None, a.dry_run, project=a.project, people=people, kind=a.kind, daily=a.daily, force=a.force)
         say(vars(m))
     elif a.verb == "proposals":
+        if a.action not in ("list", "show", "apply", "reject"):
+            top.error(f"unknown action {a.action}")
+        if a.action != "list" and a.id not in {p["id"] for p in e.proposals.pending()}:
+            print(f"no pending proposal {a.id}", file=sys.stderr)
+            return 1
         if a.action == "list":
             say(e.proposals.pending())
         elif a.action == "show":
@@ -110,7 +132,7 @@ def main(argv: list[str] | None = None) -> int:
         elif a.action == "apply":
             say(e.apply_proposal(a.id))
         else:
-            e.proposals.reject(a.id)
+            e.proposals.reject(a.id, a.reason)
     elif a.verb == "examples":
         say(e.remove_examples(a.dry_run))
     elif a.verb == "prompt":

@@ -98,10 +98,7 @@ class Engine:
     def backlinks(self, ref: str) -> DataFrame:
         """Notes whose text holds the wikilink, the path or the file name of a note."""
         rel = edits.locate(self.vault, ref)
-        stem = Path(rel).stem
-        text = F.col("text")
-        hit = F.contains(text, F.lit(f"[[{stem}")) | F.contains(text, F.lit(rel)) | F.contains(text, F.lit(f"{stem}.md"))
-        rows = self.notes().filter(F.col("valid") & (F.col("rel") != rel) & hit).select("rel")
+        rows = search.backlinks(self.notes().filter(F.col("valid") & (F.col("rel") != rel)), rel).select("rel")
         return policy.visible(rows, self.hidden(), "rel").orderBy(walk_key(F.col("rel")))
 
     def neighbors(self, node: str, depth: int = 1, preds: list[str] | None = None) -> DataFrame:
@@ -113,8 +110,8 @@ class Engine:
     def path(self, a: str, b: str) -> list[tuple[str, str, str]]:
         return self.graph().shortest_path(a, b)
 
-    def context(self, node: str) -> str:
-        return self.graph().context_pack(node)
+    def context(self, node: str, depth: int = 1) -> str:
+        return self.graph().context_pack(node, depth)
 
     def sql(self, statement: str, limit: int = 200) -> DataFrame:
         return self._read("graph_query", {"sql": statement}, lambda: sqlgate.query(self.spark, statement, self.graph().tables(), limit))
@@ -158,10 +155,10 @@ class Engine:
         kind = F.try_element_at(F.filter("raw", lambda x: x["key"] == "type"), F.lit(1))["items"][0]["str"]
         return tasks.scan(self.notes().filter("valid").withColumn("type", kind))
 
-    def todos(self, owner: str = "", overdue_only: bool = False) -> dict[str, Any]:
-        """Counts over all tasks, and the visible ones that are asked for."""
+    def todos(self, owner: str = "", overdue_only: bool = False, every: bool = False) -> dict[str, Any]:
+        """Counts over all tasks, and the visible ones that are asked for: open ones, overdue ones, or every one."""
         flagged = tasks.flags(self.tasks(), self.today())
-        shown = tasks.for_owner(flagged.filter("overdue" if overdue_only else "not done"), owner)
+        shown = tasks.for_owner(flagged.filter("overdue" if overdue_only else "true" if every else "not done"), owner)
         clash = tasks.copies(flagged).filter("conflict").select("key")
         return {"counts": tasks.counts(flagged).first().asDict(), "tasks": policy.visible(shown, self.hidden(), "file"), "conflicts": policy.visible(flagged.join(clash, "key", "left_semi"), self.hidden(), "file")}
 
@@ -191,7 +188,7 @@ class Engine:
             return reconcile.apply(self.vault, g, self.today())
         return [r.asDict() for r in reconcile.changes(self.vault, g).orderBy("code", "file", "node").collect()]
 
-    def minutes(self, text: str, title: str, date: dt.date | None = None, dry_run: bool = False, **more: Any) -> minutes.Minutes:
+    def minutes(self, text: str, title: str, date: dt.date | None = None, dry_run: bool = False, **more: Any) -> minutes.Filing:
         g = build(self.vault, self.now())
         filing = {k: more.pop(k) for k in ("kind", "force", "daily", "actor") if k in more}
         m = minutes.draft(g, text, _one_line(title), date or self.today(), **more)

@@ -79,8 +79,9 @@ def references(typed: DataFrame) -> DataFrame:
     return refs.select("node", "key", F.explode("items").alias("x"), F.col("node").alias("from_path"), "ranges", "soft").withColumn("value", F.col("x.str")).drop("x")
 
 
-def reference_findings(resolved: DataFrame, lineage: dict[str, list[str]]) -> DataFrame:
-    """Range violations, ambiguous and unresolved references. resolved: references() resolved."""
+def reference_findings(resolved: DataFrame, lineage: dict[str, list[str]], close: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
+    """Range violations, ambiguous and unresolved references. resolved: references() resolved.
+    close: suggestions() for unresolved values and ranges; shared: sharers() of ambiguous keys."""
     table = F.create_map(*[x for c, up in lineage.items() for x in (F.lit(c), F.array(*[F.lit(u) for u in up]))]) if lineage else F.create_map()
     ranged = F.size("ranges") > 0
     fits = F.coalesce(F.arrays_overlap(F.try_element_at(table, F.col("target_type")), F.col("ranges")), F.lit(False))
@@ -88,9 +89,13 @@ def reference_findings(resolved: DataFrame, lineage: dict[str, list[str]]) -> Da
     off = resolved.filter(F.col("method").isin("link", "wikilink", "name") & ranged & ~fits)
     off = off.select(*finding("error", "range_violation", F.col("node"), F.concat(F.lit("`"), "key", F.lit("` points at "), "target", F.lit(" of type `"), "target_type", F.lit("`; expected ["), F.array_join("ranges", ", "), F.lit("]"))))
     many = resolved.filter(F.col("method") == "ambiguous")
-    many = many.select(*finding("warning", "ambiguous_ref", F.col("node"), F.concat(named, F.lit(" matches "), F.col("n").cast("string"), F.lit(" notes")), "use a markdown link to the intended note"))
+    many = many.join(shared, "shared", "left") if shared is not None else many.withColumn("ids", F.lit(None).cast("array<string>"))
+    listed = F.coalesce(F.concat(F.lit(": "), F.array_join("ids", ", "), F.when(F.size("ids") < F.col("n"), ", …").otherwise("")), F.lit(""))
+    many = many.select(*finding("warning", "ambiguous_ref", F.col("node"), F.concat(named, F.lit(" matches "), F.col("n").cast("string"), F.lit(" notes"), listed), "use a markdown link to the intended note"))
     gone = resolved.filter(F.col("method").isin("unresolved", "empty"))
-    hint = F.coalesce(F.concat(F.lit("create a `"), F.try_element_at("ranges", F.lit(1)), F.lit("` note for it")), F.lit(""))
+    gone = gone.join(close, ["value", "ranges"], "left") if close is not None else gone.withColumn("suggested", F.lit(None).cast("array<string>"))
+    meant = F.concat(F.lit("did you mean "), F.array_join("suggested", ", "), F.lit("?"))
+    hint = F.coalesce(meant, F.concat(F.lit("create a `"), F.try_element_at("ranges", F.lit(1)), F.lit("` note for it")), F.lit(""))
     gone = gone.select(*finding(F.when(F.col("soft"), "info").otherwise("warning"), "unresolved_ref", F.col("node"), F.concat(named, F.lit(" does not resolve to a note")), hint))
     return off.unionByName(many).unionByName(gone)
 

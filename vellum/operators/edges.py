@@ -7,6 +7,7 @@ and what an iteration has reached is written out before the next one reads it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +42,19 @@ def inverse_edges(edges: DataFrame, inverses: Mapping[str, str]) -> DataFrame:
 def closure(edges: DataFrame, pred: str, most_rounds: int = 64) -> DataFrame:
     """Edges of a transitive predicate that follow from others: src, pred, dst, origin `derived`.
 
-    Paths double in each round, so a chain of n edges takes log n rounds. Pairs already
-    there are not given again, nor pairs of a node with itself.
+    Paths double in each round, so a chain of n edges takes log n rounds; only pairs that are new
+    in a round are extended in the next. Pairs already there are not given again, nor pairs of a
+    node with itself.
     """
     base = staged(edges.filter(F.col("pred") == pred).select("src", "dst").distinct(), "closure-base")
-    known = base
-    n = known.count()
+    known = new = base
     for _ in range(most_rounds):
-        longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        known = staged(known.unionByName(longer).distinct(), "closure")
-        if (now := known.count()) == n:
+        joined = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
+        longer = joined(new, known) if known is new else joined(new, known).unionByName(joined(known, new))
+        new = staged(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure-new")
+        if new.isEmpty():
             break
-        n = now
+        known = known.unionByName(new)
     else:
         raise RuntimeError("the closure did not settle")
     out = known.filter("src <> dst").join(base, ["src", "dst"], "left_anti")
@@ -78,39 +80,56 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, preds: Iterabl
     return out
 
 
-def _breadth_first(edges: DataFrame, start: DataFrame, goal: str | None, most: int) -> tuple[DataFrame, bool]:
-    """node, prev, pred, depth of what is reached; whether the goal is. Of several ways to a
-    node on one level the least (prev, pred) counts."""
+def _breadth_first(edges: DataFrame, start: DataFrame, goal: str | None, most: int | None) -> tuple[list[DataFrame], bool]:
+    """For each level the nodes first reached there (node, prev, pred, depth), until there are none
+    or `most` levels are done, and whether the goal is among them. Of several ways to a node on one
+    level the least (prev, pred) counts."""
     front = staged(start.select(F.col("id").alias("node"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("pred"), F.lit(0).alias("depth")), "front")
-    seen = front
-    for d in range(1, most + 1):
+    levels, seen = [front], front
+    while most is None or len(levels) <= most:
         if goal is not None and not front.filter(F.col("node") == goal).isEmpty():
-            return seen, True
+            return levels, True
         step = edges.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "pred")).alias("w"))
         step = step.join(seen.select("node"), "node", "left_anti")
-        front = staged(step.select("node", F.col("w.src").alias("prev"), F.col("w.pred").alias("pred"), F.lit(d).alias("depth")), "front")
+        front = staged(step.select("node", F.col("w.src").alias("prev"), F.col("w.pred").alias("pred"), F.lit(len(levels)).alias("depth")), "front")
         if front.isEmpty():
-            return seen, False
-        seen = seen.unionByName(front)
-    return seen, goal is not None and not seen.filter(F.col("node") == goal).isEmpty()
+            return levels, False
+        levels.append(front)
+        seen = seen.select("node").unionByName(front.select("node"))
+        if len(levels) % 16 == 0:  # one table instead of many small ones
+            seen = staged(seen, "seen")
+    return levels, goal is not None and not front.filter(F.col("node") == goal).isEmpty()
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """node, depth: fewest edges from the start nodes (a column id), themselves at 0."""
-    return _breadth_first(edges, start, None, most)[0].select("node", "depth")
+def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """node, depth: fewest edges from the start nodes (a column id), themselves at 0. most: the
+    greatest depth that is asked for."""
+    levels = _breadth_first(edges, start, None, most)[0]
+    return reduce(DataFrame.unionByName, levels).select("node", "depth")
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, skip: Iterable[str] = PROVENANCE, most: int = 64) -> list[tuple[str, str, str]]:
-    """A shortest path as (src, pred, dst) steps; [] if a is b or no path leads there. Among
-    equally short ones that of the least (src, pred) into each node, from the end on."""
+#: Levels that one job walks back.
+BACK = 8
+
+
+def shortest_path(edges: DataFrame, a: str, b: str, skip: Iterable[str] = PROVENANCE, most: int | None = None) -> list[tuple[str, str, str]]:
+    """A shortest path as (src, pred, dst) steps; [] if a is b or no path (of at most `most`
+    steps, if given) leads there. Among equally short ones that of the least (src, pred) into each
+    node, from the end on."""
     spark = edges.sparkSession
     if a == b:
         return []
     walked = edges.filter(~F.col("pred").isin(*skip)) if skip else edges
-    seen, hit = _breadth_first(walked, spark.createDataFrame([(a,)], "id string"), b, most)
-    out, at = [], b
-    while hit and at != a:
-        row = seen.filter(F.col("node") == at).first()  # one lookup for each step of the path
-        out.append((row["prev"], row["pred"], at))
-        at = row["prev"]
+    levels, hit = _breadth_first(walked, spark.createDataFrame([(a,)], "id string"), b, most)
+    out, at, no = [], b, len(levels) - 1
+    while hit and no > 0:  # a job joins the node's predecessors of several levels, a row each
+        back = spark.createDataFrame([(at,)], "at string")
+        for i in range(no, max(0, no - BACK), -1):
+            one = levels[i].select(F.col("node").alias("at"), F.col("prev").alias(f"s{i}"), F.col("pred").alias(f"p{i}"))
+            back = back.join(one, "at").withColumn("at", F.col(f"s{i}"))
+        row = back.first()
+        for i in range(no, max(0, no - BACK), -1):
+            out.append((row[f"s{i}"], row[f"p{i}"], at))
+            at = row[f"s{i}"]
+        no = max(0, no - BACK)
     return out[::-1]

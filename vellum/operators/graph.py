@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,10 +17,12 @@ from ..sources.vault import RESERVED, Vault, in_folder
 from . import checks, derive
 from . import edges as E
 from .ontology import Ontology
-from .resolve import SELF, keys, lookup, resolve
+from .resolve import SELF, keys, lookup, resolve, sharers, suggestions
 from .staging import staged
 
 KNOWLEDGE = "knowledge"
+#: Properties that a context pack shows, in this order.
+PACKED = ("state", "health", "status", "due", "milestone", "date", "stale_after")
 DERIVED = ("trust_tier", "stale", "status_effective", "at_risk", "superseded_by")
 
 
@@ -92,24 +94,39 @@ class Graph:
         a_id, b_id = self.resolve_id(a), self.resolve_id(b)
         return E.shortest_path(self.edges, a_id, b_id, skip) if a_id and b_id else []
 
-    def context_pack(self, node: str) -> str:
-        """What a reader should know of a node: its facts and its relations, as Markdown."""
+    def relations(self, of: Column | None = None) -> DataFrame:
+        """src, pred, labels: what each node is tied to (of: only for edges that this holds for)."""
+        names = self.nodes.select(F.col("id").alias("dst"), label().alias("label"))
+        edges = self.edges if of is None else self.edges.filter(of)
+        return edges.join(names, "dst", "left").groupBy("src", "pred").agg(F.sort_array(F.collect_set(F.coalesce("label", "dst"))).alias("labels"))
+
+    def pack_lines(self, node: str) -> DataFrame:
+        """block, no, line: the pack of a node (an id) as rows: its head, what it says of itself,
+        what is derived of it, and its own relations."""
+        own = self.nodes.filter(F.col("id") == node)
+        entry = lambda no, name, value: F.struct(F.lit(no).alias("no"), F.concat(F.lit(f"- {name}: "), value).alias("line"))
+        head = F.array(F.struct(F.lit(0).alias("no"), F.concat(F.lit("# "), "title").alias("line")), entry(1, "id", F.col("id")), entry(2, "type", F.col("type")), entry(3, "description", F.nullif("description", F.lit(""))))
+        made = F.array(*[entry(no, f"{c} (derived)", F.col(c).cast("string")) for no, c in enumerate(sorted(DERIVED))])
+        rows = lambda block, items: own.select(F.lit(block).alias("block"), F.inline(items))
+        order = F.create_map(*[x for no, k in enumerate(PACKED) for x in (F.lit(k), F.lit(no))])
+        said = self.props.filter((F.col("node") == node) & F.col("key").isin(*PACKED))
+        said = said.select(F.lit(1).alias("block"), order[F.col("key")].alias("no"), F.concat(F.lit("- "), "key", F.lit(": "), F.nullif(F.element_at("items", 1)["str"], F.lit(""))).alias("line"))
+        ends = self.relations(F.col("src") == node)
+        ends = ends.select(F.lit(3).alias("block"), F.rank().over(Window.orderBy("pred")).alias("no"), F.concat(F.lit("- "), "pred", F.lit(": "), F.array_join("labels", "; ")).alias("line"))
+        return rows(0, head).unionByName(said).unionByName(rows(2, made)).unionByName(ends).filter("line is not null")
+
+    def context_pack(self, node: str, depth: int = 1) -> str:
+        """What a reader should know of a node, as Markdown. Relations are the node's own, at any
+        depth of 1 or more; at depth 0 there are none."""
         at = self.resolve_id(node)
-        if not at:
+        if at is None:
             return f"No node matches {node!r}."
-        n = self.nodes.filter(F.col("id") == at).first()
-        out = [f"# {n['title']}", f"- id: {at}", f"- type: {n['type']}"]
-        if n["description"]:
-            out.append(f"- description: {n['description']}")
-        shown = ("state", "health", "status", "due", "milestone", "date", "stale_after")
-        props = {r["key"]: r["value"] for r in self.props.filter((F.col("node") == at) & F.col("key").isin(*shown)).select("key", F.element_at("items", 1)["str"].alias("value")).collect()}
-        out += [f"- {k}: {props[k]}" for k in shown if props.get(k)]
-        out += [f"- {k} (derived): {n[k]}" for k in sorted(DERIVED) if n[k] is not None]
-        rel = self.edges.filter(F.col("src") == at).join(self.nodes.select(F.col("id").alias("dst"), label().alias("label")), "dst", "left")
-        rows = rel.groupBy("pred").agg(F.sort_array(F.collect_set(F.coalesce("label", "dst"))).alias("labels")).orderBy("pred").collect()
-        if rows:
-            out += ["", "## Relations", *(f"- {r['pred']}: " + "; ".join(r["labels"]) for r in rows)]
-        return "\n".join(out) + "\n"
+        lines = self.pack_lines(at).filter((F.col("block") < 3) | F.lit(depth > 0)).orderBy("block", "no").collect()
+        title = next((i for i, r in enumerate(lines) if r["block"] == 3), None)
+        text = [r["line"] for r in lines]
+        if title is not None:
+            text[title:title] = ["", "## Relations"]
+        return "\n".join([*text, ""])
 
     def without(self, hidden: DataFrame) -> Graph:
         """The graph without some nodes (a column id): no edge at either end, no finding of them."""
@@ -124,8 +141,6 @@ def label() -> Column:
     return F.concat("title", F.lit(" ("), "id", F.lit(") ["), F.concat_ws(", ", "type", *extra, F.when(F.col("stale"), "stale")), F.lit("]"))
 
 
-
-
 def actor_nodes(events: DataFrame, owner: str | None) -> DataFrame:
     """id, kind, type, title, description, props of the actors (by) but for the owner's."""
     by = F.col("by")
@@ -164,7 +179,8 @@ def build(vault: Vault, now: dt.datetime | None = None) -> Graph:
     props = notes.select("node", "type", F.explode("props").alias("p")).select("node", "type", "p.*")
 
     # references
-    table = staged(lookup(keys(notes.select(F.col("node").alias("id"), "type", F.col("node").alias("path"), "title", "aliases"))), "lookup")
+    known = staged(keys(notes.select(F.col("node").alias("id"), "type", F.col("node").alias("path"), "title", "aliases")), "keys")
+    table = staged(lookup(known), "lookup")
     lineage = onto.lineage()
     specs = F.broadcast(onto.spec_table(spark))  # as large as the ontology
     typed = checks.specced(props, specs)
@@ -174,6 +190,9 @@ def build(vault: Vault, now: dt.datetime | None = None) -> Graph:
     linked = md.unionByName(wiki).select("node", F.lit("links_to").alias("key"), "value", F.col("node").alias("from_path"), F.array().cast("array<string>").alias("ranges"), F.lit(None).cast("boolean").alias("soft"))
     refs = resolve(checks.references(typed).unionByName(linked), table, lineage, owner)
     refs = staged(refs.withColumn("is_link", F.col("soft").isNull()), "references")
+    lost = refs.filter("not is_link and method = 'unresolved'").select("value", "ranges").distinct()
+    pool = notes.select(F.col("node").alias("id"), "type", F.explode(F.array(T.name_key(F.col("title")), F.lower(T.path_stem(rel)))).alias("key"))
+    close, shared = suggestions(lost, pool, lineage=lineage), sharers(refs.filter("not is_link"), known)
 
     # provenance and sources
     events = notes.select("node", F.explode("events").alias("e")).select("node", "e.*")
@@ -238,7 +257,7 @@ def build(vault: Vault, now: dt.datetime | None = None) -> Graph:
     found += [
         notes.select("node", F.explode("mapped").alias("m")).select(*checks.finding("warning", "property_alias", node, F.col("m"), "rename the property in the note so every tool sees the canonical name")),
         checks.unknown_types(owned, list(onto.classes)), checks.missing_required(owned, props, specs.filter("class <> '*'")), checks.enum_violations(typed),
-        checks.type_violations(typed), checks.cardinality(typed), checks.reference_findings(refs.filter("not is_link"), lineage),
+        checks.type_violations(typed), checks.cardinality(typed), checks.reference_findings(refs.filter("not is_link"), lineage, close, shared),
     ]
     findings = found[0]
     for f in found[1:]:

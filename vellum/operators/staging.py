@@ -10,14 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, SparkSession] = {}
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where a session names none (tests, local mode), a folder made here."""
+    """spark.checkpoint.dir. Where a local session names none (tests), a folder made here; on a
+    cluster it must be named."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="vellum-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return "file://" + _own[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -25,4 +33,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def drop_staged() -> None:
+    """Deletes what staged() wrote; results that read it end with that. Runs when the application ends."""
+    while _written:
+        path, spark = _written.popitem()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; the folder's owner clears it
+            return

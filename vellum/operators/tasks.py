@@ -143,15 +143,24 @@ def digest(tasks: DataFrame, today: dt.date, now: dt.datetime, path: str = "00-h
     return "\n".join(out).rstrip() + "\n"
 
 
+def by_owner(flagged: DataFrame) -> DataFrame:
+    """owner, open, overdue: how many open tasks (as flags() gives them) each owner has."""
+    owner = F.when(F.col("owner") == "", "(no owner)").otherwise(F.col("owner")).alias("owner")
+    return flagged.filter("not done").groupBy(owner).agg(F.count(F.lit(1)).alias("open"), F.count_if("overdue").alias("overdue"))
+
+
 def minutes(lines: DataFrame) -> DataFrame:
     """kind (action, decision, outcome) and item beside the lines (a column line) that say one."""
     kept = lines.schema.fieldNames()
+    added = ("kind", "said", "owner_", "due_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(i, *hit) for i, x in enumerate(batch.column("line").to_pylist()) if (hit := M.minute_line(x or ""))]
             rows = batch.take(pa.array([g[0] for g in got], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], names=[*kept, "kind", "item"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([g[k] for g in got], pa.string()) for k in range(1, 5))], names=[*kept, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.mapInArrow(run, f"{fields}, kind string, item string")
+    said = lines.mapInArrow(run, f"{fields}, " + ", ".join(f"{c} string" for c in added))
+    item = F.when(F.col("kind") == "action", T.action_line(F.col("said"), F.col("owner_"), F.col("due_"))).otherwise(F.col("said"))
+    return said.select(*kept, "kind", item.alias("item"))

@@ -191,6 +191,5 @@ def index_entry(title: Column, rel: Column, description: Column) -> Column:
 
 
 def index(entries: DataFrame) -> DataFrame:
-    """section, entries: the entries (section, rel, entry) of each section in order of rel."""
-    rows = F.sort_array(F.collect_list(F.struct("rel", "entry")))
-    return entries.groupBy("section").agg(F.array_join(F.transform(rows, lambda r: r["entry"]), "\n").alias("entries"))
+    """section, rel, entry: the entries in the order of an index, sections and paths rising."""
+    return entries.select("section", "rel", "entry").orderBy("section", "rel")

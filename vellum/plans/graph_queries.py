@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, derive, exports, policy, sqlgate
 from ..operators import edges as E
-from ..operators.graph import actor_nodes, label, source_nodes
+from ..operators.graph import DERIVED, Graph, actor_nodes, label, source_nodes
+from ..operators.ontology import Ontology
 from ..operators.providers import recall
-from ..operators.resolve import keys, lookup, resolve
+from ..operators.resolve import keys, lookup, resolve, sharers
+from ..operators.staging import staged
 from .frames import EDGES_SQL, INVERSES, NODES_SQL, NOTES_SQL, PLACES_SQL, nodes, notes, places, raw_edges, table
 
 QUERIES: dict = {}
@@ -34,9 +36,17 @@ def starts(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-@query("graph_nodes", f"select id, type, title from {NODES_SQL}")
+def graph(spark: SparkSession, d: str, props: DataFrame | None = None) -> Graph:
+    """The tables as a graph of notes."""
+    n = nodes(spark, d).withColumns({"kind": F.lit("note"), "description": F.lit(""), "path": F.col("id"), "mtime": F.lit(0.0), "props": F.lit("{}"), "sensitivity": F.lit(None).cast("string"), **{c: F.lit(None).cast("boolean" if c in ("stale", "at_risk") else "string") for c in DERIVED}})
+    none = spark.createDataFrame([], checks.FINDING)
+    props = spark.createDataFrame([], "node string, key string, is_list boolean, is_map boolean, items array<struct<tag:string,str:string>>") if props is None else props
+    return Graph(n, edges(spark, d), none, props, none, none, "", "human:ann", Ontology())
+
+
+@query("graph_nodes", f"select id, 'note' as kind, type, title, '{{}}' as props from {NODES_SQL}")
 def _(spark, d):
-    return nodes(spark, d)
+    return graph(spark, d).tables()["nodes"].select("id", "kind", "type", "title", "props")
 
 
 @query("graph_edges", f"select src, pred, dst, origin from {EDGES_SQL}")
@@ -104,10 +114,10 @@ def _(spark, d):
 
 @query("shortest_path_len", f"""
 with recursive e as {_BOTH_SQL}, r as (select 'c:1' as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 8)
-select 'c:1' as a, node as b, min(depth)::int as steps from r where node in ('s:1', 'c:2', 'r:0', 'n:0') group by node""")
+select 'c:1' as a, node as b, min(depth)::int as steps from r where node in ('s:1', 'c:2', 'r:0', 'r:1', 'r:2', 'r:3', 'r:4') group by node""")
 def _(spark, d):
     e = _both(spark, d)
-    rows = [("c:1", b, len(E.shortest_path(e, "c:1", b))) for b in ("s:1", "c:2", "r:0", "n:0")]
+    rows = [("c:1", b, len(E.shortest_path(e, "c:1", b))) for b in ("s:1", "c:2", "r:0", "r:1", "r:2", "r:3", "r:4")]
     return spark.createDataFrame([r for r in rows if r[2]], "a string, b string, steps int")
 
 
@@ -221,34 +231,26 @@ def _(spark, d):
 
 
 @query("reference_findings", f"""
-with t as (select * from {_PARTS_SQL}), r as (select 'o:' || l_orderkey as node, 'p:' || l_partkey as target, l_partkey as k, l_linenumber from lineitem)
-select 'error' as level, 'range_violation' as code, r.node, '`item` points at p:' || r.k || ' of type `part`; expected [person]' as message, '' as suggestion from r join t on t.k = r.k where t.type = 'part' and l_linenumber = 1
-union all select 'warning', 'unresolved_ref', r.node, '`item: nobody ' || r.k || '` does not resolve to a note', 'create a `person` note for it' from r where l_linenumber = 2""")
+with t as (select * from {_PARTS_SQL}), r as (select 'o:' || l_orderkey as node, l_partkey as k, l_linenumber % 3 as way from lineitem)
+select 'error' as level, 'range_violation' as code, r.node, '`item` points at p:' || r.k || ' of type `part`; expected [person]' as message, '' as suggestion from r join t on t.k = r.k where t.type = 'part' and way = 1
+union all select 'warning', 'unresolved_ref', r.node, '`item: nobody ' || r.k || '` does not resolve to a note', 'create a `person` note for it' from r where way = 2
+union all select 'warning', 'ambiguous_ref', r.node, '`item: ' || t.title || '` matches ' || w.n || ' notes: ' || array_to_string(w.ids, ', ') || case when len(w.ids) < w.n then ', …' else '' end, 'use a markdown link to the intended note'
+  from r join t on t.k = r.k join (
+    select name, count(*) as n, list_slice(list_sort(list(id)), 1, 5) as ids from (select lower(title) as name, 'p:' || k as id from t) group by name having count(*) > 1) w on w.name = lower(t.title) where way = 0""")
 def _(spark, d):
-    line = table(spark, d, "lineitem").filter("l_linenumber in (1, 2)")
     k = F.col("l_partkey").cast("string")
+    way = F.col("l_linenumber") % 3
+    parts = _parts(spark, d)
+    line = table(spark, d, "lineitem").withColumn("id", F.concat(F.lit("p:"), k)).join(parts.select("id", "title"), "id", "left")
     refs = line.select(
         F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("node"), F.lit("item").alias("key"),
-        F.when(F.col("l_linenumber") == 1, F.concat(F.lit("[x](/parts/p"), k, F.lit(".md)"))).otherwise(F.concat(F.lit("nobody "), k)).alias("value"),
-        F.lit("").alias("from_path"), F.array(F.lit("person")).alias("ranges"), F.lit(False).alias("soft"),
+        F.when(way == 1, F.concat(F.lit("[x](/parts/p"), k, F.lit(".md)"))).when(way == 2, F.concat(F.lit("nobody "), k)).otherwise(F.col("title")).alias("value"),
+        F.lit("").alias("from_path"), F.when(way == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("person"))).alias("ranges"), F.lit(False).alias("soft"), way.alias("way"),
     )
     up = {"person": ["person", "node"], "part": ["part", "node"]}
-    return checks.reference_findings(resolve(refs, lookup(keys(_parts(spark, d))), up), up)
-
-
-@query("reference_findings_whole", f"""
-with t as (select * from {_PARTS_SQL}), r as (select 'o:' || l_orderkey as node, l_partkey as k, l_linenumber from lineitem)
-select 'error' as level, 'range_violation' as code, r.node, '`item` points at p:' || r.k || ' of type `part`; expected [person]' as message, '' as suggestion from r join t on t.k = r.k where t.type = 'part' and l_linenumber % 2 = 1
-union all select 'warning', 'unresolved_ref', r.node, '`item: nobody ' || r.k || '` does not resolve to a note', 'create a `person` note for it' from r where l_linenumber % 2 = 0""")
-def _(spark, d):
-    k = F.col("l_partkey").cast("string")
-    refs = table(spark, d, "lineitem").select(
-        F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("node"), F.lit("item").alias("key"),
-        F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("[x](/parts/p"), k, F.lit(".md)"))).otherwise(F.concat(F.lit("nobody "), k)).alias("value"),
-        F.lit("").alias("from_path"), F.array(F.lit("person")).alias("ranges"), F.lit(False).alias("soft"),
-    )
-    up = {"person": ["person", "node"], "part": ["part", "node"]}
-    return checks.reference_findings(resolve(refs, lookup(keys(_parts(spark, d))), up), up)
+    known = staged(keys(parts), "keys")
+    found = staged(resolve(refs, staged(lookup(known), "lookup"), up), "references")
+    return checks.reference_findings(found, up, None, sharers(found, known))
 
 
 @query("unknown_type", f"""
@@ -339,9 +341,10 @@ def _(spark, d):
     return derive.state_conflicts(_superseding(spark, d), states)
 
 
-@query("decision_without_context", "select 'c:' || c_custkey as id from customer where c_custkey not in (select o_custkey from orders)")
+@query("decision_without_context", "select 'c:' || c_custkey as id from customer where c_custkey not in (select o_custkey from orders where left(o_orderpriority, 1) = '1')")
 def _(spark, d):
-    tied = edges(spark, d).filter("pred = 'placed_by'").select(F.col("dst").alias("src"), F.lit("project").alias("pred"))
+    urgent = table(spark, d, "orders").filter("left(o_orderpriority, 1) = '1'")  # what ties a customer to a project
+    tied = urgent.select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"), F.lit("project").alias("pred"))
     return derive.without_context(table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id")), tied)
 
 
@@ -383,13 +386,13 @@ def _(spark, d):
 
 
 @query("props_eav", """
-select 'o:' || o_orderkey as node, 'order' as type, 'state' as key, o_orderstatus as value from orders
-union all select 'o:' || o_orderkey, 'order', 'priority', o_orderpriority from orders where o_orderkey % 2 = 0
-union all select 'o:' || o_orderkey, 'order', 'date', strftime(o_orderdate, '%Y-%m-%d') from orders""")
+select 'o:' || o_orderkey as node, 'state' as key, o_orderstatus as value from orders
+union all select 'o:' || o_orderkey, 'priority', o_orderpriority from orders where o_orderkey % 2 = 0
+union all select 'o:' || o_orderkey, 'date', strftime(o_orderdate, '%Y-%m-%d') from orders""")
 def _(spark, d):
     k = F.col("o_orderkey")
     props = _eav(table(spark, d, "orders"), F.concat(F.lit("o:"), k.cast("string")), F.lit("order"), ("state", F.col("o_orderstatus")), ("priority", F.when(k % 2 == 0, F.col("o_orderpriority"))), ("date", F.date_format("o_orderdate", "yyyy-MM-dd")))
-    return props.select("node", "type", "key", F.explode("items").alias("x")).select("node", "type", "key", F.col("x.str").alias("value"))
+    return graph(spark, d, props).props_table()
 
 
 # ---- guarded SQL -------------------------------------------------------------------------
@@ -414,27 +417,16 @@ SQL["sql_passthrough_recursive"] = f"with recursive r(node, depth) as (select 'r
 # ---- further tables of the graph ---------------------------------------------------------
 
 
-@query("graph_counts", f"select (select count(*) from {NODES_SQL}) as nodes, count(*) as edges, count(distinct src) as sources from {EDGES_SQL}")
+@query("graph_counts", f"select 'nodes' as key, count(*)::varchar as value from {NODES_SQL} union all select 'edges', count(*)::varchar from {EDGES_SQL}")
 def _(spark, d):
-    n = nodes(spark, d).agg(F.count(F.lit(1)).alias("nodes"))
-    return edges(spark, d).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("sources")).join(n).select("nodes", "edges", "sources")
+    return graph(spark, d).meta_table().filter("key in ('nodes', 'edges')").select("key", "value")
 
 
 @query("relation_labels", f"""
 select e.src, e.pred, list_sort(list(distinct n.title || ' (' || n.id || ') [' || n.type || ']')) as labels
-from {EDGES_SQL} e join {NODES_SQL} n on n.id = e.dst where e.src like 'o:1%' group by e.src, e.pred""")
-def _(spark, d):
-    n = nodes(spark, d).withColumns({"props": F.lit("{}"), "stale": F.lit(False)}).select(F.col("id").alias("dst"), label().alias("label"))
-    e = edges(spark, d).filter(F.col("src").startswith("o:1"))
-    return e.join(n, "dst").groupBy("src", "pred").agg(F.sort_array(F.collect_set("label")).alias("labels"))
-
-
-@query("relation_labels_whole", f"""
-select e.src, e.pred, list_sort(list(distinct n.title || ' (' || n.id || ') [' || n.type || ']')) as labels
 from {EDGES_SQL} e join {NODES_SQL} n on n.id = e.dst group by e.src, e.pred""")
 def _(spark, d):
-    n = nodes(spark, d).withColumns({"props": F.lit("{}"), "stale": F.lit(False)}).select(F.col("id").alias("dst"), label().alias("label"))
-    return edges(spark, d).join(n, "dst").groupBy("src", "pred").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return graph(spark, d).relations()
 
 
 @query("node_labels", f"""

@@ -87,8 +87,7 @@ def _(spark, d):
 
 @query("todo_by_owner", f"select case owner when '' then '(no owner)' else owner end as owner, count(*) as open, count(*) filter (overdue) as overdue from {_FLAGS} where not done group by 1")
 def _(spark, d):
-    open_ = tasks.flags(_tasks(spark, d), TODAY).filter("not done")
-    return open_.groupBy(F.when(F.col("owner") == "", "(no owner)").otherwise(F.col("owner")).alias("owner")).agg(F.count(F.lit(1)).alias("open"), F.count_if("overdue").alias("overdue"))
+    return tasks.by_owner(tasks.flags(_tasks(spark, d), TODAY))
 
 
 @query("dup_groups", f"select key, count(distinct file) as files, count(*) as n, bool_or(done) and bool_or(not done) as conflict from {_TASKS_SQL} where length(key) >= 12 group by key having count(distinct file) > 1")
@@ -294,19 +293,9 @@ def _(spark, d):
 
 
 @query("index_build", f"""
-select split_part(rel, '/', 1) as section, string_agg('* [' || title || '](' || rel || ')' || case when description = '' then '' else ' - ' || description end, chr(10) order by rel) as entries
-from {NOTES_SQL} where key % 50 = 0 group by 1""")
+select split_part(rel, '/', 1) as section, rel, '* [' || title || '](' || rel || ')' || case when description = '' then '' else ' - ' || description end as entry from {NOTES_SQL}""")
 def _(spark, d):
-    own = notes(spark, d).filter("key % 50 = 0")
-    return validate.index(own.select(validate.section().alias("section"), "rel", validate.index_entry(F.col("title"), F.col("rel"), F.col("description")).alias("entry")))
-
-
-@query("index_build_whole", f"""
-select split_part(rel, '/', 1) as section, string_agg('* [' || title || '](' || rel || ')' || case when description = '' then '' else ' - ' || description end, chr(10) order by rel) as entries
-from {NOTES_SQL} group by 1""")
-def _(spark, d):
-    own = notes(spark, d)
-    return validate.index(own.select(validate.section().alias("section"), "rel", validate.index_entry(F.col("title"), F.col("rel"), F.col("description")).alias("entry")))
+    return validate.index(notes(spark, d).select(validate.section().alias("section"), "rel", validate.index_entry(F.col("title"), F.col("rel"), F.col("description")).alias("entry")))
 
 
 @query("daily_paths", "select o_orderkey, strftime(o_orderdate, '01-journal/daily/%Y/%m/%Y-%m-%d.md') as daily, strftime(o_orderdate, '01-journal/monthly/%Y-%m.md') as monthly from orders")

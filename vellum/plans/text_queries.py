@@ -72,12 +72,9 @@ def _(spark, d):
     )
 
 
-@query("percent_round_trip", "select doc_id, left(text, 80) as head from documents")
+@query("percent_round_trip", "select doc_id, text as back from documents")
 def _(spark, d):
-    # the whole text goes both ways and is compared with itself; a text that comes back another shows in its head
-    back = T.unquoted(T.quoted(F.col("text")))
-    head = F.when(back.eqNullSafe(F.col("text")), F.substring(back, 1, 80)).otherwise(F.concat(F.lit("differs: "), back))
-    return table(spark, d, "documents").select("doc_id", head.alias("head"))
+    return table(spark, d, "documents").select("doc_id", T.unquoted(T.quoted(F.col("text"))).alias("back"))
 
 
 @query("table_rows", "select o_orderkey, [o_orderstatus, 'a\\|b', o_orderpriority, ''] as cells, 'o/' || o_orderkey || ' x.md' as target from orders")
@@ -151,10 +148,12 @@ def _(spark, d):
 
 
 @query("backlinks", """
-select page_id from pages where contains(html, '/the') or contains(html, '[[the') or contains(html, 'the.md')""")
+select doc_id from documents where contains(text, '[[the') or contains(text, 'the.md') or contains(text, 'notes/the.md')
+union all select -1 - page_id from pages where contains(html, '[[index') or contains(html, 'index.md') or contains(html, 'index')""")
 def _(spark, d):
-    hit = F.contains("html", F.lit("/the")) | F.contains("html", F.lit("[[the")) | F.contains("html", F.lit("the.md"))
-    return table(spark, d, "pages").filter(hit).select("page_id")
+    own = search.backlinks(table(spark, d, "documents"), "notes/the.md").select("doc_id")
+    pages = search.backlinks(table(spark, d, "pages").withColumn("text", F.col("html")), "index").select((-1 - F.col("page_id")).alias("doc_id"))
+    return own.unionByName(pages)
 
 
 # ---- search ------------------------------------------------------------------------------
@@ -227,19 +226,7 @@ def _(spark, d):
     return search.fused([search.top(_bm(spark, d), 50), search.top(_cos(spark, d), 50)], 30).withColumn("score", F.round("score", 9))
 
 
-@query("mentions", """
-with n as (select 'p:' || min(p_partkey) as node, p_name as name from part group by p_name), t as (select o_orderkey as id, 'we need a ' || upper(p1.p_name) || ', and ' || p2.p_name || 's' as text from orders join part p1 on p1.p_partkey = o_orderkey % 2000 join part p2 on p2.p_partkey = o_custkey % 2000 where o_orderkey % 10 = 0)
-select t.id, n.node, length(n.name)::int as size from t join n on regexp_matches(lower(t.text), '(^|[^\\w-])' || n.name || '($|[^\\w-])')""")
-def _(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 2000")
-    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).select("name", F.concat(F.lit("p:"), F.col("k").cast("string")).alias("node"))
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_orderkey") % 2000).alias("a"), (F.col("o_custkey") % 2000).alias("b"))
-    o = o.join(p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), "b")
-    texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("we need a "), F.upper("x"), F.lit(", and "), "y", F.lit("s")).alias("text"))
-    return search.mentions(texts, names)
-
-
-@query("mentions_whole")
+@query("mentions")
 def _(spark, d):
     """The texts of all orders, named from all parts: DuckDB tries every text with every name, so there is no SQL."""
     p = table(spark, d, "part").select("p_partkey", "p_name")
