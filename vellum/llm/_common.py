@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a Python function holds at a time.
 STEP_BYTES = 4 << 20
-#: Bytes of a batch that Spark hands to Python.
-BATCH_BYTES = 16 << 20
+#: Bytes of a batch that Spark hands to Python, rows of a batch that it reads from Parquet: the
+#: reader keeps room for a batch of texts for as long as a task runs, and no array of it is large.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
 #: Bytes of a row group of staged tables.
 ROW_GROUP = 16 << 20
 
@@ -30,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """The named columns of a table; a column that the file lacks is null."""
     # batches for Python of bounded bytes, whatever the texts' length
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*[F.col(c) for c in columns]) if columns else df
 

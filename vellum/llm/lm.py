@@ -213,8 +213,8 @@ def build(docs: DataFrame, bits: int = BITS, probes: int = PROBES) -> DataFrame:
     text = F.col("text").cast("string")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     segments = max(16, 4 * parts(docs.sparkSession), -(-size // SEGMENT_TEXT))
-    # a task has its segments pass one at a time, so few tasks do, and they leave few files
-    tasks = max(4, parts(docs.sparkSession) // 4, segments // 32)
+    # a task has its segments pass one at a time, but sorts all of them: some eight each
+    tasks = max(4, parts(docs.sparkSession) // 2, segments // 8)
     counted = docs.select(text.alias("text")).mapInArrow(tidy(_count(segments)), "segment int, kind int, keys binary, n binary")
     dealt = counted.repartition(tasks, "segment").sortWithinPartitions("segment")
     made = dealt.mapInArrow(tidy(_filters(bits, probes)), MODEL)
