@@ -264,6 +264,16 @@ def _parsed(spark, d):
     return notes(spark, d).select("key", "rel", (k % 21 != 0).alias("valid"), (k % 22 != 0).alias("has_fm"), F.when(k % 44 == 0, "YAML error: x").alias("fm_error"), raw.alias("raw"), event.alias("events"), source.alias("sources"), F.lit("text").alias("body"))
 
 
+def _reserved(parsed):
+    """An index and a log file beside each note; one index is the root's and may carry its version."""
+    k = F.col("key")
+    at = F.concat(F.lit("o/"), k.cast("string"))
+    raw = F.transform(F.slice("raw", 1, 1), lambda x: x.withField("key", F.lit("okf_version")))
+    index = parsed.withColumns({"rel": F.when(k == 1, "index.md").otherwise(F.concat(at, F.lit("/index.md"))), "has_fm": k % 2 == 1, "raw": raw})
+    log = parsed.withColumns({"rel": F.concat(at, F.lit("/log.md")), "has_fm": k % 4 == 0, "body": F.concat(F.lit("# Log\n\n## 2026-01-01\n* x\n\n## "), F.when(k % 3 == 0, "May 2026").otherwise("2026-02-02"))})
+    return index.unionByName(log)
+
+
 @query("format_findings", f"""
 with n as (select *, rel like '90-templates/%' as tpl, key % 21 <> 0 as valid, key % 21 <> 0 and key % 22 <> 0 as ok from {NOTES_SQL})
 select 'error' as level, 'DOC-01' as rule, rel from n where not valid
@@ -278,9 +288,15 @@ union all select 'error', 'DOC-11', rel from n where ok and not tpl and key % 12
 union all select 'error', 'DOC-12', rel from n where ok and not tpl and key % 9 = 0
 union all select 'error', 'DOC-13', rel from n where ok and key % 18 = 0
 union all select 'error', 'DOC-13', rel from n where ok and key % 18 <> 0 and key % 20 = 0
-union all select 'warning', 'DOC-14', rel from n where ok and key % 10 = 0""")
+union all select 'warning', 'DOC-14', rel from n where ok and key % 10 = 0
+union all select 'error', 'DOC-01', case when key = 1 then 'index.md' else 'o/' || key || '/index.md' end from n where not valid
+union all select 'error', 'DOC-01', 'o/' || key || '/log.md' from n where not valid
+union all select 'error', 'DOC-02', 'o/' || key || '/index.md' from n where valid and key % 2 = 1 and key <> 1
+union all select 'error', 'DOC-03', 'o/' || key || '/log.md' from n where valid and key % 3 = 0
+union all select 'error', 'DOC-04', 'o/' || key || '/log.md' from n where valid and key % 4 = 0""")
 def _(spark, d):
-    return validate.format_findings(_parsed(spark, d), "90-templates").select("level", "rule", "rel")
+    own = _parsed(spark, d)
+    return validate.format_findings(own.unionByName(_reserved(own)), "90-templates").select("level", "rule", "rel")
 
 
 @query("day_notes_misplaced", """

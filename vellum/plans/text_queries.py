@@ -148,12 +148,13 @@ def _(spark, d):
 
 
 @query("backlinks", """
-select doc_id from documents where contains(text, '[[the') or contains(text, 'the.md') or contains(text, 'notes/the.md')
-union all select -1 - page_id from pages where contains(html, '[[index') or contains(html, 'index.md') or contains(html, 'index')""")
+with t as (select doc_id, text || case when doc_id % 2 = 0 then ' [[' || lang || '-' || (doc_id % 25) || ']]' else ' [x](../notes/' || lang || '-' || (doc_id % 25) || '.md)' end as text from documents)
+select doc_id from t where contains(text, '[[en-1') or contains(text, 'en-1.md') or contains(text, 'notes/en-1.md')""")
 def _(spark, d):
-    own = search.backlinks(table(spark, d, "documents"), "notes/the.md").select("doc_id")
-    pages = search.backlinks(table(spark, d, "pages").withColumn("text", F.col("html")), "index").select((-1 - F.col("page_id")).alias("doc_id"))
-    return own.unionByName(pages)
+    k = F.col("doc_id")
+    name = F.concat("lang", F.lit("-"), (k % 25).cast("string"))
+    link = F.when(k % 2 == 0, F.concat(F.lit(" [["), name, F.lit("]]"))).otherwise(F.concat(F.lit(" [x](../notes/"), name, F.lit(".md)")))
+    return search.backlinks(table(spark, d, "documents").withColumn("text", F.concat("text", link)), "notes/en-1.md").select("doc_id")
 
 
 # ---- search ------------------------------------------------------------------------------
@@ -175,19 +176,26 @@ def _score(hay: str, title: str) -> str:
     return " + ".join([_count(hay, t) for t in _TERMS] + [f"5 * {_count(hay, phrase)}", f"case when contains({title}, '{phrase}') then 10 else 0 end"])
 
 
+def _snippet(hay: str, low: str, before: int, after: int) -> str:
+    """From before the first hit to after it."""
+    at = "coalesce(least(" + ", ".join(f"nullif(instr({low}, '{t}'), 0)" for t in _TERMS) + ") - 1, 0)"
+    begin = f"greatest({at} - {before}, 0)"
+    return f"substr({hay}, {begin} + 1, {at} + {after} - {begin})"
+
+
 @query("search_naive", f"""
-select doc_id as file, ({_score("lower(text)", "lower(left(text, 30))")})::bigint as score from documents where {_score("lower(text)", "lower(left(text, 30))")} > 0 order by score desc, doc_id limit 25""")
+select doc_id as file, ({_score("lower(text)", "lower(left(text, 30))")})::bigint as score, trim({_snippet("text", "lower(text)", 200, 400)}) as snippet from documents where {_score("lower(text)", "lower(left(text, 30))")} > 0 order by score desc, doc_id limit 25""")
 def _(spark, d):
-    return search.keyword_search(_docs(spark, d), _Q, 25, ["file"]).select("file", "score")
+    return search.keyword_search(_docs(spark, d), _Q, 25, ["file"]).select("file", "score", "snippet")
 
 
 _HAY = "lower(text || chr(10) || '{\"lang\": \"' || lang || '\"}')"
 
 
 @query("search_bridge", f"""
-select doc_id as file, ({_score(_HAY, "lower(left(text, 30))")})::bigint as score from documents where {_score(_HAY, "lower(left(text, 30))")} > 0 order by score desc, doc_id limit 25""")
+select doc_id as file, ({_score(_HAY, "lower(left(text, 30))")})::bigint as score, trim(regexp_replace({_snippet(_HAY, _HAY, 80, 160)}, '\\s+', ' ', 'g')) as snippet from documents where {_score(_HAY, "lower(left(text, 30))")} > 0 order by score desc, doc_id limit 25""")
 def _(spark, d):
-    return search.haystack_search(_docs(spark, d), _Q, 25, ["file"]).select("file", "score")
+    return search.haystack_search(_docs(spark, d), _Q, 25, ["file"]).select("file", "score", "snippet")
 
 
 _BM = """
