@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, cosine, licenses, lm, mixing, quality, simhash, suffixes
+from . import bitsliced, bpe, chat, cosine, fim, licenses, lm, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_chat_roles": chat.op10_chat_roles,
+    "op13_fim": fim.op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_bitsliced_topk": bitsliced.OP2_SQL,
     "op4_cosine": cosine.OP4_SQL,
+    "op13_fim": fim.OP13_SQL,
 }
