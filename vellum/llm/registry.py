@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, cosine, fim, licenses, lm, mixing, quality, simhash, suffixes
+from . import bitsliced, bpe, chat, cosine, exact, fim, licenses, lm, mixing, quality, simhash, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_chat_roles": chat.op10_chat_roles,
+    "op12_exact": exact.op12_exact,
     "op13_fim": fim.op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_bitsliced_topk": bitsliced.OP2_SQL,
     "op4_cosine": cosine.OP4_SQL,
+    "op12_exact": exact.OP12_SQL,
     "op13_fim": fim.OP13_SQL,
 }
