@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, bpe, chat, cosine, exact, fim, licenses, lm, mixing, quality, simhash, suffixes
+from . import bitsliced, bpe, chat, cosine, exact, fim, licenses, lm, mixing, quality, simhash, spelling, suffixes
 
 QUERIES = {
     "op1_line_crf": quality.op1_line_crf,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_chat_roles": chat.op10_chat_roles,
+    "op11_spelling": spelling.op11_spelling,
     "op12_exact": exact.op12_exact,
     "op13_fim": fim.op13_fim,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_bitsliced_topk": bitsliced.OP2_SQL,
     "op4_cosine": cosine.OP4_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_exact": exact.OP12_SQL,
     "op13_fim": fim.OP13_SQL,
 }
