@@ -85,7 +85,7 @@ def _routed(words: DataFrame, tile: int, shard: int) -> DataFrame:
     own = F.length("word")
     rows = one(words, own, 0, True)
     for length, side, pattern in ((own, 1, True), (own, 0, False), (own, 1, False), (own - 1, 0, False), (own - 1, 1, False)):
-        rows = rows.unionByName(one(words.filter(F.length("word") > 1), length, side, pattern))
+        rows = rows.unionByName(one(words.filter(length > 0), length, side, pattern))
     on = ["len", "side", "seg"]
     held = rows.groupBy(*on).agg(F.count_if("pattern").alias("p"), F.count_if(~F.col("pattern")).alias("t"))
     held = held.filter("p > 0 and p + t > 2")  # a pattern meets itself as a word; more must come to it
