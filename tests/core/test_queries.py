@@ -162,6 +162,13 @@ def test_long_paths_and_closures(spark):
     assert {(int(r.src), int(r.dst)) for r in out.collect()} == {(a, b) for a, b in far - pairs if a != b}
 
 
+def test_default_policy_keeps_people_and_context(spark):
+    asked = [("05-people/ann.md", "denied: 05-people"), ("context.jsonld", "denied: context.jsonld"), ("03-projects/context.jsonld", "denied: context.jsonld"), (".git/config", "denied: .git"), ("03-projects/a.md", None)]
+    df = spark.createDataFrame([(t, "x", "p", "", False) for t, _ in asked], "target string, payload string, prop string, template string, overwrite boolean")
+    got = policy.write_verdicts(df, policy.Policy(), spark.createDataFrame([], "rel string"))
+    assert {r.target: r.verdict for r in got.collect()} == dict(asked)
+
+
 def test_policy_from_arguments():
     p = policy.Policy.from_args(["--read-only", "--deny-write", "a,b", "--max-write-bytes", "7", "--no-hide-confidential"])
     assert (p.read_only, p.deny_write, p.max_write_bytes, p.hide_confidential, p.propose) == (True, ("a", "b"), 7, False, False)

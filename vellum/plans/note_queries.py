@@ -199,20 +199,21 @@ def _(spark, d):
     return notes(spark, d).select("rel", policy.prefix_hit(policy.normal_path(F.col("rel")), ("90-templates", "99-system", "O77")).alias("hit"))
 
 
-_ESC = "case when key % 50 = 0 then '../' || rel when key % 50 = 1 then '03-projects/../90-templates/./x' when key % 50 = 2 then null else rel end"
+_ESC = "case when key % 50 = 0 then '../' || rel when key % 50 = 1 then '03-projects/../90-templates/./x' when key % 50 = 2 then null when key % 50 = 3 then '03-projects/context.jsonld' else rel end"
 
 
 @query("write_gate", f"""
 select key, case
   when target is null then 'unresolved' when target like '../%' then 'outside the vault'
   when target like '%90-templates/%' then 'denied: 90-templates' when target like '99-system/%' then 'denied: 99-system' when target like '09-archive/%' then 'denied: 09-archive'
+  when target like '05-people/%' then 'denied: 05-people' when target like '%context.jsonld' then 'denied: context.jsonld'
   when key % 11 = 0 then 'overwrite denied' when state = 'waiting' and key % 2 = 0 then 'confidential' when key % 13 = 3 then 'sensitivity'
   when key % 17 = 4 then 'template outside its folder' when key % 19 = 5 then 'too large' end as verdict
 from (select *, {_ESC} as target from {NOTES_SQL})""")
 def _(spark, d):
     n, k = notes(spark, d), F.col("key")
     hidden = n.filter("state = 'waiting' and key % 2 = 0").select("rel")
-    target = F.when(k % 50 == 0, F.concat(F.lit("../"), "rel")).when(k % 50 == 1, "03-projects/../90-templates/./x").when(k % 50 == 2, F.lit(None)).otherwise(F.col("rel"))
+    target = F.when(k % 50 == 0, F.concat(F.lit("../"), "rel")).when(k % 50 == 1, "03-projects/../90-templates/./x").when(k % 50 == 2, F.lit(None)).when(k % 50 == 3, "03-projects/context.jsonld").otherwise(F.col("rel"))
     asked = n.select(
         "key", target.alias("target"), F.when(k % 19 == 5, F.repeat(F.lit("é"), 11)).otherwise("short").alias("payload"), F.when(k % 13 == 3, " Sensitivity").otherwise("x").alias("prop"),
         F.when(k % 17 == 4, "a/../../b").otherwise("meeting").alias("template"), (k % 11 == 0).alias("overwrite"),
