@@ -91,6 +91,26 @@ def test_scores_are_those_of_each_text_alone(spark, monkeypatch):
         first = got
 
 
+def test_a_mark_at_the_edge_of_a_text_is_its_own(spark):
+    """A text that begins with the mark with which its neighbour ends scores as it does alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    marks = [chr(i) for i in range(128) if quality.MARKS[i]]
+    assert marks
+    texts = [x for m in marks for x in (f"what is this{m}", f"{m}{m} short line", f"{m} other\n{m}{m}")]
+    one = lambda rows: {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    together = one(list(enumerate(texts)))
+    backwards = one(list(enumerate(texts))[::-1])
+    assert together == backwards and all(abs(together[i] - plain_score(model, t)) < 1e-4 for i, t in enumerate(texts))
+    assert all(one([(i, t)])[i] == together[i] for i, t in list(enumerate(texts))[:6])
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("concat('d', doc_id) as doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").selectExpr("concat('d', doc_id) as doc_id", "quality", "toxic")
+    assert quality.train(docs, labels) is not None
+
+
 def test_repeated_training_ids(spark):
     """Of several texts of an id always the same one is learnt from."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

@@ -79,6 +79,7 @@ def line_features(data: memoryview, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     upper, lower, digit, space, _, other, stop, bang, odd = counts
     twice = np.zeros(len(b), np.uint8)
     np.logical_and(b[1:] == b[:-1], MARKS[b[1:]], out=twice[1:].view(bool))
+    twice[starts] = 0  # what stands before a line, or before the text, is not the line's
     runs = np.add.reduceat(twice, starts, dtype=np.int64).astype(np.float32)
     n = np.maximum(full, 1).astype(np.float32)
     letters = np.maximum(upper + lower + other, 1)
@@ -254,11 +255,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
                 rows.append((size[lo:hi].astype(np.int64).tobytes(), x[lo:hi].tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "quality", "size", "x"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = src.join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    met = src.join(F.broadcast(known.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
     least = met.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("th"))  # a row for each id of the sample
     met = met.join(F.broadcast(least), "doc_id").filter(F.xxhash64("text") == F.col("th"))
-    got = met.select("doc_id", "quality", "text").mapInArrow(tidy(run), "doc_id long, quality int, size binary, x binary")
+    got = met.select("doc_id", "quality", "text").mapInArrow(tidy(run), f"doc_id {kind}, quality int, size binary, x binary")
     got = got.groupBy("doc_id").agg(F.min(F.struct("quality", "size", "x")).alias("of")).select("doc_id", "of.*").collect()
     got = sorted((r for r in got if r["size"]), key=lambda r: r["doc_id"])
     label = np.array([r["quality"] for r in got])
