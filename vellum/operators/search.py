@@ -43,17 +43,22 @@ def first_hit(body: Column, terms: Sequence[str]) -> Column:
     return F.coalesce((F.least(*at) if len(at) > 1 else at[0]) - 1, F.lit(0))
 
 
+def best_files(notes: DataFrame, score: Column, n: int, order: Sequence[str]) -> DataFrame:
+    """The n best notes, best first, with their score: files and scores alone are ordered, and the
+    texts of the winners are joined (n rows, which the caller names)."""
+    won = notes.select("file", *[c for c in order if c != "file"], score.alias("score")).filter("score > 0").orderBy(F.col("score").desc(), *order).limit(n)
+    return notes.join(F.broadcast(won.select("file", "score")), "file").orderBy(F.col("score").desc(), *order)
+
+
 def keyword_search(notes: DataFrame, question: str, n: int, order: Sequence[str]) -> DataFrame:
     """file, title, snippet, score: the n best notes (file, title, body, and the columns that
     break ties). The snippet runs from 200 characters before the first hit to 400 after it."""
     terms = query_terms(question)
     if not terms:
         return notes.select("file", "title", F.lit("").alias("snippet"), F.lit(0).cast("long").alias("score")).limit(0)
-    low = F.lower("body")
-    at = first_hit(low, terms)
+    at = first_hit(F.lower("body"), terms)
     begin = F.greatest(at - 200, F.lit(0))
-    found = notes.withColumn("score", term_score(low, F.lower("title"), terms)).filter("score > 0")
-    found = found.orderBy(F.col("score").desc(), *order).limit(n)
+    found = best_files(notes, term_score(F.lower("body"), F.lower("title"), terms), n, order)
     return found.select("file", "title", F.trim(F.col("body").substr(begin + 1, at + 400 - begin)).alias("snippet"), "score")
 
 
@@ -66,8 +71,7 @@ def haystack_search(notes: DataFrame, query: str, n: int, order: Sequence[str])
     hay = F.lower(F.concat("body", F.lit("\n"), F.coalesce("props", F.lit("{}"))))
     at = first_hit(hay, terms)
     begin = F.greatest(at - 80, F.lit(0))
-    found = notes.withColumn("score", term_score(hay, F.lower("title"), terms)).filter("score > 0")
-    found = found.orderBy(F.col("score").desc(), *order).limit(n)
+    found = best_files(notes, term_score(hay, F.lower("title"), terms), n, order)
     return found.select("file", "title", "score", squeezed(hay.substr(begin + 1, at + 160 - begin)).alias("snippet"))
 
 

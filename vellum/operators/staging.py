@@ -34,16 +34,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written[path] = df.sparkSession
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that staged() returned and that nothing still to be computed reads."""
+    for df in tables:
+        _delete(getattr(df, "_vellum_path", ""))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever the session's file systems keep it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_until_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends, as staged tables do."""
+    _written[path] = spark
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
+    try:
+        remove(spark, path)
+    except Exception:  # the session has ended; the folder's owner clears it
+        return
 
 
 @atexit.register
 def drop_staged() -> None:
     """Deletes what staged() wrote; results that read it end with that. Runs when the application ends."""
-    while _written:
-        path, spark = _written.popitem()
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the folder's owner clears it
-            return
+    for path in list(_written):
+        _delete(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import resolve, search, validate
+from ..operators import postings, resolve, search, validate
 from .frames import table
 
 QUERIES: dict = {}
@@ -209,8 +209,10 @@ c as (select vec_id as id, list_cosine_similarity(embedding::double[], (select e
 """
 
 
-def _bm(spark, d):
-    return search.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["that", "que"])
+def _bm(spark, d, n):
+    """The n best of all documents, through the index of these documents; it is built when first asked for."""
+    index = postings.opened(f"documents of {d}", table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return index.search(["that", "que"], n)
 
 
 def _cos(spark, d):
@@ -220,7 +222,7 @@ def _cos(spark, d):
 
 @query("bm25_topk", f"{_BM} select id, rank, round(score, 6) as score from (select *, row_number() over (order by score desc, id)::int as rank from k) where rank <= 20")
 def _(spark, d):
-    return search.top(_bm(spark, d), 20).withColumn("score", F.round("score", 6))
+    return search.top(_bm(spark, d, 20), 20).withColumn("score", F.round("score", 6))
 
 
 @query("cosine_topk", f"with {_COS} select id, rank, round(score, 6) as score from (select *, row_number() over (order by score desc, id)::int as rank from c) where rank <= 20")
@@ -231,7 +233,7 @@ def _(spark, d):
 @query("rrf", f"""{_BM}, {_COS}, r as (select id, row_number() over (order by score desc, id) as rank from k qualify rank <= 50 union all select id, row_number() over (order by score desc, id) from c qualify row_number() over (order by score desc, id) <= 50)
 select id, round(sum(1.0 / (60 + rank)), 9) as score from r group by id order by sum(1.0 / (60 + rank)) desc, id limit 30""")
 def _(spark, d):
-    return search.fused([search.top(_bm(spark, d), 50), search.top(_cos(spark, d), 50)], 30).withColumn("score", F.round("score", 9))
+    return search.fused([search.top(_bm(spark, d, 50), 50), search.top(_cos(spark, d), 50)], 30).withColumn("score", F.round("score", 9))
 
 
 @query("mentions")
