@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hit_path, occurrences, squeezed
+from .names import named
 
 #: The words that no search looks for.
 STOPWORDS = frozenset(
@@ -123,23 +124,11 @@ def without_addresses(hits: DataFrame) -> DataFrame:
 
 def mentions(texts: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
     """id, node, size: the nodes whose name (names: node, name) stands in a text (texts: id,
-    text) as words, case aside, with the length of the longest such name.
-
-    Texts and names meet by the longest word of each name, as ids and words alone; the text comes
-    to the names that it may hold. Names shorter than `least` are left out.
-    """
+    text) as words, case aside, with the length of the longest such name. Names shorter than `least`
+    are left out, and so are names without a letter or digit."""
     clean = F.trim(F.regexp_replace("name", r"(?i)\s*\(example\)", ""))
-    called = names.select("node", F.lower(clean).alias("called")).filter(F.length("called") >= least)
-    word = F.lit(r"(?U)[\w-]+")
-    longest = F.array_max(F.transform(F.regexp_extract_all("called", word, F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    called = called.withColumn("w", longest).filter("w <> ''")
-    low = F.lower("text")
-    held = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(low, word, F.lit(0)))).alias("w"))
-    met = held.join(called, "w").select("id", "node", "called").distinct()
-    # the name bounded by neither letters nor hyphens
-    edge = F.concat(F.lit(r"(?U)(?<![\w-])\Q"), "called", F.lit(r"\E(?![\w-])"))
-    met = met.join(texts.select("id", low.alias("low")), "id")
-    return met.filter(F.regexp_like("low", edge)).groupBy("id", "node").agg(F.max(F.length("called")).alias("size"))
+    called = names.select("node", F.lower(clean).alias("called")).filter((F.length("called") >= least) & F.regexp_like("called", F.lit(r"(?U)[\w-]")))
+    return named(texts.select("id", F.lower("text").alias("text")), called)
 
 
 def backlinks(texts: DataFrame, rel: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import postings, resolve, search, validate
+from ..operators import minutes, postings, resolve, search, validate, vectors
 from .frames import table
 
 QUERIES: dict = {}
@@ -248,6 +249,34 @@ def _(spark, d):
     return search.mentions(texts, names)
 
 
+@query("entities_named", """
+with n as (select count(*) as n from supplier)
+select o_orderkey as id, 'c:' || o_custkey as node, 'person' as type from orders where o_custkey in (select c_custkey from customer)
+union all select o_orderkey, 's:' || s_suppkey, 'project' from orders, n join supplier on s_suppkey = 1 + o_orderkey % n where o_orderkey % 2 = 0""")
+def _(spark, d):
+    """People by any case of their names, projects by an alias; no name counts inside a longer word."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n"))))
+    o = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").join(s.select("s_suppkey", "s_name"), F.col("s_suppkey") == 1 + F.col("o_orderkey") % F.col("n"), "left")
+    tail = F.when(F.col("o_orderkey") % 2 == 0, ".").otherwise("-west")
+    texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("we met "), F.coalesce(F.upper("c_name"), F.lit("nobody")), F.lit(", and ("), F.coalesce("s_name", F.lit("none")), tail).alias("text"))
+    person = c.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.lit("person").alias("type"), F.col("c_name").alias("title"), F.lit(None).cast("array<string>").alias("aliases"))
+    project = s.select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("project").alias("type"), F.lit("no such title").alias("title"), F.array("s_name", F.lit("")).alias("aliases"))
+    return minutes.named_in(texts, person.unionByName(project))
+
+
+@query("vector_topk", """
+with s as (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score from embeddings q, embeddings v where q.vec_id % 20 = 0)
+select query, id, rank, round(score, 6) as score from (select *, row_number() over (partition by query order by score desc, id)::int as rank from s where score is not null and not isnan(score)) where rank <= 10""")
+def _(spark, d):
+    """The ten nearest of all vectors to each of the queries, exact, through the inverted file."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    found = vectors.opened(f"embeddings of {d}", v).search(q, 10)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+    return found.select("query", "id", rank.alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("suggestions")
 def _(spark, d):
     p = table(spark, d, "part")
