@@ -63,6 +63,27 @@ def test_suggestions(spark):
         assert [ratio(x) for x in got.get(v, [])] == [ratio(x) for x in want]
 
 
+def test_suggestions_in_tiles(spark):
+    """Small tiles, long and short names, ranges, names of several notes: the same answers, and few ratios."""
+    rng = random.Random(12)
+    pool = [("".join(rng.choice("abcdefgh ") for _ in range(rng.choice([3, 9, 14, 40]))).strip() or "a", f"i{j % 150}", "person" if j % 3 else "team") for j in range(260)]
+    pool = sorted({(" ".join(k.split()), i, t) for k, i, t in pool if k.strip()})
+    values = [(k[:4] + "x" + k[5:], r) for k, _, _ in pool[::9] for r in ([], ["person"], None)] + [("zzzzzz", []), ("q" * 70_000, ["team"])]
+    left, right = spark.createDataFrame(values, "value string, ranges array<string>"), spark.createDataFrame(pool, "key string, id string, type string")
+    out = resolve.suggestions(left, right, lineage={"person": ["person", "agent"], "team": ["team"]}, tile=32, report=True).collect()
+    assert len(out) == len({(v, str(r)) for v, r in values if len(v) < 1000})  # nothing is as long as the last
+    for r in out:
+        v = " ".join(r.value.lower().split())
+        best = {}
+        for k, i, t in pool:
+            x = difflib.SequenceMatcher(None, k, v).ratio()
+            if x >= 0.6 and (not r.ranges or t in r.ranges):
+                best[i] = max(best.get(i, (0, "")), (x, k))
+        want = [i for *_, i in sorted(((x, k, i) for i, (x, k) in best.items()), reverse=True)[:3]]
+        assert list(r.suggested or []) == want, r.value
+    assert sum(r.tried for r in out) < len(out) * len(pool) / 3
+
+
 def test_rate_limit():
     assert policy.allowed_by_rate([0, 1, 2, 61, 62, 63], 2) == [True, True, False, True, True, False]
 
