@@ -190,6 +190,38 @@ def test_default_policy_keeps_people_and_context(spark):
     assert {r.target: r.verdict for r in got.collect()} == dict(asked)
 
 
+def test_paths_and_reach_from_both_ends(spark):
+    """Against one-sided search: lengths, the rule for equally short paths, and which pairs are reached."""
+    rng = random.Random(9)
+    rows = sorted({(f"n{rng.randrange(25)}", rng.choice("pq"), f"n{rng.randrange(25)}") for _ in range(55)} | {("hub", "p", f"n{i}") for i in range(25)})
+    df = spark.createDataFrame([(*r, "x") for r in rows], "src string, pred string, dst string, origin string").cache()
+    nodes = sorted({x for a, _, b in rows for x in (a, b)})
+
+    def plain(a, b):
+        depth, front = {a: 0}, [a]
+        while front:
+            front = sorted({y for x, _, y in rows if x in front and y not in depth})
+            depth |= dict.fromkeys(front, max(depth.values()) + 1)
+        out = []
+        while b in depth and b != a:
+            x, p = min((x, p) for x, p, y in rows if y == b and depth.get(x) == depth[b] - 1)
+            out.append((x, p, b))
+            b = x
+        return out[::-1]
+
+    for a, b in [("n1", "n7"), ("hub", "n3"), ("n4", "hub"), ("n0", "n24"), ("n13", "n2")]:
+        want = plain(a, b)
+        assert edges.shortest_path(df, a, b, ()) == want
+        assert edges.shortest_path(df, a, b, (), most=len(want)) == want and (not want or edges.shortest_path(df, a, b, (), most=len(want) - 1) == [])
+    far = {(a, b) for a, _, b in rows}
+    while more := {(a, d) for a, b in far for c, d in far if b == c} - far:
+        far |= more
+    pairs = [(a, b) for a in nodes for b in nodes[::3]] + [("nowhere", "n1"), ("n1", None)]
+    got = {tuple(r) for r in edges.reaches(df, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {p for p in pairs if p in far}
+    assert edges.reaches(df, spark.createDataFrame(pairs, "a string, b string"), ["none such"]).count() == 0
+
+
 def test_policy_from_arguments():
     p = policy.Policy.from_args(["--read-only", "--deny-write", "a,b", "--max-write-bytes", "7", "--no-hide-confidential"])
     assert (p.read_only, p.deny_write, p.max_write_bytes, p.hide_confidential, p.propose) == (True, ("a", "b"), 7, False, False)

@@ -80,38 +80,98 @@ def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, preds: Iterabl
     return out
 
 
-def _breadth_first(edges: DataFrame, start: DataFrame, goal: str | None, most: int | None) -> tuple[list[DataFrame], bool]:
-    """For each level the nodes first reached there (node, prev, pred, depth), until there are none
-    or `most` levels are done, and whether the goal is among them. Of several ways to a node on one
-    level the least (prev, pred) counts."""
-    front = staged(start.select(F.col("id").alias("node"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("pred"), F.lit(0).alias("depth")), "front")
-    levels, seen = [front], front
+def _breadth_first(edges: DataFrame, start: DataFrame, most: int | None) -> list[DataFrame]:
+    """For each level the nodes first reached there (node, depth), until there are none or `most` levels are done."""
+    front = staged(start.select(F.col("id").alias("node"), F.lit(0).alias("depth")), "front")
+    levels, seen = [front], front.select("node")
     while most is None or len(levels) <= most:
-        if goal is not None and not front.filter(F.col("node") == goal).isEmpty():
-            return levels, True
-        step = edges.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "pred")).alias("w"))
-        step = step.join(seen.select("node"), "node", "left_anti")
-        front = staged(step.select("node", F.col("w.src").alias("prev"), F.col("w.pred").alias("pred"), F.lit(len(levels)).alias("depth")), "front")
+        step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = staged(step.select("node", F.lit(len(levels)).alias("depth")), "front")
         if front.isEmpty():
-            return levels, False
+            break
         levels.append(front)
-        seen = seen.select("node").unionByName(front.select("node"))
+        seen = seen.unionByName(front.select("node"))
         if len(levels) % 16 == 0:  # one table instead of many small ones
             seen = staged(seen, "seen")
-    return levels, goal is not None and not front.filter(F.col("node") == goal).isEmpty()
+    return levels
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """node, depth: fewest edges from the start nodes (a column id), themselves at 0. most: the
     greatest depth that is asked for."""
-    levels = _breadth_first(edges, start, None, most)[0]
-    return reduce(DataFrame.unionByName, levels).select("node", "depth")
+    return reduce(DataFrame.unionByName, _breadth_first(edges, start, most))
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, preds: Iterable[str] | None = None) -> DataFrame:
+    """a, b: those of the pairs (a, b; not null) for which a path of one edge at least leads from a to b.
+
+    All pairs are searched at once, from both ends; each round extends the side that has fewer rows, and a pair that has met
+    is searched no further. No closure is made: rows are pairs times the nodes of the smaller side."""
+    ways = edges.filter(F.col("pred").isin(*preds)) if preds else edges
+    ways = ways.select("src", "dst").distinct()
+    pairs = staged(pairs.select("a", "b").dropna().distinct(), "pairs")
+    # what a side has reached: at the front a's successors, at the back b itself
+    ahead = staged(pairs.join(ways.withColumnRenamed("src", "a"), "a").select("a", "b", F.col("dst").alias("node")).distinct(), "ahead")
+    behind = pairs.select("a", "b", F.col("b").alias("node"))
+    sides = {"ahead": [ahead, ahead], "behind": [behind, behind]}  # all, and the front
+    met = []
+    while True:
+        hit = staged(sides["ahead"][0].join(sides["behind"][0], ["a", "b", "node"]).select("a", "b").distinct(), "met")
+        met.append(hit)
+        size = {}
+        for name, (every, front) in sides.items():
+            open_ = front.join(hit, ["a", "b"], "left_anti")
+            sides[name] = [every.join(hit, ["a", "b"], "left_anti"), open_]
+            size[name] = open_.count()
+        if not min(size.values()):
+            break  # one side has seen all that it can, and has not met the other
+        name = min(size, key=size.get)
+        here, there = ("src", "dst") if name == "ahead" else ("dst", "src")
+        every, front = sides[name]
+        step = front.join(ways.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").select("a", "b", F.col("next").alias("node")).distinct()
+        new = staged(step.join(every, ["a", "b", "node"], "left_anti"), name)
+        sides[name] = [staged(every.unionByName(new), name + "-all"), new]
+    return reduce(DataFrame.unionByName, met).distinct()
 
 
 #: Levels that one job walks back.
 BACK = 8
 
 
+def _met(edges: DataFrame, a: str, b: str, most: int | None) -> list[DataFrame]:
+    """Levels (node, prev, pred) from a to b, as wide as the shortest ways need; [] if there is none. Both ends search,
+    and the smaller front goes on; where they meet, the way to b is walked through what b's side has seen."""
+    spark = edges.sparkSession
+    start = lambda x: staged(spark.createDataFrame([(x, None, None)], "node string, prev string, pred string"), "front")
+    ahead, behind = [start(a)], [start(b)]
+    seen = {"ahead": ahead[0].select("node"), "behind": behind[0].select("node")}
+    size = {"ahead": 1, "behind": 1}
+    while True:
+        meet = staged(ahead[-1].join(behind[-1].select("node"), "node", "left_semi").select("node"), "meeting")
+        if not meet.isEmpty():
+            break
+        if most is not None and len(ahead) + len(behind) - 2 >= most:
+            return []
+        name = min(size, key=size.get)
+        levels, here, there = (ahead, "src", "dst") if name == "ahead" else (behind, "dst", "src")
+        step = edges.join(levels[-1].select(F.col("node").alias(here)), here).groupBy(F.col(there).alias("node")).agg(F.min(F.struct(F.col(here).alias("prev"), "pred")).alias("w"))
+        new = staged(step.join(seen[name], "node", "left_anti").select("node", "w.prev", "w.pred"), "front")
+        size[name] = new.count()
+        if not size[name]:
+            return []
+        levels.append(new)
+        seen[name] = seen[name].unionByName(new.select("node"))
+        if len(levels) % 16 == 0:  # one table instead of many small ones
+            seen[name] = staged(seen[name], "seen")
+    # from the meeting nodes on, only nodes that b's side reached in as many steps as are left
+    at = meet
+    for left in reversed(behind[:-1]):
+        step = edges.join(at.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "pred")).alias("w"))
+        at = staged(step.join(left.select("node"), "node", "left_semi").select("node", F.col("w.src").alias("prev"), F.col("w.pred").alias("pred")), "front")
+        ahead.append(at)
+    return ahead
+
+
 def shortest_path(edges: DataFrame, a: str, b: str, skip: Iterable[str] = PROVENANCE, most: int | None = None) -> list[tuple[str, str, str]]:
     """A shortest path as (src, pred, dst) steps; [] if a is b or no path (of at most `most`
     steps, if given) leads there. Among equally short ones that of the least (src, pred) into each
@@ -119,10 +179,9 @@ def shortest_path(edges: DataFrame, a: str, b: str, skip: Iterable[str] = PROVEN
     spark = edges.sparkSession
     if a == b:
         return []
-    walked = edges.filter(~F.col("pred").isin(*skip)) if skip else edges
-    levels, hit = _breadth_first(walked, spark.createDataFrame([(a,)], "id string"), b, most)
+    levels = _met(edges.filter(~F.col("pred").isin(*skip)) if skip else edges, a, b, most)
     out, at, no = [], b, len(levels) - 1
-    while hit and no > 0:  # a job joins the node's predecessors of several levels, a row each
+    while no > 0:  # a job joins the node's predecessors of several levels, a row each
         back = spark.createDataFrame([(at,)], "at string")
         for i in range(no, max(0, no - BACK), -1):
             one = levels[i].select(F.col("node").alias("at"), F.col("prev").alias(f"s{i}"), F.col("pred").alias(f"p{i}"))

@@ -112,6 +112,19 @@ def _(spark, d):
     return E.distances(_both(spark, d), starts(spark, "n:3"), 6)
 
 
+@query("reaches_lookup", f"""
+with e as (select * from {PLACES_SQL}), pairs as (select 'c:' || c_custkey as a, 'r:' || c_nationkey % 5 as b from customer union select 'c:' || c_custkey, 'r:' || c_custkey % 5 from customer union all select 'r:' || r_regionkey, 'r:' || r_regionkey from region)
+select a, b from pairs where exists (select 1 from e x join e y on x.dst = y.src where x.src = a and y.dst = b)""")
+def _(spark, d):
+    """Whether customers lie in either of two regions, looked up without the closure; no region lies in itself."""
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    either = F.explode(F.array(F.col("c_nationkey") % 5, F.col("c_custkey") % 5))
+    pairs = table(spark, d, "customer").select(name("c:", F.col("c_custkey")).alias("a"), either.alias("k")).select("a", name("r:", F.col("k")).alias("b"))
+    region = name("r:", F.col("r_regionkey"))
+    pairs = pairs.unionByName(table(spark, d, "region").select(region.alias("a"), region.alias("b")))
+    return E.reaches(edges(spark, d), pairs, ["located_in"])
+
+
 @query("shortest_path_len", f"""
 with recursive e as {_BOTH_SQL}, r as (select 'c:1' as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 8)
 select 'c:1' as a, node as b, min(depth)::int as steps from r where node in ('s:1', 'c:2', 'r:0', 'r:1', 'r:2', 'r:3', 'r:4') group by node""")
