@@ -222,6 +222,25 @@ def test_paths_and_reach_from_both_ends(spark):
     assert edges.reaches(df, spark.createDataFrame(pairs, "a string, b string"), ["none such"]).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_reach_after_random_changes(spark, seed):
+    rng = random.Random(seed)
+    some = lambda n: {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(n)}
+
+    def reach(pairs):
+        far = set(pairs)
+        while more := {(a, d) for a, b in far for c, d in far if b == c} - far:
+            far |= more
+        return {(a, b) for a, b in far if a != b}
+
+    old = some(22) | {("n1", "n2"), ("n2", "n1")}
+    removed, added = set(rng.sample(sorted(old), 6)) | {("n2", "n1")}, some(5) | {("n90", "n91"), ("n91", "n1")}
+    new = (old - removed) | added
+    frame = lambda x: spark.createDataFrame(sorted(x), "src string, dst string")
+    got = edges.reach_after(frame(reach(old)), frame(new), frame(added), frame(removed - added))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(reach(new))
+
+
 def test_policy_from_arguments():
     p = policy.Policy.from_args(["--read-only", "--deny-write", "a,b", "--max-write-bytes", "7", "--no-hide-confidential"])
     assert (p.read_only, p.deny_write, p.max_write_bytes, p.hide_confidential, p.propose) == (True, ("a", "b"), 7, False, False)

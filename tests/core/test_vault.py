@@ -245,3 +245,53 @@ def test_providers_and_cache(engine, vault):
     assert "not valid UTF-8" in engine.completeness()
     assert M.recap_text("é".encode("utf-16")) == "é" and M.recap_text(b"\xef\xbb\xbfx") == "x" and M.alike("It is Ann Bee!", "ann-bee") and not M.alike("", "x")
     assert engine.ask("What is Apollo?", lambda m: m[1]["content"][:8]) == "# Apollo"
+
+
+def test_store_parses_only_what_changed(spark, vault, tmp_path_factory):
+    """After edits, renames and deletions the kept notes are those of a full read, and so is the graph."""
+    import os
+
+    from vellum.operators.graph import build
+    from vellum.sources.store import NoteStore
+    from vellum.sources.vault import Vault
+
+    at = str(tmp_path_factory.mktemp("store"))
+    whole, kept = Vault(spark, str(vault)), Vault(spark, str(vault), store=at)
+    rows = lambda df: sorted(map(str, df.collect()))
+    store = NoteStore(whole, at)
+    assert {r.change for r in store.refresh().collect()} == {"added"} and store.parsed == whole.notes().count()
+    assert rows(store.notes()) == rows(whole.notes()) and store.refresh() is None
+    path = vault / "07-knowledge/old.md"
+    stat = path.stat()
+    path.write_text(path.read_text().replace("Old", "Odd"))
+    os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))  # an edit that keeps time and length
+    (vault / "06-decisions/d3.md").rename(vault / "06-decisions/d4.md")
+    (vault / "05-people/will-fox.md").unlink()
+    (vault / "07-knowledge/copy.md").write_text((vault / "06-decisions/d1.md").read_text())
+    diff = {r.rel: r.change for r in store.refresh().collect()}
+    assert diff == {"07-knowledge/old.md": "changed", "06-decisions/d3.md": "removed", "06-decisions/d4.md": "added", "05-people/will-fox.md": "removed", "07-knowledge/copy.md": "added"}
+    assert store.parsed == 1 and rows(kept.notes()) == rows(whole.notes())
+    a, b = build(kept, NOW), build(whole, NOW)
+    assert rows(a.edges) == rows(b.edges) and rows(a.nodes) == rows(b.nodes) and rows(a.findings) == rows(b.findings)
+
+
+def test_on_change_sees_edits(spark, tmp_path):
+    from vellum.sources.store import on_change
+
+    root, seen = tmp_path / "v", []
+    root.mkdir()
+    look = lambda: on_change(spark, str(root), lambda df: seen.append(sorted(tuple(r) for r in df.collect())), str(tmp_path / "c"))
+    (root / "a.md").write_text("one")
+    assert look() and not look()
+    (root / "a.md").write_text("two")
+    assert look()
+    (root / "b.md").write_text("three")
+    (root / "a.md").unlink()
+
+    def broken(df):
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        on_change(spark, str(root), broken, str(tmp_path / "c"))
+    assert look()  # what was not taken over comes again
+    assert seen == [[("a.md", "added")], [("a.md", "changed")], [("a.md", "removed"), ("b.md", "added")]]

@@ -51,7 +51,9 @@ class Engine:
         return policy.hidden_notes(self.notes()) if self.rules.hide_confidential else self._nothing
 
     def _signature(self) -> tuple:
-        return tuple(self.vault.files("*.[mM][dD]", content=False).agg(F.count(F.lit(1)), F.max("mtime")).first())
+        """Number of files, newest time, and a sum over names, times and lengths: renames and older times count, too."""
+        each = F.xxhash64("rel", "mtime", "length").cast("decimal(38,0)")
+        return tuple(self.vault.files("*.[mM][dD]", content=False).agg(F.count(F.lit(1)), F.max("mtime"), F.sum(each)).first())
 
     def graph(self) -> Graph:
         """The graph as the policy shows it."""

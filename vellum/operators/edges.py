@@ -39,6 +39,18 @@ def inverse_edges(edges: DataFrame, inverses: Mapping[str, str]) -> DataFrame:
     return back.filter("pred is not null and src <> dst")
 
 
+def _extended(known: DataFrame, new: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """The pairs, and all that follow from those of them that are new."""
+    joined = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
+    for _ in range(most_rounds):
+        longer = joined(new, known) if known is new else joined(new, known).unionByName(joined(known, new))
+        new = staged(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure-new")
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+    raise RuntimeError("the closure did not settle")
+
+
 def closure(edges: DataFrame, pred: str, most_rounds: int = 64) -> DataFrame:
     """Edges of a transitive predicate that follow from others: src, pred, dst, origin `derived`.
 
@@ -47,20 +59,37 @@ def closure(edges: DataFrame, pred: str, most_rounds: int = 64) -> DataFrame:
     node with itself.
     """
     base = staged(edges.filter(F.col("pred") == pred).select("src", "dst").distinct(), "closure-base")
-    known = new = base
-    for _ in range(most_rounds):
-        joined = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        longer = joined(new, known) if known is new else joined(new, known).unionByName(joined(known, new))
-        new = staged(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure-new")
-        if new.isEmpty():
-            break
-        known = known.unionByName(new)
-    else:
-        raise RuntimeError("the closure did not settle")
+    known = _extended(base, base, most_rounds)
     out = known.filter("src <> dst").join(base, ["src", "dst"], "left_anti")
     return out.select("src", F.lit(pred).alias("pred"), "dst", F.lit("derived").alias("origin"))
 
 
+def reach_after(was: DataFrame, base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """src, dst: which nodes reach which, after a change. was: the pairs before it, base: the edges after it, added and removed
+    the edges that it brought and took (all src, dst; pairs of a node with itself are left out).
+
+    Pairs that had a way over a removed edge are taken out; of these, those come back for which an edge that is still there leads
+    to a pair that holds, until none is left. Then added edges extend what holds, as in closure(). Work goes with the
+    pairs that the change touches, not with all."""
+    pairs = lambda df: df.select("src", "dst").filter("src <> dst").distinct()
+    was, base, added, gone = staged(pairs(was), "reach-was"), staged(pairs(base), "reach-base"), pairs(added), staged(pairs(removed), "reach-gone")
+    before = gone.join(was.select(F.col("src").alias("x"), F.col("dst").alias("src")), "src").select("x", "dst").unionByName(gone.select(F.col("src").alias("x"), "dst"))
+    over = before.join(was.select(F.col("src").alias("dst"), F.col("dst").alias("y")), "dst").select("x", "y").unionByName(before.select("x", F.col("dst").alias("y")))
+    doubt = staged(over.select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct().join(was, ["src", "dst"], "left_semi"), "reach-doubt")
+    known = staged(was.join(doubt, ["src", "dst"], "left_anti"), "reach-kept")
+    # an edge first, then a pair that holds; the edges in doubt that are still there hold by themselves
+    steps = lambda front: base.select("src", F.col("dst").alias("z")).join(front.select(F.col("src").alias("z"), "dst"), "z").select("src", "dst")
+    of_doubt = doubt.select("src").distinct()
+    first = steps(known).join(of_doubt, "src", "left_semi").unionByName(base)
+    new = staged(first.distinct().join(doubt, ["src", "dst"], "left_semi"), "reach-back")
+    while not new.isEmpty():
+        known = known.unionByName(new)
+        new = staged(steps(new).distinct().join(doubt, ["src", "dst"], "left_semi").join(known, ["src", "dst"], "left_anti"), "reach-back")
+    known = staged(known, "reach-known")
+    new = staged(added.join(base, ["src", "dst"], "left_semi").join(known, ["src", "dst"], "left_anti"), "reach-new")
+    return pairs(_extended(known.unionByName(new), new)) if not new.isEmpty() else known
+
+
 def neighbors(edges: DataFrame, start: DataFrame, depth: int = 1, preds: Iterable[str] | None = None) -> DataFrame:
     """src, pred, dst, depth: the edges out of the nodes reached within depth - 1 steps from
     start (a column id). A node is expanded once, at its least depth; an edge to a node seen

@@ -112,6 +112,20 @@ def _(spark, d):
     return E.distances(_both(spark, d), starts(spark, "n:3"), 6)
 
 
+@query("reach_after_change", f"""
+with recursive e as (select src, dst from {PLACES_SQL} where not (src like 'c:%' and substr(src, 3)::bigint % 5 = 0)),
+t as (select src, dst from e union select t.src, e.dst from t join e on t.dst = e.src)
+select src, dst from t where src <> dst""")
+def _(spark, d):
+    """The places' pairs without every third customer, brought up to date: those come, every fifth goes."""
+    e = staged(places(edges(spark, d)).select("src", "dst"), "places")
+    no = F.when(F.col("src").startswith("c:"), F.substring("src", 3, 20).cast("long"))
+    third, fifth = F.coalesce(no % 3 == 0, F.lit(False)), F.coalesce(no % 5 == 0, F.lit(False))
+    old = e.filter(~third).select("src", F.lit("located_in").alias("pred"), "dst", F.lit("x").alias("origin"))
+    was = old.select("src", "dst").unionByName(E.closure(old, "located_in").select("src", "dst"))
+    return E.reach_after(was, e.filter(~fifth), e.filter(third & ~fifth), e.filter(fifth & ~third))
+
+
 @query("reaches_lookup", f"""
 with e as (select * from {PLACES_SQL}), pairs as (select 'c:' || c_custkey as a, 'r:' || c_nationkey % 5 as b from customer union select 'c:' || c_custkey, 'r:' || c_custkey % 5 from customer union all select 'r:' || r_regionkey, 'r:' || r_regionkey from region)
 select a, b from pairs where exists (select 1 from e x join e y on x.dst = y.src where x.src = a and y.dst = b)""")
@@ -130,6 +144,7 @@ with recursive e as {_BOTH_SQL}, r as (select 'c:1' as node, 0 as depth union se
 select 'c:1' as a, node as b, min(depth)::int as steps from r where node in ('s:1', 'c:2', 'r:0', 'r:1', 'r:2', 'r:3', 'r:4') group by node""")
 def _(spark, d):
     e = _both(spark, d)
+    e = staged(e, "both-ways")
     rows = [("c:1", b, len(E.shortest_path(e, "c:1", b))) for b in ("s:1", "c:2", "r:0", "r:1", "r:2", "r:3", "r:4")]
     return spark.createDataFrame([r for r in rows if r[2]], "a string, b string, steps int")
 

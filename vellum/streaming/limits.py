@@ -1,4 +1,4 @@
-"""Streams: a rate limiter with state, task files that arrive, audit logs."""
+"""Streams: a rate limiter with state, audit logs. Changed files: see sources.store.on_change."""
 
 from __future__ import annotations
 
@@ -39,9 +39,3 @@ def audit_counts(lines: DataFrame, every: str = "1 minute", late: str = "10 minu
     timed = lines.filter("phase = 'result'").withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
     by = timed.groupBy(F.window("at", every), "tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("refused"))
     return by.select(F.col("window.start").alias("start"), "tool", "calls", "refused")
-
-
-def on_change(spark: SparkSession, folder: str, rebuild, checkpoint: str):
-    """Runs rebuild() once for each batch of Markdown files that are new or changed."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
-    return files.select("path").writeStream.foreachBatch(lambda df, _: rebuild(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
