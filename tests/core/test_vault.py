@@ -295,3 +295,74 @@ def test_on_change_sees_edits(spark, tmp_path):
         on_change(spark, str(root), broken, str(tmp_path / "c"))
     assert look()  # what was not taken over comes again
     assert seen == [[("a.md", "added")], [("a.md", "changed")], [("a.md", "removed"), ("b.md", "added")]]
+
+
+def test_data_sources(spark, vault, tmp_path_factory):
+    from vellum.sources import formats
+
+    formats.register(spark)
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole, read = Vault(spark, str(vault)).notes(), spark.read.format("vault").load(str(vault))
+    assert rows(read) == rows(whole)
+    assert rows(read.filter("rel like '06-decisions/%'")) == rows(whole.filter("rel like '06-decisions/%'"))
+    assert [r.rel for r in read.filter("rel = 'Inbox.md'").collect()] == ["Inbox.md"] and read.filter("not valid").count() == 1
+    g, path = build(Vault(spark, str(vault)), NOW), tmp_path_factory.mktemp("g") / "graph.sqlite"
+    exports.write_sqlite(g, path)
+    kept, fresh = formats.graph_file(spark, str(path)), g.tables()
+    assert set(kept) == set(fresh)
+    for name in ("nodes", "edges", "v_stale", "findings"):
+        assert rows(kept[name]) == rows(fresh[name].select(kept[name].columns)), name
+    assert sqlgate.query(spark, "select count(*) as n from edges", kept).first()["n"] == g.edges.count()
+    formats.PARTITION_ROWS, was = 7, formats.PARTITION_ROWS
+    assert kept["edges"].count() == g.edges.count()
+    formats.PARTITION_ROWS = was
+
+
+def test_exports_in_parts_are_the_files(spark, vault, tmp_path):
+    g = build(Vault(spark, str(vault)), NOW)
+    joined = lambda manifest: b"".join((tmp_path / manifest.split("/")[-2] / f).read_bytes() for f in json.loads(open(manifest).read()))
+    for name, single, parts in (("json", exports.write_json, exports.json_parts), ("nt", lambda g, p: exports.write_ntriples(g, {}, p), lambda g, p: exports.ntriples_parts(g, {}, p)), ("ld", lambda g, p: exports.write_jsonld(g, {}, p), lambda g, p: exports.jsonld_parts(g, {}, p))):
+        want = single(g, tmp_path / f"one.{name}").read_bytes()
+        got = joined(parts(g, str(tmp_path / f"parts-{name}")))
+        assert got == want and len(want) > 100
+    json.loads((tmp_path / "one.json").read_text())
+
+
+def test_command_line_ends(spark, vault, capsys, monkeypatch):
+    import http.server
+    import io
+    import threading
+
+    from vellum.__main__ import main
+    from vellum.operators import providers
+
+    asked = []
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            text = '{"actions": ["call the printer"], "decisions": [], "outcomes": []}'
+            out = json.dumps({"choices": [{"message": {"content": text}, "finish_reason": "stop"}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    run = lambda *a: main(["--vault", str(vault), *a])
+    try:
+        assert run("neighbors", "no such note") == 1 and "no such note" in capsys.readouterr().err
+        assert run("ask", "zzzz qqqq") == 1
+        assert run("ask", "launch notes", "--base-url", "http://127.0.0.1:9/v1") == 2
+        assert run("ask", "launch notes", "--base-url", url) == 0 and "call the printer" in capsys.readouterr().out
+        assert asked[-1]["max_tokens"] == providers.ANSWER + providers.HEADROOM
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"Decision: go on")))
+        assert run("minutes", "-", "--dry-run", "--llm", "--base-url", url) == 0 and "call the printer" in capsys.readouterr().out
+    finally:
+        server.shutdown()
+    assert providers.whole_number("X", 5, {"X": "-1"}) == 5 and providers.whole_number("X", 5, {"X": "0"}) == 0
+    assert ("graph", "builtin", "active") in providers.slots([], "none", "http://127.0.0.1:9/v1")

@@ -10,12 +10,30 @@ import sys
 
 from .engine import Engine
 from .functions import markdown as M
-from .operators import exports
+from .operators import exports, providers
+from .operators.edits import EditError
+from .operators.policy import PolicyError
 from .operators.sqlgate import Refused
 from .session import session
 
 
+#: Where a language model is looked for unless another place is named.
+BASE_URL = "http://localhost:1234/v1"
+
+
 def main(argv: list[str] | None = None) -> int:
+    """Runs a verb. What the vault or the policy refuses ends with its reason and 1; a model that does not answer, with 2."""
+    try:
+        return _run(argv)
+    except (PolicyError, EditError) as exc:
+        print(exc, file=sys.stderr)
+        return 1
+    except providers.NoEndpoint as exc:
+        print(exc, file=sys.stderr)
+        return 2
+
+
+def _run(argv: list[str] | None) -> int:
     top = argparse.ArgumentParser(prog="vellum")
     top.add_argument("--vault", default=os.environ.get("VELLUM_VAULT", "."))
     verbs = top.add_subparsers(dest="verb", required=True)
@@ -40,10 +58,12 @@ def main(argv: list[str] | None = None) -> int:
     verb("view", "base", "name")
     verb("reconcile", apply=bool, json=bool)
     verb("todos", owner="", overdue=bool, all=bool, json=bool, digest=bool, sync_done=bool)
-    verb("minutes", "file", title="Meeting", date=None, project=None, people=None, kind="project", daily=bool, dry_run=bool, force=bool)
+    verb("minutes", "file", title="Meeting", date=None, project=None, people=None, kind="project", daily=bool, dry_run=bool, force=bool, llm=bool, base_url=BASE_URL, model=None)
     verb("proposals", "action", id="", reason="")
     verb("examples", dry_run=bool)
     verb("prompt", "question", n=5)
+    verb("ask", "question", n=5, graph=bool, dry_run=bool, base_url=BASE_URL, model=None)
+    verb("slots", base_url=BASE_URL)
     a = top.parse_args(argv)
     if not os.path.isdir(a.vault):
         print(f"no vault at {a.vault}", file=sys.stderr)
@@ -114,10 +134,15 @@ def main(argv: list[str] | None = None) -> int:
             say(got["counts"])
             show(got["tasks"])
     elif a.verb == "minutes":
-        with open(a.file, "rb") as f:
-            text = M.recap_text(f.read())
+        if a.file == "-":
+            text = M.recap_text(sys.stdin.buffer.read())
+        else:
+            with open(a.file, "rb") as f:
+                text = M.recap_text(f.read())
+        extra = providers.structured(text, providers.endpoint(a.base_url, a.model)) if a.llm else {}
+        extra = {k.removesuffix("s"): v for k, v in extra.items()}
         people = [p.strip() for p in a.people.split(",")] if a.people else None
-        m = e.minutes(text, a.title, dt.date.fromisoformat(a.date) if a.date else None, a.dry_run, project=a.project, people=people, kind=a.kind, daily=a.daily, force=a.force)
+        m = e.minutes(text, a.title, dt.date.fromisoformat(a.date) if a.date else None, a.dry_run, project=a.project, people=people, kind=a.kind, daily=a.daily, force=a.force, **({"extra": extra} if extra else {}))
         say(vars(m))
     elif a.verb == "proposals":
         if a.action not in ("list", "show", "apply", "reject"):
@@ -137,6 +162,17 @@ def main(argv: list[str] | None = None) -> int:
         say(e.remove_examples(a.dry_run))
     elif a.verb == "prompt":
         say(e.prompt(a.question, a.n))
+    elif a.verb == "ask":
+        if e.keyword_search(a.question, a.n).isEmpty():
+            print("nothing in the vault matches the question", file=sys.stderr)
+            return 1
+        if a.dry_run:
+            say(e.prompt(a.question, a.n, a.graph))
+        else:
+            print(e.ask(a.question, providers.endpoint(a.base_url, a.model), n=a.n, with_graph=a.graph))
+    elif a.verb == "slots":
+        want = providers.choice("search", None, providers.own_settings(e.vault))
+        print(*("\t".join(row) for row in providers.slots(e.providers(), want, a.base_url)), sep="\n")
     return 0
 
 

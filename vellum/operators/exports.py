@@ -157,7 +157,7 @@ def write_json(g: Graph, path: Path) -> Path:
         yield '\n], "edges": ['
         yield from _joined(json_edges(g.edges).orderBy("src", "pred", "dst"), "json")
         yield '\n], "findings": ['
-        yield from _joined(g.findings.orderBy("code", "node", "message").select(F.to_json(F.struct("*")).alias("json")), "json")
+        yield from _joined(g.findings.select("code", "node", "message", F.to_json(F.struct("*")).alias("json")).orderBy("code", "node", "message", "json"), "json")
         yield "\n]}\n"
 
     return _lines(path, parts())
@@ -176,6 +176,72 @@ def write_jsonld(g: Graph, context: dict, path: Path) -> Path:
     return _lines(path, parts())
 
 
+# ---- files in parts ----------------------------------------------------------------------
+
+
+def _parts(rows: DataFrame, order: list[str], column: str, folder: str, end: str) -> list[str]:
+    """The rows' texts as files in global order, each text followed by `end`: their paths. Every task writes its own range; what a
+    task that failed had written does not count."""
+    rows.orderBy(*order).select(column).write.option("lineSep", end).text(folder)
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f"{folder}/{s.getPath().getName()}" for s in found if s.getPath().getName().startswith("part-"))
+
+
+def _put(spark, path: str, text: str) -> str:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
+def _array(rows: DataFrame, order: list[str], folder: str, name: str) -> list[str]:
+    """Files whose texts in a row are the elements of a JSON array (rows: json, and the columns of the order), with a comma
+    between them: the last element (and its equals) has a file of its own."""
+    spark = rows.sparkSession
+    last = rows.orderBy(*[F.col(c).desc() for c in order], F.col("json").desc()).select("json").first()
+    if last is None:
+        return []
+    equal = rows.filter(F.col("json") == last["json"]).count()
+    rest = rows.filter(F.col("json") != last["json"])
+    head = _put(spark, f"{folder}/{name}.head", "\n")
+    return [head, *_parts(rest, [*order, "json"], "json", f"{folder}/{name}", ",\n"), _put(spark, f"{folder}/{name}.tail", ",\n".join([last["json"]] * equal))]
+
+
+def _manifest(spark, folder: str, files: list[str]) -> str:
+    """The export counts once this is there: the files in the order in which they make up the document, relative to the folder."""
+    return _put(spark, f"{folder}/manifest.json", json.dumps([f.removeprefix(folder + "/") for f in files]))
+
+
+def json_parts(g: Graph, folder: str) -> str:
+    """write_json() in parts under a folder that is not there yet: the path of their manifest."""
+    spark = g.nodes.sparkSession
+    put = lambda name, text: _put(spark, f"{folder}/{name}", text)
+    findings = g.findings.select("code", "node", "message", F.to_json(F.struct("*")).alias("json"))
+    files = [put("begin", '{"built_at": ' + json.dumps(g.built_at) + ', "nodes": ['), *_array(json_nodes(g), ["id"], folder, "nodes")]
+    files += [put("edges.begin", '\n], "edges": ['), *_array(json_edges(g.edges), ["src", "pred", "dst"], folder, "edges")]
+    files += [put("findings.begin", '\n], "findings": ['), *_array(findings, ["code", "node", "message"], folder, "findings"), put("end", "\n]}\n")]
+    return _manifest(spark, folder, files)
+
+
+def ntriples_parts(g: Graph, context: dict, folder: str) -> str:
+    """write_ntriples() in parts: the path of their manifest."""
+    return _manifest(g.nodes.sparkSession, folder, _parts(ntriples(g, context), ["subject", "line"], "line", f"{folder}/lines", "\n"))
+
+
+def jsonld_parts(g: Graph, context: dict, folder: str) -> str:
+    """write_jsonld() in parts: the path of their manifest."""
+    spark = g.nodes.sparkSession
+    head = '{"@context": ' + json.dumps(context or {"@vocab": g.ontology.base_iri}, ensure_ascii=False) + ', "@graph": ['
+    files = [_put(spark, f"{folder}/begin", head), *_array(jsonld(g), ["id"], folder, "graph"), _put(spark, f"{folder}/end", "\n]}\n")]
+    return _manifest(spark, folder, files)
+
+
 def write_sqlite(g: Graph, path: Path) -> Path:
     """The tables and views as one SQLite file, built beside its place and moved there."""
     tmp = path.with_name(f"{path.name}.{os.getpid()}.tmp")

@@ -56,9 +56,10 @@ class Graph:
         return notes.select(F.col("id").alias("node"), F.expr(f"stack({len(DERIVED)}, {cols}) as (key, value)")).filter("value is not null")
 
     def meta_table(self) -> DataFrame:
-        spark = self.nodes.sparkSession
-        rows = [("built_at", self.built_at), ("nodes", str(self.nodes.count())), ("edges", str(self.edges.count()))]
-        return spark.createDataFrame(rows, "key string, value string")
+        """When the graph was built, and its size; counted when it is read."""
+        built = self.nodes.sparkSession.range(1).select(F.lit("built_at").alias("key"), F.lit(self.built_at).alias("value"))
+        size = lambda name, df: df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(name).alias("key"), "value")
+        return built.unionByName(size("nodes", self.nodes)).unionByName(size("edges", self.edges))
 
     def tables(self) -> dict[str, DataFrame]:
         """The tables and views that queries see."""

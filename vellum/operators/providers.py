@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import urllib.request
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 from typing import Protocol
@@ -135,3 +136,60 @@ def recall(found: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """query, hit: whether an expected file (query, file) is among the first k found (query, file, rank)."""
     first = found.filter(F.col("rank") <= k).select("query", "file", F.lit(1).alias("one"))
     return expected.join(first, ["query", "file"], "left").groupBy("query").agg((F.count("one") > 0).alias("hit"))
+
+
+# ---- language models ---------------------------------------------------------------------
+
+#: Tokens of an answer, tokens that a model may think before it, seconds of waiting.
+ANSWER, HEADROOM, WAIT = 800, 512, 180
+
+
+def whole_number(name: str, default: int, env: Mapping[str, str] | None = None) -> int:
+    """An environment variable that holds a number of 0 or more; anything else counts as the default."""
+    text = (os.environ if env is None else env).get(name, "").strip()
+    return int(text) if text.isdecimal() else default
+
+
+class NoEndpoint(RuntimeError):
+    """No language model answers."""
+
+
+def endpoint(base_url: str, model: str | None = None, env: Mapping[str, str] | None = None) -> Complete:
+    """A completion over HTTP, for servers that take chat completions as JSON. VELLUM_LLM_REASONING_TOKENS and VELLUM_LLM_TIMEOUT set
+    the tokens on top of the answer's and the seconds to wait."""
+    most = ANSWER + whole_number("VELLUM_LLM_REASONING_TOKENS", HEADROOM, env)
+    wait = whole_number("VELLUM_LLM_TIMEOUT", WAIT, env) or WAIT
+
+    def complete(messages: list[dict[str, str]]) -> str:
+        body = {"messages": messages, "max_tokens": most} | ({"model": model} if model else {})
+        ask = urllib.request.Request(base_url.rstrip("/") + "/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(ask, timeout=wait) as got:
+                choice = json.load(got)["choices"][0]
+        except (OSError, ValueError, LookupError, TypeError) as exc:
+            raise NoEndpoint(f"{base_url}: {exc}") from exc
+        text = (choice.get("message") or {}).get("content") or ""
+        if not text and choice.get("finish_reason") == "length":
+            raise NoEndpoint(f"{base_url}: the answer was cut before it began; raise VELLUM_LLM_REASONING_TOKENS")
+        return text
+
+    return complete
+
+
+def model_state(base_url: str, wait: float = 3.0) -> str:
+    """active, or why no model can be asked there."""
+    try:
+        with urllib.request.urlopen(base_url.rstrip("/") + "/models", timeout=wait) as got:
+            got.read(1)
+    except (OSError, ValueError) as exc:
+        return f"not reachable: {exc}"
+    return f"active: {base_url}"
+
+
+def slots(providers: Sequence[SearchProvider], want: str, base_url: str) -> list[tuple[str, str, str]]:
+    """(slot, provider, state) of every slot. A choice that cannot be met is a row, too."""
+    try:
+        rows = [("search", name, state) for name, state in status(providers, want)]
+    except ValueError as exc:
+        rows = [("search", want, str(exc))] + [("search", p.name, p.available() or "ready") for p in providers]
+    return [*rows, ("llm", "http", model_state(base_url)), ("graph", "builtin", "active")]

@@ -107,5 +107,5 @@ def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], limit:
 def _offer(session: SparkSession, name: str, df: DataFrame) -> None:
     """A temporary view of the session over a plan of another one."""
     jvm = session.sparkContext._jvm
-    rows = jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().logical())
+    rows = jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().analyzed())
     rows.createOrReplaceTempView(name)
