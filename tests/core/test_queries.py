@@ -241,6 +241,18 @@ def test_reach_after_random_changes(spark, seed):
     assert sorted(tuple(r) for r in got.collect()) == sorted(reach(new))
 
 
+def test_recursion_over_cycles_ends(spark):
+    from vellum.operators import sqlgate
+
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8), (None, 2)], "src int, dst int")
+    ask = lambda q: sorted(tuple(r) for r in sqlgate.query(spark, q, {"edges": e}, 1 << 20).collect())
+    assert ask("with recursive r(n) as (select 1 union select dst from r join edges on n = src), z as (select 5 as q) select n, q from r, z") == [(1, 5), (2, 5), (3, 5)]
+    assert ask("with recursive r as (select src as a, dst as b from edges where src = 7 union select 3, 4 union select r.a, edges.dst from r join edges on r.b = edges.src or r.b = 4 and edges.dst = 8) select * from r") == [(3, 4), (3, 8), (7, 8)]
+    assert ask("with recursive r(n, d) as (select 1, 0 union all select dst, d + 1 from r join edges on n = src where d < 4) select max(d) as d from r") == [(4,)]
+    with pytest.raises(sqlgate.Refused):
+        ask("with recursive r(n) as (select java_method('java.lang.System', 'exit') union select n from r) select * from r")
+
+
 def test_policy_from_arguments():
     p = policy.Policy.from_args(["--read-only", "--deny-write", "a,b", "--max-write-bytes", "7", "--no-hide-confidential"])
     assert (p.read_only, p.deny_write, p.max_write_bytes, p.hide_confidential, p.propose) == (True, ("a", "b"), 7, False, False)

@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .staging import staged
 
 #: Plan nodes that read and compute.
 NODES = frozenset(
@@ -94,18 +98,87 @@ def check(spark: SparkSession, sql: str, tables: set[str]) -> None:
     walk(plan, tables)
 
 
+#: Rounds after which a recursion is taken for one without end.
+MOST_ROUNDS = 10_000
+
+
 def query(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], limit: int = 200) -> DataFrame:
-    """At most `limit` rows of a read-only statement over the tables."""
+    """At most `limit` rows of a read-only statement over the tables.
+
+    A WITH RECURSIVE whose parts are joined by UNION is a set: each round runs its steps on the rows that the last one
+    brought, and takes from them what was not there. It ends on cycles, too. With UNION ALL rows repeat, and
+    the statement has to end by itself."""
     check(spark, sql, set(tables))
     child = spark.newSession()
     child.conf.set("spark.sql.runSQLOnFiles", "false")
     for name, df in tables.items():
         _offer(child, name, df)
+    plan = child._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    if _kind(plan) == "UnresolvedWith" and plan.allowRecursion():
+        bodies = [(str(c.productElement(0)), *_body(c.productElement(1))) for c in _seq(plan.cteRelations())]
+        if any(_refers(body, name) and _kind(body) == "Distinct" for name, body, _ in bodies):
+            for name, body, columns in bodies:
+                _defined(child, name, body, columns).createOrReplaceTempView(name)
+            return _rows(child, plan.child()).limit(limit)
     return child.sql(sql).limit(limit)
 
 
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _rows(session: SparkSession, plan) -> DataFrame:
+    return DataFrame(session.sparkContext._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def _body(definition) -> tuple:
+    """The statement of a WITH entry and the names it gives its columns."""
+    body, columns = definition.child(), None
+    if _kind(body) == "UnresolvedSubqueryColumnAliases":
+        columns, body = [str(x) for x in _seq(body.outputColumnNames())], body.child()
+    return body, columns
+
+
+def _refers(node, name: str) -> bool:
+    if _kind(node) == "UnresolvedRelation":
+        return [str(p).lower() for p in _seq(node.multipartIdentifier())] == [name.lower()]
+    return any(_refers(x, name) for x in _seq(node.children()))
+
+
+def _united(node) -> list:
+    """The parts of a UNION, however nested."""
+    if _kind(node) == "Distinct" and _kind(node.child()) == "Union":
+        return [p for x in _seq(node.child().children()) for p in _united(x)]
+    return [node]
+
+
+def _defined(session: SparkSession, name: str, body, columns: list[str] | None) -> DataFrame:
+    """The rows of one WITH entry."""
+    if not _refers(body, name):
+        out = _rows(session, body)
+        return out.toDF(*columns) if columns else out
+    parts = _united(body)
+    first, steps = [p for p in parts if not _refers(p, name)], [p for p in parts if _refers(p, name)]
+    if not first or any(_kind(p) == "Union" for p in steps):
+        raise Refused(f"{name}: a recursion needs rows to begin with, and UNION throughout")
+    joined = lambda plans: reduce(DataFrame.union, [_rows(session, p) for p in plans])
+    start = joined(first)
+    start = start.toDF(*columns) if columns else start
+    kinds = start.dtypes
+    seen = front = staged(start.distinct(), "recursion")
+    for no in range(MOST_ROUNDS):
+        front.createOrReplaceTempView(name)
+        step = joined(steps).toDF(*[c for c, _ in kinds])
+        step = step.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds])
+        front = staged(step.distinct().subtract(seen), "recursion")
+        if front.isEmpty():
+            return seen
+        seen = seen.union(front)
+        if no % 16 == 15:  # one table instead of many small ones
+            seen = staged(seen, "recursion")
+    raise Refused(f"{name}: no end after {MOST_ROUNDS} rounds")
+
+
 def _offer(session: SparkSession, name: str, df: DataFrame) -> None:
     """A temporary view of the session over a plan of another one."""
-    jvm = session.sparkContext._jvm
-    rows = jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().analyzed())
-    rows.createOrReplaceTempView(name)
+    _rows(session, df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)

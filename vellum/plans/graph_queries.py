@@ -442,6 +442,10 @@ _gate("sql_passthrough_recursive", "with recursive r(node, depth) as (select 'r:
 SQL["sql_passthrough_recursive"] = f"with recursive r(node, depth) as (select 'r:1' as node, 0 as depth union all select e.src, r.depth + 1 from {EDGES_SQL} e join r on e.dst = r.node where e.pred = 'located_in' and r.depth < 3) select node, depth from r"
 
 
+_gate("sql_passthrough_cycle", "with recursive ways(a, b) as (select src as a, dst as b from edges where pred = 'located_in' union select dst, src from edges where pred = 'located_in'), r(node) as (select 'n:3' as node union select b from r join ways on a = node) select node from r")
+SQL["sql_passthrough_cycle"] = f"with recursive ways(a, b) as (select src as a, dst as b from {PLACES_SQL} union select dst, src from {PLACES_SQL}), r(node) as (select 'n:3' as node union select b from r join ways on a = node) select node from r"
+
+
 # ---- further tables of the graph ---------------------------------------------------------
 
 
