@@ -117,3 +117,16 @@ def test_query(spark):
 
 def test_empty(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_that_are_many_stay_where_they_are(spark, monkeypatch):
+    """Rows equal in all, and equal texts of many ids, joined by broadcast: the same result as by hash."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdef ") for _ in range(90))
+    rows = [(1, text)] * 30 + [(i, text) for i in range(40)] + [(100, "x" + text[:60]), (101, "alone in the world, and longer than forty bytes")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    plain = sorted(map(str, suffixes.remove_repeats(df, 40).collect()))
+    monkeypatch.setattr(_common, "KEY_ROWS", 3)
+    monkeypatch.setattr(_common, "HEAVY", 20)
+    assert sorted(map(str, suffixes.remove_repeats(df, 40).collect())) == plain
+    assert sum("spans=[]" in r for r in plain) == 1

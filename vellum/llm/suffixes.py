@@ -453,7 +453,14 @@ def repeated_spans(docs: DataFrame, length: int, crowd: int = CROWD) -> DataFram
         F.collect_list(F.when(~F.col("hot"), F.struct(*KEYS, "pos", "n"))).alias("calm"),
         F.collect_list(F.when(F.col("hot"), F.struct(*KEYS, "pos", "n"))).alias("hot"),
     )
-    texts = staged(docs.join(need, ["tid", "dk"]).select("body", "calm", "hot"), "suffix-texts")
+    # rows equal in text and id may be any share of all: they stay where they are, and one of them is cut
+    times = docs.groupBy("tid", "dk").agg(F.count(F.lit(1)).alias("c"))
+    need = staged(need.join(times, ["tid", "dk"]), "suffix-need")
+    texts = join_many(docs, need, ["tid", "dk"], "c")
+    if (need.agg(F.max("c")).first()[0] or 0) > 1:
+        texts = texts.dropDuplicates(["tid", "dk"])
+    texts = staged(texts.select("body", "calm", "hot"), "suffix-texts")
+    release(need)
     calm, solved = [], []
     if not full.isEmpty():
         around = texts.filter(F.size("hot") > 0).select("body", F.col("hot").alias("what")).mapInArrow(tidy(_surroundings(length)), AROUND)
@@ -505,7 +512,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, crowd: int = CROWD, keep
     rows = df.select(*keep, body.alias("body"), F.xxhash64(F.col(doc_id)).alias("dk"))
     long = rows.filter(F.octet_length("body") >= length).withColumn("tid", F.unhex(F.md5("body")))
     spans = repeated_spans(long.select("tid", "dk", "body"), length, crowd)
-    done = long.join(spans, "tid", "left").select(*keep, "body", "starts")
+    # copies of one text may be any share of all rows
+    times = staged(long.groupBy("tid").agg(F.count(F.lit(1)).alias("c")).join(spans, "tid", "left"), "suffix-times")
+    done = join_many(long, times, ["tid"], "c").select(*keep, "body", "starts")
     short = rows.filter(F.octet_length("body") < length).select(*keep, "body", F.lit(None).cast(spans.schema["starts"].dataType).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
