@@ -35,8 +35,8 @@ def roots(values, linked):
     return {v: find(v) for v in values}
 
 
-@pytest.mark.parametrize(("tile", "groups"), [(16, None), (2048, 6), (16, 8)])
-def test_links_lose_nothing(spark, tile, groups):
+@pytest.mark.parametrize(("tile", "groups", "heavy"), [(16, None, None), (2048, 6, None), (16, 8, None), (16, None, 20)])
+def test_links_lose_nothing(spark, tile, groups, heavy):
     rng = random.Random(5)
     fps = {0, 1, (1 << 64) - 1}
     for _ in range(60):
@@ -52,7 +52,7 @@ def test_links_lose_nothing(spark, tile, groups):
     fps |= {hot ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12, 20)}
     signed = sorted(simhash._signed(x) for x in fps)
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(df, tile=tile, groups=groups)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(df, tile=tile, groups=groups, heavy=heavy)).collect()}
     linked = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4]
     want = roots(signed, linked)
     assert {x: got.get(x, x) for x in signed} == want

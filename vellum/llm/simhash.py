@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import join_many, parts, staged, table, text_steps, tidy
+from ._common import HEAVY, KEY_ROWS, join_many, parts, staged, table, text_steps, tidy
 from .components import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
@@ -166,10 +166,10 @@ def _links(bits: int):
     return run
 
 
-def links(fps: DataFrame, bits: int = BITS, tile: int = TILE, groups: int | None = None) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, tile: int = TILE, groups: int | None = None, heavy: int | None = None) -> DataFrame:
     """Edges (u, v) that connect every two distinct fingerprints at most `bits` <= 4 bits
     apart, directly or through others. fps: distinct values in a column fp. groups: of segments,
-    6 or more; by default as their number asks."""
+    6 or more; by default as their number asks. heavy: rows from which on a cell is not joined by hash."""
     if not 0 <= bits <= BITS:
         raise ValueError("the grids hold pairs of up to 4 differing bits")
     spark = fps.sparkSession
@@ -179,8 +179,15 @@ def links(fps: DataFrame, bits: int = BITS, tile: int = TILE, groups: int | None
     cells = cells.select("fp", "at.grid", "at.cell")
     # cells too large for one task are cut into tiles
     crowd = cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
-    crowd = staged(crowd.select("grid", "cell", F.ceil(F.col("n") / tile).cast("int").alias("nt")), "simhash-crowds")
-    dealt = cells.join(crowd, ["grid", "cell"], "left")
+    crowd = staged(crowd.select("grid", "cell", "n", F.ceil(F.col("n") / tile).cast("int").alias("nt")), "simhash-crowds")
+    at = ["grid", "cell"]
+    share = max(heavy or KEY_ROWS, (crowd.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    most, rest = crowd.filter(F.col("n") > share).drop("n"), crowd.filter(F.col("n") <= share).drop("n")
+    if most.isEmpty():
+        dealt = cells.join(rest, at, "left")
+    else:  # fewer than HEAVY cells: by broadcast, so that none gathers in a task
+        told = F.broadcast(most)
+        dealt = cells.join(told, at, "left_anti").join(rest, at, "left").unionByName(cells.join(told, at))
     mine = F.pmod(F.xxhash64("fp"), F.col("nt")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("nt") - 1), lambda t: F.struct(F.least(t, mine).alias("s"), F.greatest(t, mine).alias("t")))
     dealt = dealt.withColumn("tiles", F.explode(F.when(F.col("nt").isNull(), F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("t")))).otherwise(meets)))
