@@ -41,6 +41,15 @@ def test_whole_texts(spark, vocabulary):
     assert bpe.encode(df.limit(0), ranks, pattern).count() == 0
 
 
+def test_bytes_that_are_no_utf8(spark, vocabulary):
+    ranks, pattern, own = vocabulary
+    raw = [b"ok \xff\xfe then", b"\xc3", b"\xed\xa0\x80 half", b"caf\xc3\xa9", b"\x80" * 300]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "doc_id long, text binary")
+    got = {r.doc_id: r for r in bpe.round_trip(df, ranks, pattern).collect()}
+    assert [bytes(got[i].decoded) for i in range(len(raw))] == raw
+    assert bytes(got[3].ids) == b"".join(struct.pack("<I", i) for i in own.encode_ordinary("café"))
+
+
 def test_query(spark, vocabulary):
     _, _, own = vocabulary
     got = {r.doc_id: r for r in bpe.op5_bpe_round_trip(spark, "/root/testdata/sf0.001").collect()}

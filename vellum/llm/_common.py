@@ -157,7 +157,8 @@ def tidy(run):
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return ["" if t is None else t for t in batch.column(column).to_pylist()]
+    """The texts; bytes that are no UTF-8 become lone surrogates, from which `surrogateescape` brings them back."""
+    return [(t or b"").decode("utf-8", "surrogateescape") for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[memoryview, list[int]]:

@@ -198,7 +198,7 @@ class _Known(dict):
         self.merges = merges
 
     def __missing__(self, piece: str) -> bytes:
-        out = _words32(self.merges.encode_piece(piece.encode()))
+        out = _words32(self.merges.encode_piece(piece.encode("utf-8", "surrogateescape")))
         if len(piece) <= 64:
             self[piece] = out
             if len(self) > CACHE:
@@ -255,7 +255,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     columns; one output row per input row, in any partitioning, no shuffle.
 
     Each match of the pattern is encoded on its own, no special tokens are known, whole
-    texts are taken however long. Null and empty texts have no ids. Other columns are
+    texts are taken however long. Null and empty texts have no ids. Bytes that are no UTF-8 are
+    characters of no class to the pattern, and come back as they were. Other columns are
     ignored and cannot clash. Repeated rows are encoded each for itself; an empty table
     gives an empty result.
     """
