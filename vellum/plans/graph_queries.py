@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, derive, exports, policy, sqlgate
 from ..operators import edges as E
-from ..operators.graph import DERIVED, Graph, actor_nodes, label, source_nodes
+from ..operators.graph import DERIVED, Graph, actor_nodes, build, label, source_nodes
 from ..operators.ontology import Ontology
 from ..operators.providers import recall
 from ..operators.resolve import keys, lookup, resolve, sharers
 from ..operators.staging import staged
+from ..sources.vault import FrameVault
 from .frames import EDGES_SQL, INVERSES, NODES_SQL, NOTES_SQL, PLACES_SQL, nodes, notes, places, raw_edges, table
 
 QUERIES: dict = {}
@@ -126,6 +129,32 @@ def _(spark, d):
     return E.reach_after(was, e.filter(~fifth), e.filter(third & ~fifth), e.filter(fifth & ~third))
 
 
+@query("graph_build", """
+with o as (select '03-projects/o' || o_orderkey || '.md' as o, '05-people/c' || c_custkey || '.md' as c, '04-areas/n' || c_nationkey || '.md' as n from orders join customer on o_custkey = c_custkey),
+every as (select '03-projects/o' || o_orderkey || '.md' as id from orders union all select '05-people/c' || c_custkey || '.md' from customer union all select '04-areas/n' || n_nationkey || '.md' from nation)
+select o as src, 'owner' as pred, c as dst, 'frontmatter' as origin from o union all select c, 'owns', o, 'derived' from o
+union all select o, 'area', n, 'frontmatter' from o where n in (select id from every) union all select n, 'has_item', o, 'derived' from o where n in (select id from every)
+union all select o, 'links_to', n, 'body' from o where n in (select id from every) union all select n, 'linked_from', o, 'derived' from o where n in (select id from every)
+union all select id, 'generated_by', 'actor:human:ann', 'frontmatter' from every union all select 'actor:human:ann', 'generated', id, 'derived' from every""")
+def _(spark, d):
+    """Notes made of all orders, customers and nations, parsed and built into a graph: orders name their owner by title
+    and their area by link."""
+    t = lambda n: table(spark, d, n)
+    def note(rel, kind, title, more=F.lit(""), body=F.lit("")):
+        head = F.concat(F.lit(f"---\ntype: {kind}\ntitle: "), title, F.lit("\ndescription: made of a row\ngenerated: { by: human:ann, at: 2026-01-01T00:00:00Z }\n"), more, F.lit("---\n"), body)
+        return [rel.alias("rel"), F.lit(1.0).alias("mtime"), head.cast("binary").alias("content")]
+
+    at = lambda folder, key: F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(".md"))
+    owned = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    area = F.concat(F.lit("../"), at("04-areas/n", "c_nationkey"))
+    more = F.when(F.col("c_custkey").isNotNull(), F.concat(F.lit("owner: "), "c_name", F.lit("\narea: '[n]("), area, F.lit(")'\n"))).otherwise("")
+    body = F.coalesce(F.concat(F.lit("See [the nation]("), area, F.lit(") <!-- [[none]] -->\n")), F.lit(""))
+    files = owned.select(*note(at("03-projects/o", "o_orderkey"), "project", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), more, body))
+    files = files.unionByName(t("customer").select(*note(at("05-people/c", "c_custkey"), "person", F.col("c_name"))))
+    files = files.unionByName(t("nation").select(*note(at("04-areas/n", "n_nationkey"), "area", F.col("n_name"))))
+    return build(FrameVault(files), dt.datetime(2026, 9, 15, tzinfo=dt.UTC)).edges.select("src", "pred", "dst", "origin")
+
+
 @query("reaches_lookup", f"""
 with e as (select * from {PLACES_SQL}), pairs as (select 'c:' || c_custkey as a, 'r:' || c_nationkey % 5 as b from customer union select 'c:' || c_custkey, 'r:' || c_custkey % 5 from customer union all select 'r:' || r_regionkey, 'r:' || r_regionkey from region)
 select a, b from pairs where exists (select 1 from e x join e y on x.dst = y.src where x.src = a and y.dst = b)""")
