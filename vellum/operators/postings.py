@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import kept_until_end, release, remove, shared_dir, staged
@@ -150,55 +149,60 @@ class Index:
     def search(self, terms: Sequence[str], n: int) -> DataFrame:
         """id, score of the n best documents, ties to smaller ids: those of search.bm25 and search.top. Terms are lower-case words; a
         repeated one counts as often. What was read is told in `report`."""
-        terms = list(terms)
-        none = self.docs.select("id", F.lit(0.0).alias("score")).limit(0)
+        return self.search_many({"": terms}, n).select("id", "score").orderBy(F.col("score").desc(), "id")
+
+    def search_many(self, asked: Mapping[str, Sequence[str]], n: int) -> DataFrame:
+        """query, id, score: the n best documents of each of the named queries (its terms), in one pass over the blocks of all their terms."""
+        asked = {q: list(t) for q, t in asked.items() if t}
+        none = self.docs.select(F.lit("").alias("query"), "id", F.lit(0.0).alias("score")).limit(0)
+        terms = sorted({t for own in asked.values() for t in own})
         if not terms or n < 1:
             return none
-        asked = sorted(set(terms))
-        of = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in asked], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets))).collect()})
-        own = self.blocks.filter(F.col("bucket").isin(of) & F.col("term").isin(asked))
+        of = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(self.buckets))).collect()})
+        own = self.blocks.filter(F.col("bucket").isin(of) & F.col("term").isin(terms))
         held = {r["term"]: r for r in own.groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("blocks")).collect()}
+        self.report = Report(0, 0, 0)
         if not held:
-            self.report = Report(0, 0, 0)
             return none
-        idf = {t: math.log(1 + (self.n - held[t]["df"] + 0.5) / (held[t]["df"] + 0.5)) if t in held else 0.0 for t in asked}
-        times = Counter(terms)
-        # the n-th largest maximum of a term: so many documents reach it by this term alone
-        best = [own.filter(F.col("term") == t).orderBy(F.col("top").desc()).limit(n).agg(F.min("top").alias("top"), F.count(F.lit(1)).alias("c")).select(F.lit(t).alias("t"), "top", "c") for t in held]
-        least = max((r["top"] * idf[r["t"]] * times[r["t"]] for r in reduce(DataFrame.unionByName, best).collect() if r["c"] == n), default=0.0) * (1 - 1e-12)
-        weight = F.create_map(*[x for t in held for x in (F.lit(t), F.lit(idf[t] * times[t]))])
-        bound = own.groupBy("span", "term").agg(F.max("top").alias("top")).groupBy("span").agg(F.sum(F.col("top") * weight[F.col("term")]).alias("most"))
-        left = own.join(bound.filter(F.col("most") >= least).select("span"), "span")
-        scan = _scan(terms, idf, self.k1, self.b, self.average, n, least)
-        found = staged(left.select("span", "term", "lo", "hi", "top", "gaps", "tfs", "lens").groupBy("span").applyInArrow(scan, "no long, score double, blocks long, decoded long"), "bm25-hits")
+        idf = {t: math.log(1 + (self.n - r["df"] + 0.5) / (r["df"] + 0.5)) for t, r in held.items()}
+        # the n-th largest maximum of a term: so many documents reach it by this term alone. A span gives n of its own at most
+        first = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("top").desc()))
+        tops = own.select("term", "span", "top").withColumn("no", first(["term", "span"])).filter(F.col("no") <= n)
+        nth = {r["term"]: r["top"] for r in tops.withColumn("no", first(["term"])).filter(F.col("no") == n).select("term", "top").collect()}
+        plans = []
+        for q, ts in asked.items():
+            times = Counter(t for t in ts if t in held)
+            if times:
+                plans.append((q, [t for t in ts if t in held], max((nth[t] * idf[t] * k for t, k in times.items() if t in nth), default=0.0) * (1 - 1e-12)))
+        weights = self.spark.createDataFrame([(q, t, idf[t] * k, least) for q, ts, least in plans for t, k in Counter(ts).items()], "query string, term string, weight double, least double")
+        bound = own.groupBy("span", "term").agg(F.max("top").alias("top")).join(F.broadcast(weights), "term")  # a row for each named term
+        bound = bound.groupBy("span", "query", "least").agg(F.sum(F.col("top") * F.col("weight")).alias("most"))
+        left = own.join(bound.filter(F.col("most") >= F.col("least")).select("span").distinct(), "span")
+        scan = _scan(plans, idf, self.k1, self.b, self.average, n)
+        found = staged(left.select("span", "term", "lo", "hi", "top", "gaps", "tfs", "lens").groupBy("span").applyInArrow(scan, "query string, no long, score double, blocks long, decoded long"), "bm25-hits")
         told = found.filter("no is null").agg(F.sum("blocks"), F.sum("decoded")).first()
         self.report = Report(sum(r["blocks"] for r in held.values()), told[0] or 0, told[1] or 0)
-        hits = found.filter("no is not null").select("no", "score")
-        last = hits.orderBy(F.col("score").desc()).limit(n).agg(F.min("score")).first()[0]
-        hits = hits.filter(F.col("score") >= F.lit(last)) if last is not None else hits  # with ties: at most n from each span
+        hits = found.filter("no is not null").select("query", "no", "score")
+        order = lambda *c: Window.partitionBy("query").orderBy(F.col("score").desc(), *c)
+        hits = hits.withColumn("rank", F.rank().over(order())).filter(F.col("rank") <= n).drop("rank")  # with ties: at most n from each span
         names, few = self.docs.select("no", "id"), [r["no"] for r in hits.select("no").limit(LITERALS + 1).collect()]
         if len(few) <= LITERALS:
             names = names.filter(F.col("no").isin(few))
-        return names.join(hits, "no").select("id", "score").orderBy(F.col("score").desc(), "id").limit(n)
+        return names.join(hits, "no").withColumn("rank", F.row_number().over(order("id"))).filter(F.col("rank") <= n).select("query", "id", "score")
 
 
-def _scan(terms: list[str], idf: dict[str, float], k1: float, b: float, average: float, n: int, least: float):
-    """Of the blocks of one span: the n best documents (no, score), and a row without no that counts blocks and those decoded."""
+def _scan(plans: list[tuple[str, list[str], float]], idf: dict[str, float], k1: float, b: float, average: float, n: int):
+    """Of the blocks of one span: for each query (name, terms, least score) its n best documents (query, no, score), and a row without no that
+    counts blocks and those decoded."""
 
     def run(group: pa.Table) -> pa.Table:
         name = np.array(group.column("term").to_pylist(), object)
         lo, hi, top = (group.column(c).to_numpy() for c in ("lo", "hi", "top"))
         lists = {c: group.column(c).combine_chunks() for c in ("gaps", "tfs", "lens")}
-        rows = {t: at[np.argsort(lo[at], kind="stable")] for t in set(terms) if len(at := np.flatnonzero(name == t))}
-        edges = np.unique(np.concatenate([np.concatenate((lo[at], hi[at] + 1)) for at in rows.values()]))
-        cover, most = {}, np.zeros(len(edges))
-        for t in terms:  # a block covers an interval that begins inside it
-            if t in rows:
-                at = rows[t]
-                k = np.searchsorted(lo[at], edges, "right") - 1
-                in_ = (k >= 0) & (hi[at][np.maximum(k, 0)] >= edges)
-                cover[t] = np.where(in_, at[np.maximum(k, 0)], -1)
-                most += np.where(in_, idf[t] * top[at[np.maximum(k, 0)]], 0.0)
+        rows: dict[str, np.ndarray] = {}
+        for i, t in enumerate(name.tolist()):
+            rows.setdefault(t, []).append(i)
+        rows = {t: np.array(at)[np.argsort(lo[at], kind="stable")] for t, at in rows.items()}
         decoded: dict[int, tuple] = {}
 
         def block(i: int) -> tuple:
@@ -209,29 +213,48 @@ def _scan(terms: list[str], idf: dict[str, float], k1: float, b: float, average:
                 decoded[i] = lo[i] + np.cumsum(gaps.astype(np.int64)), w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average))
             return decoded[i]
 
-        nos, scores, floor = np.zeros(0, np.int64), np.zeros(0), least
-        for k in np.argsort(-most, kind="stable").tolist():
-            if most[k] * (1 + 1e-12) < floor or most[k] <= 0:
-                break
-            first, end = edges[k], edges[k + 1] if k + 1 < len(edges) else edges[k]
-            parts = []
-            for t in terms:
-                if t in cover and cover[t][k] >= 0:
-                    no, s = block(int(cover[t][k]))
-                    i, j = np.searchsorted(no, (first, end))
-                    parts.append((no[i:j], s[i:j]))
-            here = np.unique(np.concatenate([p[0] for p in parts]))
-            sums = np.zeros(len(here))
-            for no, s in parts:  # in the order of the terms, as the scan adds
-                sums[np.searchsorted(here, no)] += s
-            ok = sums >= floor
-            nos, scores = np.concatenate((nos, here[ok])), np.concatenate((scores, sums[ok]))
-            if len(nos) > n:
-                order = np.lexsort((nos, -scores))[:n]
-                nos, scores = nos[order], scores[order]
-                floor = max(floor, scores[-1])
-        blank = [None]
-        return pa.table({"no": pa.array([*nos.tolist(), *blank], pa.int64()), "score": pa.array([*scores.tolist(), *blank], pa.float64()), "blocks": pa.array([*blank * len(nos), len(lo)], pa.int64()), "decoded": pa.array([*blank * len(nos), len(decoded)], pa.int64())})
+        def best(terms: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
+            here_ = {t: rows[t] for t in terms if t in rows}
+            nos, scores = np.zeros(0, np.int64), np.zeros(0)
+            if not here_ or sum(idf[t] * top[rows[t]].max() for t in terms if t in rows) * (1 + 1e-12) < floor:
+                return nos, scores
+            edges = np.unique(np.concatenate([np.concatenate((lo[at], hi[at] + 1)) for at in here_.values()]))
+            cover, most = {}, np.zeros(len(edges))
+            for t in terms:  # a block covers an interval that begins inside it
+                if t in rows:
+                    at = rows[t]
+                    k = np.searchsorted(lo[at], edges, "right") - 1
+                    in_ = (k >= 0) & (hi[at][np.maximum(k, 0)] >= edges)
+                    cover[t] = np.where(in_, at[np.maximum(k, 0)], -1)
+                    most += np.where(in_, idf[t] * top[at[np.maximum(k, 0)]], 0.0)
+            for k in np.argsort(-most, kind="stable").tolist():
+                if most[k] * (1 + 1e-12) < floor or most[k] <= 0:
+                    break
+                first, end = edges[k], edges[k + 1] if k + 1 < len(edges) else edges[k]
+                parts = []
+                for t in terms:
+                    if t in cover and cover[t][k] >= 0:
+                        no, s = block(int(cover[t][k]))
+                        i, j = np.searchsorted(no, (first, end))
+                        parts.append((no[i:j], s[i:j]))
+                here = np.unique(np.concatenate([p[0] for p in parts]))
+                sums = np.zeros(len(here))
+                for no, s in parts:  # in the order of the terms, as the scan adds
+                    sums[np.searchsorted(here, no)] += s
+                ok = sums >= floor
+                nos, scores = np.concatenate((nos, here[ok])), np.concatenate((scores, sums[ok]))
+                if len(nos) > n:
+                    order = np.lexsort((nos, -scores))[:n]
+                    nos, scores = nos[order], scores[order]
+                    floor = max(floor, scores[-1])
+            return nos, scores
+
+        out = [(q, *best(terms, least)) for q, terms, least in plans]
+        of = [q for q, nos, _ in out for _ in range(len(nos))]
+        nos, scores, blank = [x for _, nos, _ in out for x in nos.tolist()], [x for *_, s in out for x in s.tolist()], [None]
+        return pa.table(
+            {"query": pa.array([*of, *blank], pa.string()), "no": pa.array([*nos, *blank], pa.int64()), "score": pa.array([*scores, *blank], pa.float64()), "blocks": pa.array([*blank * len(nos), len(lo)], pa.int64()), "decoded": pa.array([*blank * len(nos), len(decoded)], pa.int64())}
+        )
 
     return run
 

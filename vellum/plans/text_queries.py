@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import minutes, postings, resolve, search, validate, vectors
+from ..operators import minutes, postings, rerank, resolve, search, validate, vectors
+from ..operators.names import named
 from .frames import table
 
 QUERIES: dict = {}
@@ -277,6 +278,25 @@ def _(spark, d):
     return found.select("query", "id", rank.alias("rank"), F.round("score", 6).alias("score"))
 
 
+def passages(spark, d):
+    """Of every passage of `benchmark`, as a query: its five words from the fourth on, and the documents that hold it whole (query, id)."""
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    asked = {str(r["item_id"]): r["terms"] for r in items.select("item_id", F.slice(words, 4, 5).alias("terms")).collect()}  # the questions, which a caller names
+    held = named(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").cast("string").alias("node"), F.col("text").alias("called")))
+    return asked, held.select(F.col("node").alias("query"), "id")
+
+
+@query("rerank_passages")
+def _(spark, d):
+    """The ten best of all documents for each passage's words, by a model learnt from the passages whose crc32 modulo 3 is not 1."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked, relevant = passages(spark, d)
+    rows = rerank.candidates(postings.opened(f"documents of {d}", docs), docs, asked)
+    model = rerank.fit(rows.filter(F.crc32("query") % 3 != 1), relevant)
+    return (model or rerank.Reranker(*[(1.0,) + (0.0,) * 7, (0.0,) * 8, (1.0,) * 8])).ranked(rows, 10)
+
+
 @query("suggestions")
 def _(spark, d):
     p = table(spark, d, "part")
