@@ -12,6 +12,7 @@ with probability `sure`: 1 - (1 - J) ** bands. What meets is verified exactly.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,6 +193,17 @@ class Templates:
                     out += [(i, *m) for m in self._copies(shingles, np.unique(np.concatenate(sure)), len(self.sets[i]), 2 * width)]
         return out
 
+    def best(self, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of matches of one license (the name before the colon) that overlap, the one of greatest containment, then the shorter,
+        then that of the first template. Matches of different licenses stand side by side."""
+        out: dict[str, list[tuple[int, int, int, float]]] = {}
+        for m in sorted(found, key=lambda m: (-m[3], m[2] - m[1], m[0], m[1])):
+            own = out.setdefault(self.names[m[0]].split(":")[0], [])
+            k = bisect_left(own, m[1], key=lambda o: o[1])  # those kept lie apart, in order of place
+            if not (k < len(own) and own[k][1] <= m[2]) and not (k and own[k - 1][2] >= m[1]):
+                own.insert(k, m)
+        return sorted(m for own in out.values() for m in own)
+
     def _copies(self, shingles: np.ndarray, at: np.ndarray, size: int, reach: int) -> list[tuple[int, int, float]]:
         """(first, last, containment) of a template's copies among its shingles' positions: a copy
         ends where a gap is longer than a window, or where a shingle returns that it has, once it has enough."""
@@ -213,10 +225,11 @@ class Templates:
         return out
 
 
-def scan(df: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE, least: float = LEAST, sure: float = SURE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE, least: float = LEAST, sure: float = SURE, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """doc_id, license, containment, start, end: a row for each place of an input row's text that
     holds at least `least` of a template's shingles; start and end are the byte range from the
-    first to the last of them there.
+    first to the last of them there. Where several templates of one license meet in a place, the best
+    one is told; every: all of them.
 
     Null and empty texts, and those of fewer words than a shingle, match nothing. Whole texts
     are scanned. Repeated rows are scanned each for itself. Other columns are ignored. The templates are a
@@ -238,7 +251,8 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, shingle: int =
                 at = np.minimum(np.searchsorted(inside, grams), len(inside) - 1)
                 if not (inside[at] == grams).any():
                     continue
-                for i, first, last, share in known.scan(grams):
+                found = known.scan(grams)
+                for i, first, last, share in found if every else known.best(found):
                     rows.append(no)
                     for c, v in zip(cols, (known.names[i], share, int(starts[first]), int(ends[last + known.shingle - 1])), strict=True):
                         c.append(v)
