@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytehash import Hasher
@@ -454,10 +454,10 @@ def repeated_spans(docs: DataFrame, length: int, crowd: int = CROWD) -> DataFram
         F.collect_list(F.when(F.col("hot"), F.struct(*KEYS, "pos", "n"))).alias("hot"),
     )
     # rows equal in text and id may be any share of all: they stay where they are, and one of them is cut
-    times = docs.groupBy("tid", "dk").agg(F.count(F.lit(1)).alias("c"))
+    times = docs.groupBy("tid", "dk").agg(F.count(F.lit(1)).alias("rows"), _weight().alias("c"))
     need = staged(need.join(times, ["tid", "dk"]), "suffix-need")
-    texts = join_many(docs, need, ["tid", "dk"], "c")
-    if (need.agg(F.max("c")).first()[0] or 0) > 1:
+    texts = join_many(docs, need.drop("rows"), ["tid", "dk"], "c")
+    if (need.agg(F.max("rows")).first()[0] or 0) > 1:
         texts = texts.dropDuplicates(["tid", "dk"])
     texts = staged(texts.select("body", "calm", "hot"), "suffix-texts")
     release(need)
@@ -481,6 +481,11 @@ def repeated_spans(docs: DataFrame, length: int, crowd: int = CROWD) -> DataFram
     return spans
 
 
+def _weight() -> Column:
+    """Of texts that a key holds, for join_many: KiB of them, so that a few long copies count as many short ones do."""
+    return F.sum(F.ceil((F.octet_length("body") + 1) / 1024)).cast("long")
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -513,7 +518,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, crowd: int = CROWD, keep
     long = rows.filter(F.octet_length("body") >= length).withColumn("tid", F.unhex(F.md5("body")))
     spans = repeated_spans(long.select("tid", "dk", "body"), length, crowd)
     # copies of one text may be any share of all rows
-    times = staged(long.groupBy("tid").agg(F.count(F.lit(1)).alias("c")).join(spans, "tid", "left"), "suffix-times")
+    times = staged(long.groupBy("tid").agg(_weight().alias("c")).join(spans, "tid", "left"), "suffix-times")
     done = join_many(long, times, ["tid"], "c").select(*keep, "body", "starts")
     short = rows.filter(F.octet_length("body") < length).select(*keep, "body", F.lit(None).cast(spans.schema["starts"].dataType).alias("starts"))
 
