@@ -119,3 +119,50 @@ def test_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
     got = sorted((r.text[:1], r.doc_id) for r in cp.simhash_stage(spark, docs, SF).collect())
     assert got == [("a", None), ("b", None), ("c", 5), ("d", 9), ("e", 8)]
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    """Passages of 51 to 60 words, of short words too, that documents share at any place; documents without one are left alone."""
+    import random
+
+    rng = random.Random(21)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    prose = lambda n, a=2, b=9: " ".join(word(a, b) for _ in range(n))
+    passages = [prose(51 + i % 10, *((2, 3) if i % 5 == 0 else (2, 9))) for i in range(25)]
+    rows, own = [], {}
+    for i, p in enumerate(passages):
+        for k in range(2 + i % 3):
+            head, tail = prose(rng.randint(0, 90)), prose(rng.randint(1, 90))
+            own[100 * i + k] = (p, head, tail)
+            rows.append((100 * i + k, f"{head} {p} {tail}".strip(), "en", "a", 1))
+    clean = [(10_000 + i, prose(rng.randint(1, 300)), "en", "a", 1) for i in range(60)]
+    near = passages[0].split()[:50]  # fifty words are no passage
+    clean += [(20_000 + i, f"{prose(20)} {' '.join(near)} {prose(20)}", "en", "a", 1) for i in range(2)]
+    docs = spark.createDataFrame(rows + clean, SCHEMA)
+    got = {r.doc_id: r.text for r in cp.suffix_stage(spark, docs, SF).collect()}
+    for i, (p, head, tail) in own.items():
+        left = got[i].split()
+        held = {" ".join(left[k : k + 51]) for k in range(len(left) - 50)}
+        words = p.split()
+        assert not held & {" ".join(words[k : k + 51]) for k in range(len(words) - 50)}, i
+        assert " ".join(head.split()[:-2]) in got[i] and " ".join(tail.split()[2:]) in got[i]
+    assert all(got[i] == t for i, t, *_ in clean)
+
+
+def test_near_copies_that_four_bits_find(spark):
+    """Copies of texts of 400 words with one word in 200 replaced: what share of them the stage takes out."""
+    import random
+
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(400)]
+        copy = list(words)
+        for at in rng.sample(range(400), 2):
+            copy[at] = word()
+        rows += [(2 * i, " ".join(words), "en", "a", 1), (2 * i + 1, " ".join(copy), "en", "a", 1)]
+    left = {r.doc_id for r in cp.simhash_stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    found = sum(2 * i + 1 not in left for i in range(60)) / 60
+    print("near copies taken out", found)
+    assert all(2 * i in left for i in range(60)) and found > 0.5
