@@ -45,6 +45,8 @@ LENGTH = 400
 CROWD = 2048
 #: Bytes of suffixes that a task sorts into runs at a time, and that a range of the merge holds, about.
 RUN_BYTES, RANGE_BYTES = 32 << 20, 32 << 20
+#: An odd number near 2**64 divided by the golden ratio.
+SPREAD = 0x9E3779B97F4A7C15
 #: Bytes that are hashed at a time. Longer texts are taken in segments.
 SEGMENT = 1 << 19
 KEYS = ["g", "eh", "o"]
@@ -302,7 +304,8 @@ def _cut_runs(length: int, ranges: int):
                     a, o1, o2, g = x["pos"], x["o"] >> 16, x["o"] & 0xFFFF, x["g"] & ((1 << 64) - 1)
                     name = (x["og"], x["oeh"], x["oo"], x["on"]) if "og" in x else (x["g"], x["eh"], x["o"], x["n"])
                     item = (g.to_bytes(8, "big") + bytes(data[a : a - o1 + length]), (bytes(data[a - o2 : a])[::-1], g, x["eh"], x["o"], x["n"], name))
-                    held.setdefault(g * ranges >> 64, []).append(item)
+                    # anchors have small hashes: multiplied, they spread over all ranges
+                    held.setdefault((g * SPREAD & ((1 << 64) - 1)) * ranges >> 64, []).append(item)
                     size += 2 * length
                 if size > RUN_BYTES:
                     yield flush()
