@@ -28,15 +28,18 @@ def is_empty(props: str = "") -> Column:
 
 
 def specced(props: DataFrame, specs: DataFrame) -> DataFrame:
-    """Properties with their specs; types without specs have those of `*`."""
-    declared = specs.select(F.col("class").alias("type")).distinct().withColumn("declared", F.lit(True))
+    """Properties with their specs; types without specs have those of `*`.
+
+    Specs are as large as the ontology and are broadcast: types and keys are few, and each would hold its share of all
+    properties in one task."""
+    declared = F.broadcast(specs.select(F.col("class").alias("type")).distinct().withColumn("declared", F.lit(True)))
     typed = props.join(declared, "type", "left").withColumn("class", F.when(F.col("declared"), F.col("type")).otherwise("*"))
-    return typed.join(specs.withColumnRenamed("name", "key"), ["class", "key"]).drop("declared")
+    return typed.join(F.broadcast(specs.withColumnRenamed("name", "key")), ["class", "key"]).drop("declared")
 
 
 def missing_required(notes: DataFrame, props: DataFrame, specs: DataFrame) -> DataFrame:
     """Notes (node, type) without a value for a property that their class requires."""
-    want = notes.select("node", "type").join(specs.filter("required").select(F.col("class").alias("type"), F.col("name").alias("key")), "type")
+    want = notes.select("node", "type").join(F.broadcast(specs.filter("required").select(F.col("class").alias("type"), F.col("name").alias("key"))), "type")
     lacking = want.join(props.filter(~is_empty()).select("node", "key"), ["node", "key"], "left_anti")
     return lacking.select(*finding("error", "missing_required", F.col("node"), F.concat(F.lit("`"), "key", F.lit("` is required for type `"), "type", F.lit("`"))))
 
