@@ -1,8 +1,9 @@
 """Plans whose tasks stay small when tables grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.operators import checks
+from vellum.operators import checks, resolve
 
 
 @pytest.fixture
@@ -25,3 +26,11 @@ def test_properties_meet_specs_where_they_lie(spark, plain_joins):
     specs = spark.createDataFrame([("t", "k", "enum", ["y"], [], False, False, True)], "class string, name string, kind string, allowed array<string>, ranges array<string>, many boolean, soft boolean, required boolean")
     found = checks.enum_violations(checks.specced(props, specs))
     assert found.count() == 1 and "SortMergeJoin" not in plan(found)
+
+
+def test_references_without_a_key_are_dealt_to_all_tasks(spark, plain_joins):
+    table = spark.createDataFrame([("a", 1)], "_path string, c int")
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("value"), F.when(F.col("id") == 0, "a").alias("_path"))
+    got = resolve.met(rows, table, "_path", ["value"]).withColumn("p", F.spark_partition_id()).cache()
+    assert got.count() == 1000 and [r["value"] for r in got.filter("c = 1").collect()] == ["0"]
+    assert got.groupBy("p").count().agg(F.max("count")).first()[0] < 500
