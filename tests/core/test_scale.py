@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import checks, resolve
+from vellum.operators import checks, resolve, validate
 
 
 @pytest.fixture
@@ -34,3 +34,10 @@ def test_references_without_a_key_are_dealt_to_all_tasks(spark, plain_joins):
     got = resolve.met(rows, table, "_path", ["value"]).withColumn("p", F.spark_partition_id()).cache()
     assert got.count() == 1000 and [r["value"] for r in got.filter("c = 1").collect()] == ["0"]
     assert got.groupBy("p").count().agg(F.max("count")).first()[0] < 500
+
+
+def test_lookups_and_files_are_no_hash_tables(spark):
+    notes = spark.createDataFrame([("n/a.md", "[a](b.md) [[c]]")], "rel string, text string")
+    files = spark.createDataFrame([("n/a.md",)], "rel string")
+    found = validate.broken_links(notes, files)
+    assert found.count() == 2 and "BroadcastHashJoin" not in plan(found)

@@ -103,7 +103,8 @@ def _said(rule: str, message: Column) -> list[Column]:
 
 
 def broken_links(notes: DataFrame, files: DataFrame, templates: str | None = None) -> DataFrame:
-    """Markdown links, images and wikilinks (notes: rel, text) to nothing among the files (rel)."""
+    """Markdown links, images and wikilinks (notes: rel, text) to nothing among the files (rel). Files are joined by sorting: as hash
+    tables they would lie whole in every task."""
     body = T.strip_unrendered(F.col("text"))
     is_template = in_folder(F.col("rel"), templates)
     base = notes.select("rel", is_template.alias("is_template"), T.found(body, T.MD_LINK).alias("a"), T.found(body, T.MD_IMAGE).alias("b"), T.found(body, T.WIKILINK).alias("w"))
@@ -115,11 +116,11 @@ def broken_links(notes: DataFrame, files: DataFrame, templates: str | None = Non
     # a link may name a file or a folder on the way to one
     parts = F.split("rel", "/")
     places = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).distinct()
-    gone = md.filter("path <> ''").join(places, "path", "left_anti").select(*_said("LNK-01", F.concat(F.lit("broken link -> "), "t")))
+    gone = md.filter("path <> ''").join(places.hint("merge"), "path", "left_anti").select(*_said("LNK-01", F.concat(F.lit("broken link -> "), "t")))
     wiki = base.select("rel", "is_template", F.explode("w").alias("t")).select("rel", "is_template", F.trim("t").alias("t")).filter(free)
     wiki = wiki.withColumn("key", F.regexp_replace(F.lower(T.path_name(F.col("t"))), r"\.md$", ""))
     own = files.select(F.explode(F.array(F.lower(T.path_stem(F.col("rel"))), F.lower(T.path_name(F.col("rel"))))).alias("key")).distinct()
-    lost = wiki.join(own, "key", "left_anti").select(*_said("LNK-02", F.concat(F.lit("broken wikilink [["), "t", F.lit("]]"))))
+    lost = wiki.join(own.hint("merge"), "key", "left_anti").select(*_said("LNK-02", F.concat(F.lit("broken wikilink [["), "t", F.lit("]]"))))
     return gone.unionByName(lost)
 
 
