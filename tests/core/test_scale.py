@@ -1,9 +1,13 @@
 """Plans whose tasks stay small when tables grow."""
 
+import random
+
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from vellum.operators import checks, resolve, validate
+from vellum.sources.vault import loaded
 
 
 @pytest.fixture
@@ -41,3 +45,18 @@ def test_lookups_and_files_are_no_hash_tables(spark):
     files = spark.createDataFrame([("n/a.md",)], "rel string")
     found = validate.broken_links(notes, files)
     assert found.count() == 2 and "BroadcastHashJoin" not in plan(found)
+
+
+def test_frontmatter_loads_as_by_the_plain_loader():
+    rng = random.Random(3)
+    bits = ["a", "b: ", "- ", "\n", "\n  ", "[", "]", "{", "}", ", ", ":", ": ", "#", " #", "'", '"', "2026-01-02", "1.5", "yes", "null", "~", "ü", "0x1F", "12:30", "<<: ", "=", "@", "`", "\t", "|", "\\n", "\\", "---\n", "...", "\r\n", "\r"]
+
+    def told(load, text):
+        try:
+            return repr(load(text))
+        except (yaml.YAMLError, ValueError, RecursionError) as exc:
+            return f"{type(exc).__name__}: {exc}"
+
+    for _ in range(20000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert told(loaded, text) == told(yaml.safe_load, text), repr(text)
