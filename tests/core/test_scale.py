@@ -1,12 +1,14 @@
 """Plans whose tasks stay small when tables grow."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from vellum.operators import checks, resolve, validate
+from vellum.operators import checks, postings, resolve, validate
 from vellum.sources.vault import loaded
 
 
@@ -60,3 +62,20 @@ def test_frontmatter_loads_as_by_the_plain_loader():
     for _ in range(20000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
         assert told(loaded, text) == told(yaml.safe_load, text), repr(text)
+
+
+def test_words_are_counted_a_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(postings, "STEP_WORDS", 5)
+    words = [["a", "b", "a"], None, [], ["c"] * 9, ["b"], ["a", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(6)), pa.array(words, pa.list_(pa.string()))], names=["id", "h", "words"])
+    parts = list(postings._counted(iter([batch])))
+    got = [(r["id"], r["len"], dict(zip(r["terms"], r["tfs"], strict=True))) for p in parts for r in p.to_pylist()]
+    assert len(parts) == 3 and got == [(i, None if w is None else len(w), dict(Counter(w or ()))) for i, w in enumerate(words)]
+
+
+def test_blocks_are_cut_over_batches():
+    docs = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([2] * 300, pa.int32()), pa.array([["a"]] * 300, pa.list_(pa.string())), pa.array([[2]] * 300, pa.list_(pa.int32()))], names=["no", "len", "terms", "tfs"])
+    pieces = [p.append_column("bucket", pa.array([0], pa.int32())) for p in postings._inverted(docs.slice(i, 70) for i in range(0, 300, 70))]
+    rows = [r for b in postings._cut(1.2, 0.75, 2.0)(iter(pieces)) for r in b.to_pylist()]
+    assert len(pieces) == 5 and [(r["block"], r["lo"], r["hi"], r["n"]) for r in rows] == [(0, 0, 127, 128), (1, 128, 255, 128), (2, 256, 299, 44)]
+    assert all(r["gaps"] == [0] + [1] * (r["n"] - 1) and r["top"] == 2 * 2.2 / (2 + 1.2) for r in rows)

@@ -22,6 +22,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +34,100 @@ WORD = r"(?U)\w+"
 BLOCK, SPAN_BITS = 128, 16
 #: Postings of a term partition, about.
 PARTITION = 4_000_000
+#: Words that are counted at a time, bytes of a batch that Spark hands to Python.
+STEP_WORDS, BATCH_BYTES = 1_000_000, 16 << 20
 #: Numbers that become literals of a scan's filter; more are joined.
 LITERALS = 1000
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (id, h, words) to (id, h, len, terms, tfs)."""
+    """Batches of (id, h, words) to (id, h, len, terms, tfs), a document's terms in no set order. Words are counted as numbers, a slice of
+    the batch at a time."""
     for batch in batches:
-        words = batch.column("words").to_pylist()
-        bags = [Counter(w or ()) for w in words]
-        cols = [batch.column("id"), batch.column("h"), pa.array([None if w is None else len(w) for w in words], pa.int32()), pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "len", "terms", "tfs"])
+        ends = pc.fill_null(pc.list_value_length(batch.column("words")), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_WORDS, "right")))
+            part = batch.slice(at, end - at)
+            at = end
+            words = part.column("words")
+            size = pc.list_value_length(words)
+            coded = words.flatten().dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            of = np.repeat(np.arange(part.num_rows), pc.fill_null(size, 0).to_numpy(zero_copy_only=False))
+            pairs, tf = np.unique(of * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            edges = pa.array(np.searchsorted(pairs // many, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (coded.dictionary.take(pa.array(pairs % many)), pa.array(tf.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), size.cast(pa.int32()), *lists], names=["id", "h", "len", "terms", "tfs"])
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of numbered documents to their terms: the numbers, counts and lengths of those that hold it, by span."""
+    for batch in batches:
+        size = pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy(zero_copy_only=False)
+        if not size.sum():
+            continue
+        coded = batch.column("terms").flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        no, length = (np.repeat(pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False), size) for c in ("no", "len"))
+        order = np.lexsort((no, code))
+        code, no = code[order], no[order]
+        span = no >> SPAN_BITS
+        starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (span[1:] != span[:-1])))
+        edges = pa.array(np.append(starts, len(no)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (no, batch.column("tfs").flatten().to_numpy(zero_copy_only=False)[order], length[order].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[starts])), pa.array(span[starts]), pa.array(no[starts]), *lists], names=["term", "span", "lo", "nos", "tfs", "lens"])
+
+
+#: Columns of the blocks; weights as in search.bm25.
+BLOCKS = "bucket int, term string, span long, block int, lo long, hi long, n int, top double, gaps array<int>, tfs array<int>, lens array<int>"
+
+
+def _cut(k1: float, b: float, average: float):
+    """Of rows of _inverted() with their bucket, in the order of bucket, term, span, lo: blocks. What is held is a batch, and the last
+    term's documents of one span."""
+
+    def blocks(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        """first: whether a row begins a term and span."""
+        size = pc.list_value_length(rows.column("nos")).to_numpy()
+        no, tf, length = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("nos", "tfs", "lens"))
+        of = np.repeat(np.cumsum(first) - 1, size)
+        order = np.lexsort((no, of))
+        no, tf, length = no[order], tf[order], length[order]
+        at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        place = np.arange(len(of)) - at[of]
+        starts = np.flatnonzero(place % BLOCK == 0)
+        ends = np.append(starts[1:], len(of))
+        gaps = np.diff(no, prepend=no[:1]).astype(np.int32)
+        gaps[starts] = 0
+        top = np.maximum.reduceat(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average)), starts)
+        head = rows.select(["bucket", "term", "span"]).take(pa.array(np.flatnonzero(first)[of[starts]])).combine_chunks()
+        edges = pa.array(np.append(starts, len(of)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (gaps, tf, length)]
+        own = [pa.array((place[starts] // BLOCK).astype(np.int32)), pa.array(no[starts]), pa.array(no[ends - 1]), pa.array((ends - starts).astype(np.int32)), pa.array(top), *lists]
+        columns = [head.column(c).combine_chunks() for c in head.column_names]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns] + own, names=["bucket", "term", "span", "block", "lo", "hi", "n", "top", "gaps", "tfs", "lens"])
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        new = [np.append(True, pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)) for c in (rows.column("term").combine_chunks(), rows.column("span").combine_chunks())]
+        return new[0] | new[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            first = begins(held)
+            last = int(np.flatnonzero(first)[-1])
+            if last:
+                yield blocks(held.slice(0, last), first[:last])
+            held = held.slice(last)
+        if held is not None:
+            yield blocks(held, begins(held))
+
+    return run
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -96,6 +180,7 @@ class Index:
     def refresh(self, docs: DataFrame) -> bool:
         """Brings the index up to date; whether there was anything to do. The new tables are whole before the old ones go."""
         docs = docs.select("id", "text")
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # whatever the texts' length
         now = _print(docs)
         if now == self.print:
             return False
@@ -127,24 +212,13 @@ class Index:
 
     def _blocked(self, docs: DataFrame, average: float, buckets: int) -> DataFrame:
         """bucket, term, span, block, lo, hi, n, top, and the arrays gaps, tfs, lens."""
-        each = docs.select("no", "len", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-        each = each.select(F.col("p.terms").alias("term"), F.shiftright("no", SPAN_BITS).alias("span"), F.struct("no", F.col("p.tfs").alias("tf"), "len").alias("p"))
-        # a list holds a span's documents at most
-        lists = each.groupBy("term", "span").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-        cut = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ps"), F.lit(BLOCK)), lambda i: F.slice("ps", i, F.lit(BLOCK))))
-        out = lists.select("term", "span", cut.alias("block", "ps"))
-        top = F.array_max(F.transform("ps", lambda p: self._weight(p["tf"], p["len"], average)))
-        nos = F.transform("ps", lambda p: p["no"])
-        gaps = F.transform(nos, lambda x, i: (x - F.coalesce(F.get(nos, i - 1), x)).cast("int"))
-        out = out.select(
-            F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "span", "block", nos[0].alias("lo"), F.element_at(nos, -1).alias("hi"), F.size("ps").alias("n"), top.alias("top"),
-            gaps.alias("gaps"), F.transform("ps", lambda p: p["tf"]).alias("tfs"), F.transform("ps", lambda p: p["len"]).alias("lens"),
-        )
+        # a batch of documents gives one row for each of its terms, not one for each posting
+        pieces = docs.select("no", "len", "terms", "tfs").mapInArrow(_inverted, "term string, span long, lo long, nos array<long>, tfs array<int>, lens array<int>")
+        pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        pieces = pieces.repartition("bucket", F.pmod(F.xxhash64("span"), F.lit(16))).sortWithinPartitions("bucket", "term", "span", "lo")
+        out = pieces.mapInArrow(_cut(self.k1, self.b, average), BLOCKS)
         # by term inside the files, so that their statistics tell which hold a term
-        return out.repartition("bucket", F.pmod("span", F.lit(16))).sortWithinPartitions("bucket", "term", "span", "block")
-
-    def _weight(self, tf: Column, length: Column, average: float) -> Column:
-        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / average))
+        return out.sortWithinPartitions("bucket", "term", "span", "block")
 
     def search(self, terms: Sequence[str], n: int) -> DataFrame:
         """id, score of the n best documents, ties to smaller ids: those of search.bm25 and search.top. Terms are lower-case words; a
