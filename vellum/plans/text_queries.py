@@ -245,7 +245,7 @@ def _(spark, d):
     names = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k")).select("name", F.concat(F.lit("p:"), F.col("k").cast("string")).alias("node"))
     part = lambda k: (1 + F.col(k) % F.col("n")).cast(p.schema["p_partkey"].dataType)
     o = table(spark, d, "orders").crossJoin(F.broadcast(p.agg(F.max("p_partkey").alias("n")))).select("o_orderkey", part("o_orderkey").alias("a"), part("o_custkey").alias("b"))
-    o = o.join(p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), "b")
+    o = o.join(p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")).hint("merge"), "a").join(p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y")).hint("merge"), "b")
     texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("we need a "), F.upper("x"), F.lit(", and "), "y", F.lit("s")).alias("text"))
     return search.mentions(texts, names)
 
@@ -258,7 +258,7 @@ def _(spark, d):
     """People by any case of their names, projects by an alias; no name counts inside a longer word."""
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey").crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n"))))
-    o = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left").join(s.select("s_suppkey", "s_name"), F.col("s_suppkey") == 1 + F.col("o_orderkey") % F.col("n"), "left")
+    o = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name").hint("merge"), "o_custkey", "left").join(s.select("s_suppkey", "s_name").hint("merge"), F.col("s_suppkey") == 1 + F.col("o_orderkey") % F.col("n"), "left")
     tail = F.when(F.col("o_orderkey") % 2 == 0, ".").otherwise("-west")
     texts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("we met "), F.coalesce(F.upper("c_name"), F.lit("nobody")), F.lit(", and ("), F.coalesce("s_name", F.lit("none")), tail).alias("text"))
     person = c.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"), F.lit("person").alias("type"), F.col("c_name").alias("title"), F.lit(None).cast("array<string>").alias("aliases"))
