@@ -115,6 +115,25 @@ def test_query(spark):
         assert g.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_query_at_400_bytes(spark, tmp_path):
+    """Passages of over 50 words in three documents each: of 400 bytes all copies go, of 399 none; n_bytes is the input's."""
+    rng = random.Random(7)
+
+    def passage(size):
+        words = "".join(rng.choice("bcdfghjk") * rng.randint(1, 3) + "aeiou"[i % 5] + " " for i in range(size))
+        return words[: size - 1] + "z"
+
+    short, full = passage(399), passage(400)
+    assert min(len(short.split()), len(full.split())) > 50
+    texts = [f"{a}{p}{b}" for p in (short, full) for a, b in ("AD", "BE", "CF")] + ["left alone, é", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffixes.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    kept = [t or "" for t in texts]
+    kept[3:6] = ["AD", "BE", "CF"]
+    assert [got[i].text for i in range(len(texts))] == kept
+    assert [(got[i].n_bytes, got[i].n_removed) for i in range(len(texts))] == [(len((t or "").encode()), 400 * (3 <= i < 6)) for i, t in enumerate(texts)]
+
+
 def test_empty(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
