@@ -3,7 +3,9 @@
 import hashlib
 import random
 import struct
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -27,6 +29,47 @@ def test_pieces_as_tiktoken(vocabulary):
                 assert merges.encode_piece(piece.encode()) == own._core_bpe.encode_single_piece(piece.encode())
 
 
+@pytest.mark.parametrize("shared", [1, 300, 1 << 18])
+def test_pieces_together_as_tiktoken(vocabulary, monkeypatch, shared):
+    ranks, _, own = vocabulary
+    monkeypatch.setattr(bpe, "SHARED", shared)
+    rng = random.Random(5)
+    pieces = [b"", b"a", b"\0", b"\xff", b"the", b"\0\0\0a\0", b"a" * 700]
+    for alphabet in ("a", "ab", " thequick", "éüß日本", "!?#", "\0\x01\x7f"):
+        pieces += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))).encode() for _ in range(60)]
+    pieces += [rng.randbytes(rng.randint(1, 30)) for _ in range(60)]
+    got = bpe.Merges(ranks).encode_pieces(pieces)
+    assert got == [struct.pack(f"<{len(i)}I", *i) for i in (own._core_bpe.encode_single_piece(p) if p else [] for p in pieces)]
+    assert bpe.Merges(ranks).encode_pieces([]) == []
+
+
+def test_a_merge_that_brings_up_a_lower_rank():
+    ranks = {bytes([b]): b for b in range(256)} | {b"xyzy": 256, b"xyz": 257, b"yz": 258}
+    own = tiktoken.Encoding("falling", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    pieces = [b"xyzyz", *("".join(rng.choice("xyz") for _ in range(rng.randint(1, 30))).encode() for _ in range(300))]
+    got = bpe.Merges(ranks).encode_pieces(pieces)
+    assert got[0] == struct.pack("<2I", 256, ord("z"))
+    assert got == [struct.pack(f"<{len(i)}I", *i) for i in map(own._core_bpe.encode_single_piece, pieces)]
+
+
+@pytest.mark.parametrize("cache, many", [(600_000, 1 << 18), (50, 40)])
+def test_new_words_share_a_queue(vocabulary, monkeypatch, cache, many):
+    ranks, pattern, own = vocabulary
+    rng, alone = random.Random(7), []
+    texts = [" ".join("".join(rng.choice("etaoinéè") for _ in range(rng.randint(4, 14))) for _ in range(n)) for n in (0, 1, 30, 500, 7)]
+    monkeypatch.setattr(bpe, "CACHE", cache)
+    monkeypatch.setattr(bpe, "PIECES", many, raising=False)
+    one = bpe.Merges.encode_piece
+    monkeypatch.setattr(bpe.Merges, "encode_piece", lambda self, piece: alone.append(piece) or one(self, piece))
+    run = bpe._encoder(SimpleNamespace(value=ranks), f"test-{cache}", pattern, ())
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, "z" * 90], pa.string())], names=["__text"])
+    got = [x for out in run(iter([batch])) for x in out.column("ids").to_pylist()]
+    assert got == [struct.pack(f"<{len(i)}I", *i) for i in map(own.encode_ordinary, [*texts, "z" * 90])]
+    if many > 999:  # else words are forgotten and come again
+        assert len(alone) == 1  # the long one; a queue for each word is what took most of the time
+
+
 def test_whole_texts(spark, vocabulary):
     ranks, pattern, own = vocabulary
     texts = [None, "", " ", "\n\n x", "don't stop 123  　 done\u0085", "x" * 30_000, "tie tie tie", "tie tie tie", "<|endoftext|>"]

@@ -6,6 +6,9 @@ say which buckets hold anything: a summary word points at 256-bit words, and fin
 the first set bit in each gives the lowest waiting rank in constant time. Entries that
 a merge made stale are recognised when they are taken out and skipped, so a pre-token
 of n bytes takes O(n log n), however long it is.
+
+The pre-tokens that a step of texts brings anew share one queue: their lists stand one
+behind the other with marks between them, and a rank is looked for once for all of them.
 """
 
 from __future__ import annotations
@@ -29,6 +32,15 @@ from ._common import table, text_steps, texts_of, tidy
 CACHE = 600_000
 #: Bytes of a pre-token whose positions are kept as bit sets.
 SHORT = 128
+#: Code points of a pre-token that is remembered.
+KEPT = 64
+#: Bytes of text whose new pre-tokens are encoded together; of a text with more pre-tokens than PIECES, so many at a time.
+STEP, PIECES = 1 << 20, 1 << 18
+#: Bytes of the pre-tokens that share a queue.
+SHARED = 1 << 18
+#: In a shared queue's list: what stands before and behind each pre-token (pairs with it have negative
+#: keys, which no vocabulary holds), and what a merge has taken up.
+MARK, GONE = -1, -2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,6 +72,110 @@ class Merges:
                 if left is not None and right is not None:
                     join[left << self.shift | right] = rank
         self.join = join
+        self._pairs = None
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """For each pre-token its ids as little-endian 32-bit words."""
+        out: list = [None] * len(pieces)
+        part, size = [], 0
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = _words32([whole])
+            elif len(piece) < 2:
+                out[i] = _words32([self.byte[b] for b in piece])
+            else:
+                part.append(i)
+                size += len(piece)
+                if size >= SHARED:
+                    self._merged_shared(pieces, part, out)
+                    part, size = [], 0
+        if part:
+            self._merged_shared(pieces, part, out)
+        return out
+
+    def _byte_pairs(self):
+        """Of bytes: their ids; of two bytes, the first the higher: the rank of their pair, or -1."""
+        import numpy as np
+
+        if self._pairs is None:
+            join, shift = self.join.get, self.shift
+            pairs = [join(a << shift | b, -1) for a in self.byte for b in self.byte]
+            self._pairs = np.array(self.byte, np.int64), np.array(pairs, np.int64)
+        return self._pairs
+
+    def _merged_shared(self, pieces: list[bytes], part: list[int], out: list) -> None:
+        """One queue for many pre-tokens: buckets are lists of positions in all of them. A pre-token's
+        own lowest rank is never passed over, since no rank below the one at hand waits anywhere;
+        if a merge brings one up, the pre-token is done again by itself."""
+        import numpy as np
+
+        byte, pairs = self._byte_pairs()
+        join, shift = self.join.get, self.shift
+        chosen = [pieces[i] for i in part]
+        raw = np.frombuffer(b"\0" + b"\0".join(chosen) + b"\0", np.uint8)
+        n = len(raw)
+        ends = np.cumsum(np.array([0, *(len(p) + 1 for p in chosen)]))
+        ids = byte[raw]
+        ids[ends] = MARK
+        due = np.full(n, -1)
+        due[:-1] = pairs[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        due[ends] = due[ends[1:] - 1] = -1
+        at = np.flatnonzero(due >= 0)
+        at = at[np.argsort(due[at], kind="stable")]
+        first = np.flatnonzero(np.diff(due[at], prepend=-1))
+        places, bounds = at.tolist(), [*first.tolist(), len(at)]
+        waiting = {r: places[a:b] for r, a, b in zip(due[at[first]].tolist(), bounds[:-1], bounds[1:], strict=True)}
+        words, summary = self._queue(waiting)
+        ids, due, odd = ids.tolist(), due.tolist(), []
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        while summary:
+            high = (summary & -summary).bit_length() - 1
+            word = words[high]
+            rank = high << 8 | (word & -word).bit_length() - 1
+            word &= word - 1
+            words[high] = word
+            if not word:
+                summary &= summary - 1
+            bucket = waiting.pop(rank)
+            bucket.sort()
+            left = rank << shift
+            for at in bucket:
+                if due[at] != rank:
+                    continue  # stale: a merge has changed one of the two
+                mate = after[at]
+                ids[at], ids[mate], due[mate] = rank, GONE, -1
+                nxt = after[at] = after[mate]
+                before[nxt] = at
+                back = before[at]
+                new = due[at] = join(left | ids[nxt], -1)
+                older = due[back] = join(ids[back] << shift | rank, -1)
+                if new >= 0:
+                    if new in waiting:
+                        waiting[new].append(at)
+                    else:
+                        waiting[new] = [at]
+                        words[new >> 8] = words.get(new >> 8, 0) | 1 << (new & 255)
+                        summary |= 1 << (new >> 8)
+                    if new < rank:
+                        odd.append(at)
+                if older >= 0:
+                    if older in waiting:
+                        waiting[older].append(back)
+                    else:
+                        waiting[older] = [back]
+                        words[older >> 8] = words.get(older >> 8, 0) | 1 << (older & 255)
+                        summary |= 1 << (older >> 8)
+                    if older < rank:
+                        odd.append(at)
+        ids = np.array(ids)
+        ids = ids[ids != GONE]
+        cuts = np.flatnonzero(ids == MARK).tolist()
+        blob = ids.astype("<u4").tobytes()
+        for i, lo, hi in zip(part, cuts[:-1], cuts[1:], strict=True):
+            out[i] = blob[4 * lo + 4 : 4 * hi]
+        for k in np.unique(np.searchsorted(ends, odd) - 1).tolist():
+            out[part[k]] = _words32(self.encode_piece(chosen[k]))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -198,13 +314,26 @@ class _Known(dict):
         self.merges = merges
 
     def __missing__(self, piece: str) -> bytes:
-        out = _words32(self.merges.encode_piece(piece.encode("utf-8", "surrogateescape")))
-        if len(piece) <= 64:
-            self[piece] = out
-            if len(self) > CACHE:
-                for old in list(islice(self, CACHE // 3)):
-                    del self[old]
-        return out
+        return _words32(self.merges.encode_piece(piece.encode("utf-8", "surrogateescape")))
+
+    def learn(self, *texts: list[str]) -> None:
+        """Encodes together the pre-tokens that are new, but for long ones."""
+        if len(self) > CACHE:
+            for old in list(islice(self, CACHE // 3)):
+                del self[old]
+        new = [p for p in set().union(*texts) if p not in self and len(p) <= KEPT]
+        self.update(zip(new, self.merges.encode_pieces([p.encode("utf-8", "surrogateescape") for p in new]), strict=True))
+
+    def ids(self, text: list[str]) -> bytes:
+        """The ids of a text's pre-tokens; if they are many, learns them by and by."""
+        if len(text) <= PIECES:
+            return b"".join(map(self.__getitem__, text))
+        out = []
+        for at in range(0, len(text), PIECES):
+            part = text[at : at + PIECES]
+            self.learn(part)
+            out.append(b"".join(map(self.__getitem__, part)))
+        return b"".join(out)
 
 
 def _held(key: str, make):
@@ -221,8 +350,10 @@ def _encoder(told, name: str, pattern: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _held(name, lambda: _Known(Merges(told.value)))
         find = _held(name + "-pattern", lambda: regex.compile(pattern)).findall
-        for batch in text_steps(batches, "__text"):
-            out = [b"".join(map(known.__getitem__, find(t))) for t in texts_of(batch, "__text")]
+        for batch in text_steps(batches, "__text", STEP):
+            texts = [find(t) for t in texts_of(batch, "__text")]
+            known.learn(*(t for t in texts if len(t) <= PIECES))
+            out = [known.ids(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "ids"])
 
     return run
