@@ -100,3 +100,39 @@ def test_reranking_is_better_than_fusion(spark):
     print("re-ranked, fused, BM25", got)
     assert got[0] > got[1] and got[0] > got[2]
     assert rerank.fit(rows.limit(0), relevant) is None
+
+
+def test_reranking_learns_from_every_query(spark):
+    """More queries than a sample of 2000 would hold: the moments are those of all candidates, and the gradient over all queries is 0."""
+    import numpy as np
+
+    from vellum.operators import rerank
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2600, 3, len(rerank.FEATURES)))
+    x[:, :, 3] = 1.0  # a feature that never differs
+    good = (x[:, :, 0] + 0.5 * x[:, :, 1] + rng.normal(size=(2600, 3))).argmax(axis=1)
+    rows = [(f"q{q}", i, *x[q, i].tolist()) for q in range(2600) for i in range(3)]
+    rows = spark.createDataFrame(rows, "query string, id int, " + ", ".join(f"{c} double" for c in rerank.FEATURES))
+    alone = spark.createDataFrame([("lonely", 7, *[1e6] * len(rerank.FEATURES))], rows.schema)  # teaches nothing
+    relevant = spark.createDataFrame([(f"q{q}", int(i)) for q, i in enumerate(good)], "query string, id int")
+    model = rerank.fit(rows.unionByName(alone), relevant)
+    flat = x.reshape(-1, len(rerank.FEATURES))
+    assert np.allclose(model.mean, flat.mean(axis=0)) and np.allclose(np.delete(model.scale, 3), np.delete(flat.std(axis=0), 3))
+    z, w = (x - np.array(model.mean)) / np.array(model.scale), np.array(model.weights)
+    p = np.exp(z @ w)
+    p /= p.sum(axis=1, keepdims=True)
+    slope = np.einsum("qi,qik->k", p, z) - z[np.arange(2600), good].sum(axis=0)
+    assert np.abs(slope / 2600 + 1e-3 * w).max() < 1e-7
+    assert w[0] > w[1] > 0
+
+
+def test_reranking_query_learns_from_all_passages(spark, monkeypatch):
+    from vellum.operators import rerank
+    from vellum.plans.text_queries import QUERIES
+
+    seen = []
+    monkeypatch.setattr(rerank, "fit", lambda rows, relevant: seen.append(rows))
+    out = QUERIES["rerank_passages"](spark, "/root/testdata/sf0.001")
+    learnt, ranked = ({r["query"] for r in df.select("query").distinct().collect()} for df in (seen[0], out))
+    assert learnt == ranked and len(ranked) > 2

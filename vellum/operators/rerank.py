@@ -2,23 +2,26 @@
 
 Candidates come from the inverted index. Their features are column expressions over the query's terms and the
 document's text; a linear model of them is fitted so that the softmax of the scores of a query's candidates gives
-the relevant ones most, and scoring is again one expression, without any model outside.
+the relevant ones most, and scoring is again one expression, without any model outside. All queries with a relevant
+candidate are learnt from; they stay with the tasks, and the driver gets sums of the size of the model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
 from .postings import Index
+from .staging import release, staged
 
-#: Candidates of a query, and queries from which a model is learnt.
-CANDIDATES, QUERIES = 30, 2000
+#: Candidates of a query.
+CANDIDATES = 30
 FEATURES = ("bm25", "place", "coverage", "phrase", "pairs", "title", "length", "early")
 
 
@@ -60,28 +63,103 @@ class Reranker:
         return rows.withColumn("rank", place).filter(F.col("rank") <= n).select("query", "id", "rank")
 
 
-def fit(rows: DataFrame, relevant: DataFrame, queries: int = QUERIES, steps: int = 400, rate: float = 0.3, decay: float = 1e-3) -> Reranker | None:
-    """A model of candidates (rows) whose relevant documents are known (query, id). At most so many queries, by hash, are learnt from;
-    a query without a relevant candidate teaches nothing. None if there is nothing to learn from."""
+def fit(rows: DataFrame, relevant: DataFrame, decay: float = 1e-3, most_rounds: int = 100) -> Reranker | None:
+    """A model of candidates (rows) whose relevant documents are known (query, id), learnt from all queries; one without a
+    relevant candidate teaches nothing. None if there is nothing to learn from.
+
+    The loss, the mean of the queries' cross entropies and decay / 2 times the squared weights, is convex and has one
+    least point, which Newton steps reach, halved where they would not lower it. A step is a pass over all queries."""
     marked = rows.join(relevant.select("query", "id", F.lit(1.0).alias("good")).distinct(), ["query", "id"], "left").fillna(0.0, ["good"])
-    named = marked.filter("good > 0").select("query").distinct().orderBy(F.xxhash64("query"), "query").limit(queries)
-    got = marked.join(F.broadcast(named), "query").orderBy("query", "id").select("query", "good", *FEATURES).toPandas()
-    if got.empty:
-        return None
-    x, y = got[list(FEATURES)].to_numpy(float), got["good"].to_numpy(float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    x = (x - mean) / scale
-    starts = np.flatnonzero(np.append(True, got["query"].to_numpy()[1:] != got["query"].to_numpy()[:-1]))
-    of = np.cumsum(np.isin(np.arange(len(y)), starts)) - 1
-    y = y / np.add.reduceat(y, starts)[of]
-    w, speed = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
-    for _ in range(steps):
-        s = x @ w
-        p = np.exp(s - np.maximum.reduceat(s, starts)[of])
-        p /= np.add.reduceat(p, starts)[of]
-        speed = 0.9 * speed + rate * (x.T @ (y - p) / len(starts) - decay * w)
-        w = w + 0.1 * speed
-    return Reranker(tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()))
+    each = F.sort_array(F.collect_list(F.struct("id", "good", *[F.col(c).cast("double").alias(c) for c in FEATURES])))  # a query's candidates
+    every = marked.groupBy("query").agg(each.alias("c")).filter(F.exists("c", lambda c: c["good"] > 0))
+    held = staged(every.select(F.col("c.good").alias("good"), F.flatten(F.array(*[F.col(f"c.{c}") for c in FEATURES])).alias("x")), "rerank-queries")
+    try:
+        size, mean, scale = _moments(held)
+        if not size:
+            return None
+        total = lambda w: _total(held, w, mean, scale, decay)
+        w = np.zeros(len(FEATURES))
+        loss, slope, bend = total(w)
+        for _ in range(most_rounds):
+            step = np.linalg.solve(bend, slope)
+            if slope @ step < 1e-16:  # twice what is still to be gained
+                break
+            part = 1.0
+            while (new := total(w - part * step))[0] > loss - 1e-4 * part * (slope @ step) and part > 1e-6:
+                part /= 2
+            if new[0] >= loss:  # as low as doubles tell
+                break
+            w, (loss, slope, bend) = w - part * step, new
+        return Reranker(tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()))
+    finally:
+        release(held)
+
+
+def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query what is good (n) and the features (n rows)."""
+    for batch in batches:
+        ends, good, x = batch.column("good").offsets.to_numpy(), batch.column("good").values.to_numpy(), batch.column("x").values.to_numpy()
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield good[i:j], x[i * len(FEATURES) : j * len(FEATURES)].reshape(len(FEATURES), j - i).T
+
+
+def _sums(held: DataFrame, of, width: int) -> np.ndarray:
+    """The sum over all tasks of the vectors that `of` makes of a task's queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist([{"v": of(_queries(batches)).tolist()}])
+
+    every = held.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(width)
+    for r in every.collect():  # a row for each place of the vector
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _moments(held: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many queries, and of each feature the mean and the deviation over all their candidates."""
+    k = len(FEATURES)
+
+    def first(queries) -> np.ndarray:
+        out = np.zeros(2 + k)
+        for good, x in queries:
+            out += np.concatenate(([1.0, len(good)], x.sum(axis=0)))
+        return out
+
+    sums = _sums(held, first, 2 + k)
+    mean = sums[2:] / max(sums[1], 1.0)
+
+    def second(queries) -> np.ndarray:
+        out = np.zeros(k)
+        for _, x in queries:
+            out += ((x - mean) ** 2).sum(axis=0)
+        return out
+
+    return int(sums[0]), mean, np.maximum(np.sqrt(_sums(held, second, k) / max(sums[1], 1.0)), 1e-9)
+
+
+def _total(held: DataFrame, w: np.ndarray, mean: np.ndarray, scale: np.ndarray, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The loss at w, its gradient and its second derivatives, over all queries."""
+    k = len(FEATURES)
+
+    def run(queries) -> np.ndarray:
+        loss, slope, bend, n = 0.0, np.zeros(k), np.zeros((k, k)), 0
+        for good, x in queries:
+            x, y = (x - mean) / scale, good / good.sum()
+            s = x @ w
+            top = s.max()
+            p = np.exp(s - top)
+            z = p.sum()
+            p /= z
+            own = p @ x
+            loss, n = loss + np.log(z) + top - y @ s, n + 1
+            slope += own - y @ x
+            bend += (x * p[:, None]).T @ x - np.outer(own, own)
+        return np.concatenate(([n, loss], slope, bend.ravel()))
+
+    sums = _sums(held, run, 2 + k + k * k)
+    n = sums[0]
+    return sums[1] / n + decay / 2 * float(w @ w), sums[2 : 2 + k] / n + decay * w, sums[2 + k :].reshape(k, k) / n + decay * np.eye(k)
 
 
 def reciprocal(ranked: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import minutes, postings, rerank, resolve, search, validate, vectors
 from ..operators.names import named
+from ..operators.staging import staged
 from .frames import table
 
 QUERIES: dict = {}
@@ -289,11 +290,11 @@ def passages(spark, d):
 
 @query("rerank_passages")
 def _(spark, d):
-    """The ten best of all documents for each passage's words, by a model learnt from the passages whose crc32 modulo 3 is not 1."""
+    """The ten best of all documents for each passage's words, by a model learnt from all passages."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     asked, relevant = passages(spark, d)
-    rows = rerank.candidates(postings.opened(f"documents of {d}", docs), docs, asked)
-    model = rerank.fit(rows.filter(F.crc32("query") % 3 != 1), relevant)
+    rows = staged(rerank.candidates(postings.opened(f"documents of {d}", docs), docs, asked), "candidates")  # learnt from, then ranked
+    model = rerank.fit(rows, relevant)
     return (model or rerank.Reranker(*[(1.0,) + (0.0,) * 7, (0.0,) * 8, (1.0,) * 8])).ranked(rows, 10)
 
 
