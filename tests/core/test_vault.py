@@ -366,3 +366,42 @@ def test_command_line_ends(spark, vault, capsys, monkeypatch):
         server.shutdown()
     assert providers.whole_number("X", 5, {"X": "-1"}) == 5 and providers.whole_number("X", 5, {"X": "0"}) == 0
     assert ("graph", "builtin", "active") in providers.slots([], "none", "http://127.0.0.1:9/v1")
+
+
+def test_lines_that_were_met_are_not_read_as_yaml_again(monkeypatch):
+    """Notes that differ in plain text alone need no YAML reader, where each note needed one of its own."""
+    from vellum.operators.ontology import default
+    from vellum.sources import vault as V
+
+    asked, load, onto = [], V.loaded, default()
+    monkeypatch.setattr(V, "loaded", lambda raw: asked.append(raw) or load(raw))
+    V._seen.clear()
+    for i in range(50):
+        got = V.parsed(f"---\ntype: project\ntitle: Order {i}\ngenerated: {{ by: human:ann, at: 2026-01-01T00:00:00Z }}\narea: '[n](../n{i % 2}.md)'\n---\nbody".encode(), onto)
+        assert got["fm"] == f'{{"type": "project", "title": "Order {i}", "generated": {{"by": "human:ann", "at": "2026-01-01T00:00:00+00:00"}}, "area": "[n](../n{i % 2}.md)"}}'
+        assert got["events"] == [{"field": "generated", "ok": True, "by": "human:ann", "at": "2026-01-01T00:00:00+00:00", "at_tag": "datetime"}] and got["body"] == "body"
+    assert len(asked) == 3
+
+
+def test_notes_by_lines_equal_whole_notes(monkeypatch):
+    """Lines that mean something else in their note than alone, or that no line may be read for, leave the note to the YAML reader."""
+    import random
+
+    from vellum.operators.ontology import default
+    from vellum.sources import vault as V
+
+    keys = ["type", "title", "generated", "verified", "sources", "summary", "yes", "1", "my key", "_x", "tags", "null", "x.y", "<<", "?", "type"]
+    values = ["", "a", "yes", "Null", "~", "12", "0x1f", "2026-01-01", "2026-13-45", "[a, b]", "[a", "a]", "{ by: human:x }", "'q'", "'q", "q'", "d'", '"d', 'd"', "x # c", "x#y", "a: b", "a:", "- x", "[{resource: r, id: i}]", "meeting note", "é", "a  b ", "=", ".inf", "1:20", "a\\b", "&a x", "*a", "| x", ">"]
+    extra = ["# c", " x", "- a", "...", "---", "\tq", "  ", "", "\r"]
+    rng, onto, notes = random.Random(3), default(), []
+    for _ in range(1500):
+        lines = [rng.choice(keys) + rng.choice([":", ": ", ":  "]) + rng.choice(values) for _ in range(rng.randint(0, 5))]
+        lines[rng.randint(0, len(lines)) : 0] = [rng.choice(extra)] * (rng.random() < 0.15)
+        notes.append(("---\n" + "\n".join(lines) + "\n---" + rng.choice(["", "\n", "\r\n", "\n\nx", "x"])).encode())
+    V._seen.clear()
+    got = [V.parsed(n, onto) for n in notes * 2]  # the second time from what was met
+    monkeypatch.setattr(V, "_by_lines", lambda raw: None)
+    want = [V.parsed(n, onto) for n in notes]
+    assert sum(w["has_fm"] for w in want) > 200
+    for g, w in zip(got, want * 2, strict=True):
+        assert g == w
